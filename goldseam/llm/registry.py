@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing")
+MODULES = ("urls", "bpe", "warc", "packing")
 
 
 def _all(name: str) -> dict:

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -9,10 +10,15 @@ from goldseam.llm import packing
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def own_ids(text):
+@lru_cache(1)
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(VOCAB).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(VOCAB)
+
+
+def own_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check(rows, pieces, window):
