@@ -14,22 +14,22 @@ from pyspark.sql import functions as F
 from goldseam.llm.common import load, stored, texts
 from goldseam.operators.components import connected_components
 
-#: Permutations, bits kept of each minimum, and rows of a band.  With 42 bands of 6
-#: rows a pair of similarity 0.8 shares no band with a chance of 3 in a million.
-PERMUTATIONS, BITS, ROWS = 256, 2, 6
-BANDS = PERMUTATIONS // ROWS
+#: Bands and minima of a band.  A pair of similarity 0.8 shares none of 42 bands of 6 with a chance of 3 in a million.
+BANDS, ROWS = 42, 6
+#: Permutations of the packed signature, and low bits kept of each minimum.
+PERMUTATIONS, BITS = 1536, 2
 #: Standard deviations by which an estimate may fall short before a candidate is dropped.
-SLACK = 5.0
+SLACK = 4.0
 #: Members of a bucket that are compared in one block, and members that one leader's task confirms.
 BLOCK, MEMBERS = 2048, 2000
 #: Words that one worker's cache of hashes holds before it starts anew.
 CACHE = 500_000
 
 
-@lru_cache(1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
+@lru_cache(2)
+def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(count)
+    return rng.integers(0, 1 << 32, count, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
 
 
 class _Hashes(dict):
@@ -63,11 +63,11 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The minimum of each permutation of a set's hashes."""
-    a, b = _permutations()
+def minima(s: np.ndarray, count: int) -> np.ndarray:
+    """The minimum of each of so many permutations of a set's hashes."""
+    a, b = _permutations(count)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 64):
         v = x[at : at + 64, None] * a + b
         v ^= v >> np.uint32(15)
@@ -78,7 +78,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 def bands(m: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band's minima and number."""
-    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -117,23 +117,20 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, bands, sketch) of every row; digest is equal for equal sets, null for empty ones."""
+    """(id, n, digest, bands) of every row; digest is equal for equal sets, null for empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys, sketches = [], [], [], []
+            sizes, digests, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, n)
                 sizes.append(len(s))
-                m = minima(s) if len(s) else None
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(bands(m).view(np.int64) if len(s) else None)
-                sketches.append(pack(m).view(np.int64) if len(s) else None)
-            long = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, long), pa.array(sketches, long)], ["id", "n", "digest", "bands", "sketch"])
+                keys.append(bands(minima(s, BANDS * ROWS)).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
 
     source = texts(docs, id_col, text_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>, sketch array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>")
 
 
 def _matches(a: str, b: str):
@@ -184,9 +181,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, least: int) -> DataFrame:
+def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
     """(a, b), a < b, of one bucket but different components, whose b-bit minima agree in `least` places at least.
 
+    best: for each member only the likeliest partner that all its buckets have.
+
     A bucket of more than BLOCK members is cut into blocks by hash, and every pair
     of blocks is compared by a task of its own, in numpy.  Only what passes leaves.
     """
@@ -196,41 +195,51 @@ def _across(members: DataFrame, least: int) -> DataFrame:
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
     rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def compare(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, own: np.ndarray, i: int, j: int) -> np.ndarray:
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for at in range(0, len(left), 256):
-            x = left[at : at + 256]
-            ok = (comps[x][:, None] != comps[right]) & (ids[x][:, None] < ids[right] if i == j else True)
-            p, q = np.nonzero(ok)
-            good = PERMUTATIONS - _differing(sk[x[p]], sk[right[q]]) >= least
-            found.append(np.stack([ids[x[p[good]]], ids[right[q[good]]]], 1))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return np.sort(out, axis=1)
+    def compare(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (a, b, equal minima)."""
+        for at in range(0, len(left), 128):
+            x = left[at : at + 128]
+            p, q = np.nonzero(comps[x][:, None] != comps[right])
+            m = PERMUTATIONS - _differing(sk[x[p]], sk[right[q]]).astype(np.int64)
+            p, q, m = (v[m >= least] for v in (p, q, m))
+            if best:
+                order = np.lexsort((ids[right[q]], -m, p))
+                first = order[np.unique(p[order], return_index=True)[1]]
+                p, q, m = p[first], q[first], m[first]
+            yield np.stack([ids[x[p]], ids[right[q]], m], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush(held: list[tuple]) -> np.ndarray:
-            own = np.array([r[3] for r in held])
-            return compare(np.array([r[4] for r in held]), np.array([r[5] for r in held]), np.array([r[6] for r in held], np.int64).view(np.uint64), own, held[0][1], held[0][2])
+        def flush(held: list[tuple]) -> list[np.ndarray]:
+            own, ids, comps = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+            sk = np.array([r[6] for r in held], np.int64).view(np.uint64)
+            left, right = np.flatnonzero(own == held[0][1]), np.flatnonzero(own == held[0][2])
+            out = list(compare(ids, comps, sk, left, right))
+            return [*out, *compare(ids, comps, sk, right, left)] if best and held[0][1] != held[0][2] else out
 
         def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+            rows = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+            if not best:
+                rows[:, :2].sort(axis=1)
+            rows = np.unique(rows, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "m"])
 
         for batch in batches:
             found = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "component", "sketch")), strict=True):
                 if held and held[0][:3] != row[:3]:
-                    found.append(flush(held))
+                    found += flush(held)
                     held = []
                 held.append(row)
             yield batch_of(found)
         if held:
-            yield batch_of([flush(held)])
+            yield batch_of(flush(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    out = rows.mapInArrow(run, "a long, b long, m long")
+    if best:
+        out = out.groupBy("a").agg(F.max(F.struct("m", F.negative("b").alias("b"))).alias("top")).select("a", F.negative("top.b").alias("b"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,12 +254,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     id have a null component, no link and are kept.  Extra columns are ignored, and
     texts are taken whole.
 
-    1. Every text is reduced to its minima: band keys and packed low bits.
+    1. Every text is reduced to the keys of its bands of minima.
     2. Documents with equal sets are one class; only its smallest id goes on.
-    3. In each band bucket, every member is paired with the smallest.  What the bit
-       counts don't rule out is confirmed on full sets and joined to components.
-    4. In buckets that still hold several components, all pairs across components
-       are estimated by bit counts, block by block, and confirmed likewise.
+    3. Members of shared buckets get a longer signature of packed low bits.  In each
+       bucket, every member is paired with the smallest.  What the bit counts don't
+       rule out is confirmed on full sets and joined to components.
+    4. In buckets that still hold several components, pairs across components are
+       estimated by bit counts, block by block, and confirmed likewise: twice only
+       the likeliest partner of each member, which joins what one leader left
+       apart, and then all pairs that remain.
     Every pair of a bucket is thus in one component or was compared, so no link is
     lost that any band has seen, yet a bucket of like texts costs one comparison a
     member.  No step gathers links, buckets or components on the driver.
@@ -263,31 +275,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(rows.join(shared, "key"), "members")
-    sketches = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    sketches = stored(sketches, "sketches")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shingle_set(t, shingle_words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "set"])
+            sets = [shingle_set(t, shingle_words) for t in batch.column(1).to_pylist()]
+            sketches = [pack(minima(s, PERMUTATIONS)).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "set", "sketch"])
 
     source = texts(docs, id_col, text_col).select(F.col("id").cast("long"), "text")
+    likely = source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    likely = stored(likely.mapInArrow(sets_of, "id long, set binary, sketch array<long>"), "sets")
+    sketches, likely = likely.select("id", "sketch"), likely.select("id", "set")
     least = least_matches(threshold)
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     left, right = sketches.toDF("a", "x"), sketches.toDF("b", "y")
     pairs = stored(pairs.join(left, "a").join(right, "b").where(_matches("x", "y") >= least).select("a", "b"), "pairs")
-    likely = stored(source.join(sketches.select("id"), "id", "left_semi").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]), "sets")
 
     links = stored(confirm(pairs, likely, threshold), "links")
     found = connected_components(links)
-    comp = lambda c: members.join(c.toDF("id", "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    now = comp(found)
-    open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = _across(now.join(open_keys, "key", "left_semi").join(sketches, "id"), least).join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    if rest.limit(1).count():
-        more = confirm(rest, likely, threshold)
-        found = connected_components(links.unionByName(more))
+    for best in (True, True, False):
+        now = members.join(found.toDF("id", "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+        open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        rest = _across(now.join(open_keys, "key", "left_semi").join(sketches, "id"), least, best).join(pairs, ["a", "b"], "left_anti")
+        rest = stored(rest, "rest")
+        more = stored(confirm(rest, likely, threshold), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = connected_components(links)
+        pairs = pairs.unionByName(rest)
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("id", "n", "digest").join(of_class, "digest", "left")
