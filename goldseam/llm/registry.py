@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("urls", "bpe", "warc", "packing", "minhash")
+MODULES = ("suffixes", "urls", "bpe", "warc", "packing", "minhash")
 
 
 def _all(name: str) -> dict:
