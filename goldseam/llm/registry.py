@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffixes", "urls", "bpe", "warc", "packing", "minhash")
+MODULES = ("quality", "suffixes", "urls", "topk", "bpe", "lattice", "warc", "packing", "licences", "minhash")
 
 
 def _all(name: str) -> dict:
