@@ -79,8 +79,8 @@ def adjudicate(rows: DataFrame, audit: DataFrame, second: DataFrame, exclusions:
     """
     alone = not second.limit(1).count()
     joined = rows.join(exclusions.select("qid", F.lit(True).alias("excluded")), "qid", "left").join(audit.select("qid", F.col("verdict").alias("human")), "qid", "left").join(second.select("qid", F.col("verdict").alias("other")), "qid", "left")
-    source = F.when("excluded", "hand-excluded").when(F.col("human").isNotNull(), "audit").when(F.lit(alone), "screener-only").when(F.col("other").isNull(), "unvalidated").when(F.col("other") == F.col("verdict"), "both-agree").otherwise("unaudited-dispute")
-    verdict = F.when("excluded", "drop").when(F.col("human").isNotNull(), F.col("human")).otherwise(F.col("verdict"))
+    source = F.when(F.col("excluded"), "hand-excluded").when(F.col("human").isNotNull(), "audit").when(F.lit(alone), "screener-only").when(F.col("other").isNull(), "unvalidated").when(F.col("other") == F.col("verdict"), "both-agree").otherwise("unaudited-dispute")
+    verdict = F.when(F.col("excluded"), "drop").when(F.col("human").isNotNull(), F.col("human")).otherwise(F.col("verdict"))
     return joined.select("qid", verdict.alias("verdict"), source.alias("source"))
 
 

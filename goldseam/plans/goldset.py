@@ -73,10 +73,10 @@ def ingest_report(spark, d):
     return I.ingest_report(cut(spark, d))
 
 
-@query("select doc_id as chunk_id, lang as corpus_id, case when l.doc_id is not null then upper(text) else text end as text from documents d left join (select distinct doc_id as l_id, doc_id from labels) l using (doc_id)".replace("select distinct doc_id as l_id, doc_id", "select distinct doc_id").replace("l.doc_id is not null", "doc_id in (select doc_id from labels)"))
+@query("select doc_id as chunk_id, lang as corpus_id, case when doc_id in (select doc_id from labels) then text || ' (new)' else text end as text from documents")
 def upsert_chunks(spark, d):
     old = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("corpus_id"), "text")
-    new = old.join(labels(spark, d).select(F.col("doc_id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").withColumn("text", F.upper("text"))
+    new = old.join(labels(spark, d).select(F.col("doc_id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").withColumn("text", F.concat("text", F.lit(" (new)")))
     return I.upsert(old, new.select(old.columns))
 
 
@@ -291,10 +291,12 @@ def shared_chunk_groups(spark, d):
     return groups(spark, d)
 
 
-@query(f"""with {GROUPS}, sz as (select g, count(*) as n, row_number() over (order by -count(*), {seeded('g')}, g) as i from grp group by g), tot as (select sum(n)::bigint as t, round_even(sum(n) * 0.8, 0)::bigint as want from sz),
+SPLIT = f"""{GROUPS}, sz as (select g, count(*) as n, row_number() over (order by -count(*), {seeded('g')}, g) as i from grp group by g), tot as (select sum(n)::bigint as t, round_even(sum(n) * 0.8, 0)::bigint as want from sz),
  f as (with recursive r(i, tr, te, g, n, split) as (select 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, ''::varchar union all
-  select sz.i, r.tr + case when want - r.tr >= (t - want) - r.te then sz.n else 0 end, r.te + case when want - r.tr >= (t - want) - r.te then 0 else sz.n end, sz.g, sz.n, case when want - r.tr >= (t - want) - r.te then 'train' else 'test' end from r join sz on sz.i = r.i + 1, tot) select g, n, split from r where i > 0)
- select g as "group", n, split from f""")
+  select sz.i, r.tr + case when want - r.tr >= (t - want) - r.te then sz.n else 0 end, r.te + case when want - r.tr >= (t - want) - r.te then 0 else sz.n end, sz.g, sz.n, case when want - r.tr >= (t - want) - r.te then 'train' else 'test' end from r join sz on sz.i = r.i + 1, tot) select g, n, split from r where i > 0)"""
+
+
+@query(f'with {SPLIT} select g as "group", n, split from f')
 def grouped_split(spark, d):
     return G.grouped_split(groups(spark, d).groupBy("group").agg(F.count(F.lit(1)).alias("n")), 0.8, S.seed)
 
@@ -304,7 +306,7 @@ def split_gold(spark, d):
     return gold(spark, d).join(groups(spark, d), "qid").join(side.select("group", "split"), "group").select("qid", "chunk_id", "split")
 
 
-@query("select 0::bigint as shared_chunks, 0::bigint as shared_questions")
+@query(f"with {SPLIT}, s as (select qid, chunk_id, split from gold join grp using (qid) join f using (g)) select (select count(*) from (select chunk_id from s group by 1 having count(distinct split) > 1)) as shared_chunks, (select count(*) from (select qid from s group by 1 having count(distinct split) > 1)) as shared_questions")
 def leakage_check(spark, d):
     s = split_gold(spark, d)
     G.check_no_shared_chunks(s)
