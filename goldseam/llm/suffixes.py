@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.llm.common import load, prepare, stored
 
-#: Bytes of a string that counts as repeated, and of the leading tokens that choose and range-partition suffixes.
+#: Bytes of a string that counts as repeated, and of the strings that choose anchors.
 LENGTH, LEAD = 400, 16
-#: Suffixes with one lead that a bucket takes; more are split, and their buckets compared across boundaries.
-HOT = 20_000
 #: Suffixes that a bucket holds on average, and that are sorted together.
 BUCKET, SORTED = 20_000, 16_384
+#: Suffixes of one lead that are sorted together; more are cut into parts that are compared across their boundaries.
+PART = 50_000
 #: Bytes of a text that anchors are chosen in at once.
 SEGMENT = 1 << 23
 
@@ -90,13 +92,14 @@ def multikey_order(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
 def repeated(group: np.ndarray, before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, Iterator]:
     """(least, most) per suffix: how far before its place its nearest and its farthest repeated window start; most is -1 without one.
 
-    The suffixes are sorted within their groups, neighbours' common prefixes
-    measured.  Windows that start b bytes before are equal where the suffixes agree
-    in length - b bytes, thus lie in one run of the sorted order, and agree in b
-    bytes backwards.  The third result yields (rows, b, keys) of every window, for
-    comparison with other buckets.
+    before and after are the bytes on either side of each place, half a length and
+    a length at most; suffixes of a group share half a length.  The suffixes are
+    sorted within their groups, neighbours' common prefixes measured.  Windows that
+    start b bytes before are equal where the suffixes agree in length - b bytes,
+    thus lie in one run of the sorted order, and agree in b bytes backwards.  The
+    third result yields (rows, b) of every window, for comparison with other parts.
     """
-    n, back = len(after), length - LEAD
+    n, back = len(after), length - length // 2
     wide = -(-length // 8) * 8
     fore = np.frombuffer(b"".join(a.ljust(wide, b"\0") for a in after), np.uint8).reshape(n, wide)
     rear = np.frombuffer(b"".join(x[::-1].ljust(back, b"\0") for x in before), np.uint8).reshape(n, back)
@@ -165,91 +168,124 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans array<struct<start, stop>>) of the texts (key, text binary) that hold a repeated string."""
+    """(key, spans array<struct<start, stop>>) of the texts (key, text binary) that hold a repeated string.
+
+    A window that holds an anchor holds the half length from it on, or the half
+    before it: so each anchor gives two suffixes whose leads, half a length each,
+    must be shared.  Suffixes with equal surroundings are covered as far as windows
+    reach, and one of them stands for all; only those with a common lead but
+    different surroundings are sorted and compared.
+    """
+    half = length // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys, places, hashes = [], [], []
+            rows: list[tuple] = []
             for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, h = anchors(t, length)
-                keys.append(np.full(len(p), k, np.int64))
-                places.append(p)
-                hashes.append(h)
-            cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, places, hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "place", "hash"])
+                p = anchors(t, length)[0]
+                for q in np.union1d(p, p - half).tolist():
+                    if q >= 0 and q + half <= len(t):
+                        lo, hi = max(0, q - (length - half)), min(len(t), q + length)
+                        rows.append((h(t[q : q + half]), h(t[lo:hi], q - lo), k, q, q - lo, hi - q))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(c, pa.int64()) for c in cols[2:4]] + [pa.array(c, pa.int32()) for c in cols[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["lead", "around", "key", "place", "back", "ahead"])
+
+    found = keyed.mapInArrow(find, "lead long, around long, key long, place long, back int, ahead int")
+    sorted_rows = found.repartition("lead").sortWithinPartitions("lead", "around")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, start, stop) of proven spans, and with a null stop of suffixes to compare; holds one suffix at a time."""
+        lead = around = first = None
+        alone = twin = False
+
+        def reach(r: tuple) -> tuple | None:
+            _, _, k, q, back, ahead = r
+            return (k, q - back, q - max(0, length - ahead) + length) if back + ahead >= length else None
 
-    all_anchors = stored(keyed.mapInArrow(find, "key long, place long, hash long"), "anchors")
-    twice = all_anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    wanted = all_anchors.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("place", "size")).alias("at"))
+        for batch in batches:
+            out: list[tuple | None] = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[0] != lead:
+                    lead, around, first, alone, twin = r[0], r[1], r, True, False
+                elif r[1] == around:
+                    out += [reach(r)] if twin else [reach(first), reach(r)]
+                    twin = True
+                else:
+                    out += ([(*first[2:4], None)] if alone else []) + [(*r[2:4], None)]
+                    around, first, alone, twin = r[1], r, False, False
+            cols = list(zip(*filter(None, out), strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "start", "stop"])
+
+    picked = stored(sorted_rows.mapInArrow(pick, "key long, start long, stop long"), "anchors")
+    wanted = picked.where("stop is null").groupBy("key").agg(F.collect_set("start").alias("at"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "place", "stop", "before", "after", "lead", "sub"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+        names = ["key", "place", "before", "after", "lead"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for k, t, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "at")), strict=True):
-                rows, seen = [], {}
-                for p in sorted(at, key=lambda p: p["place"]):
-                    place, parts = p["place"], -(-p["size"] // HOT)
-                    before, after = t[max(0, place - length + LEAD) : place], t[place : place + length]
-                    twin = seen.setdefault((before, after), place)
-                    if twin == place:
-                        rows.append((k, place, None, before, after, after[:LEAD], (k ^ place) % parts if parts > 1 else -1))
-                    elif len(before) + len(after) >= length:  # equal surroundings in one text need no further proof
-                        reach = min(len(before), length - LEAD), max(0, length - len(after))
-                        rows += [(k, q - reach[0], q - reach[1] + length, None, None, None, None) for q in (twin, place)]
+                rows = [(k, q, t[max(0, q - (length - half)) : q], t[q : q + length], t[q : q + half]) for q in sorted(at)]
                 for i in range(0, len(rows), 4096):
                     cols = zip(*rows[i : i + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
 
-    table = stored(keyed.join(wanted, "key").mapInArrow(surroundings, "key long, place long, stop long, before binary, after binary, lead binary, sub int"), "suffixes")
-    suffixes = table.where("stop is null")
+    # rows of equal id and text are one key, and one of them is enough
+    one = keyed.join(wanted, "key").dropDuplicates(["key"])
+    suffixes = stored(one.mapInArrow(surroundings, "key long, place long, before binary, after binary, lead binary"), "suffixes")
     buckets = max(1, -(-suffixes.count() // BUCKET))
-    dealt = suffixes.repartitionByRange(buckets, "lead", "sub").sortWithinPartitions("lead", "sub")
+    dealt = suffixes.repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            group = np.cumsum([0, *(a[4:6] != b[4:6] for a, b in zip(rows, rows[1:], strict=False))])
+        def flush(rows: list[tuple], split: bytes | None) -> Iterator[pa.RecordBatch]:
+            group = np.cumsum([0, *(a[4] != b[4] for a, b in zip(rows, rows[1:], strict=False))])
             before, after = [r[2] for r in rows], [r[3] for r in rows]
             least, most, windows = repeated(group, before, after, length)
             hit = np.flatnonzero(most >= 0)
             keys, places = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
             yield batch_of(keys[hit], places[hit] - most[hit], places[hit] - least[hit] + length, [None] * len(hit))
-            split = {i for i, r in enumerate(rows) if r[5] >= 0}
-            if split:  # parts of a hot lead: every different window and place of the lead in it, once, for comparison across boundaries
-                import hashlib
-
-                sent: set[bytes] = set()
-                for live, b in windows:
-                    out = []
-                    for i in split.intersection(live.tolist()):
-                        d = hashlib.blake2b((before[i][len(before[i]) - b :] + after[i])[:length], digest_size=16, salt=b.to_bytes(2, "big")).digest()
-                        if (d, rows[i][5]) not in sent:
-                            sent.add((d, rows[i][5]))
-                            out.append((rows[i][0], rows[i][1] - b, d))
-                    if out:
-                        start = np.array([x[1] for x in out])
-                        yield batch_of(np.array([x[0] for x in out]), start, start + length, [x[2] for x in out])
+            if split is None:
+                return
+            # a part of a large group: every different window and place of the lead in it, once
+            own, sent = np.array([r[4] == split for r in rows]), set()
+            for live, b in windows:
+                out = []
+                for i in live[own[live]].tolist():
+                    d = hashlib.blake2b((before[i][len(before[i]) - b :] + after[i])[:length], digest_size=16, salt=b.to_bytes(2, "big")).digest()
+                    if d not in sent:
+                        sent.add(d)
+                        out.append((rows[i][0], rows[i][1] - b, d))
+                if out:
+                    start = np.array([x[1] for x in out])
+                    yield batch_of(np.array([x[0] for x in out]), start, start + length, [x[2] for x in out])
 
         def batch_of(keys, start, stop, window) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(window, pa.binary())], ["key", "start", "stop", "window"])
 
+        split = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "before", "after", "lead", "sub")), strict=True):
-                if len(held) >= SORTED and held[-1][4:6] != row[4:6]:
-                    yield from flush(held)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "before", "after", "lead")), strict=True):
+                if held and held[-1][4] != row[4]:
+                    if len(held) >= SORTED or split is not None:
+                        yield from flush(held, split)
+                        held, split = [], None
+                elif len(held) >= PART and held[0][4] == row[4]:
+                    split = row[4]
+                    yield from flush(held, split)
                     held = []
                 held.append(row)
         if held:
-            yield from flush(held)
+            yield from flush(held, split)
 
     found = dealt.mapInArrow(compare, "key long, start long, stop long, window binary")
     found = stored(found, "spans")
     across = found.where("window is not null")
     in_two = across.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window")
     sure = found.where("window is null").select("key", "start", "stop").unionByName(across.join(in_two, "window", "left_semi").select("key", "start", "stop"))
-    sure = sure.unionByName(table.where("stop is not null").select("key", F.col("place").alias("start"), "stop"))
+    sure = sure.unionByName(picked.where("stop is not null"))
     return sure.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -264,11 +300,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     enough, null ids are no special case, extra columns are ignored, an empty table
     gives an empty one.
 
-    Anchored suffixes (see anchors) whose lead occurs twice are dealt to buckets by
-    sampled splitters of their leading bytes, sorted there by multikey quicksort
-    and compared with their neighbours.  A lead of more than HOT suffixes is split
-    over buckets, which then compare the windows that each has seen across their
-    boundaries, so that no bucket grows with a common passage.
+    Anchored suffixes (see anchors and repeated_spans) with a common lead are dealt
+    to buckets by sampled splitters of their leading bytes, sorted there by multikey
+    quicksort and compared with their neighbours.  More than PART suffixes of one
+    lead are sorted in parts, and the windows that the parts hold are compared
+    across their boundaries by hash, so that memory doesn't grow with a common
+    passage.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

@@ -37,9 +37,9 @@ def corpus(seed, length):
     return [*rows, (200, None), (201, ""), (202, "a" * 5 * length), (203, "ab" * 3 * length), (204, "x" * length), (None, rows[9][1]), (9, rows[9][1]), (205, "\0" * length), (206, "\0" * (length - 1) + "y")]
 
 
-@pytest.mark.parametrize("seed, length, hot", [(1, 40, 20000), (2, 40, 3), (3, 64, 20000), (5, 100, 2)])
+@pytest.mark.parametrize("seed, length, hot", [(1, 40, 20000), (2, 40, 3), (3, 64, 20000), (5, 101, 2)])
 def test_against_brute_force(spark, docs, monkeypatch, seed, length, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "PART", hot)
     monkeypatch.setattr(suffixes, "BUCKET", 50)
     monkeypatch.setattr(suffixes, "SORTED", 32)
     rows = corpus(seed, length)
