@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log, log10
+from math import exp, log, log10
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from goldseam.llm.common import load, stored, texts
 
 #: Bytes of text and different words that share one dictionary.
-BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 200_000
+BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 600_000
 #: What starts a word in the vocabulary, and the name of the piece that ends a text.
 SPACE, END = "▁".encode(), b"</s>"
 
@@ -54,7 +54,7 @@ def likelihood(word: bytes, weights: dict[bytes, float], longest: int) -> float:
         terms = [forward[i] + w for i in range(max(0, j - longest), j) if (w := get(s[i:j])) is not None]
         if terms:
             top = max(terms)
-            forward[j] = top if len(terms) == 1 else top + log(sum([np.e ** (t - top) for t in terms]))
+            forward[j] = top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
     return forward[n]
 
 
