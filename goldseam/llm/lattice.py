@@ -44,18 +44,34 @@ def pieces(model_file: str) -> dict[bytes, int]:
     return out
 
 
-def likelihood(word: bytes, weights: dict[bytes, float], longest: int) -> float:
+def reaches(weights: dict[bytes, float]) -> dict[bytes, int]:
+    """The length of the longest piece with each first two bytes."""
+    out: dict[bytes, int] = {}
+    for p in weights:
+        out[p[:2]] = max(out.get(p[:2], 1), len(p))
+    return out
+
+
+def likelihood(word: bytes, weights: dict[bytes, float], reach: dict[bytes, int]) -> float:
     """The log probability of a word: forward recursion in log space over all ways to cut it into pieces."""
     s = SPACE + word
     n = len(s)
-    forward = [0.0] + [-np.inf] * n
+    paths: list[list[float]] = [[0.0], *([] for _ in range(n))]
     get = weights.get
-    for j in range(1, n + 1):
-        terms = [forward[i] + w for i in range(max(0, j - longest), j) if (w := get(s[i:j])) is not None]
-        if terms:
+    for i in range(n + 1):
+        terms = paths[i]
+        if not terms:
+            continue
+        forward = terms[0]
+        if len(terms) > 1:
             top = max(terms)
-            forward[j] = top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
-    return forward[n]
+            forward = top + log(sum([exp(t - top) for t in terms]))
+        if i == n:
+            return forward
+        for j in range(i + 1, min(n, i + reach.get(s[i : i + 2], 1)) + 1):
+            if (w := get(s[i:j])) is not None:
+                paths[j].append(forward + w)
+    return -np.inf
 
 
 def held_out(doc_id, folds: int, fold: int) -> bool:
@@ -155,10 +171,10 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, fold: int = 1, id_co
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        longest = max(map(len, w))
+        reach = reaches(w)
         for batch in batches:
             listed, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [likelihood(x, w, longest) / log(10) for x in listed]
+            out = [likelihood(x, w, reach) / log(10) for x in listed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x > 0 for x in c]), pa.array([base(x) for x in c]), pa.array(out, pa.float64())], ["word", "known", "base", "lattice"])
 
     scored = stored(counts.mapInArrow(judge, "word binary, known boolean, base double, lattice double"), "scores")
