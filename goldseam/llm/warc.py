@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -80,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     Digests meet as (digest, largest id) pairs that every task has combined before
     they are shuffled, so a payload that a third of the pages share costs no more
     than any other; Spark picks the join by size and splits hot digests.  Archives
-    are written by Spark's own commit protocol: each record is bytes that end with
+    are gzip files, written by Spark's own commit protocol: each record is bytes that end with
     the writer's line separator.
     """
     spark = pages.sparkSession
@@ -102,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     total = source.agg(F.sum(F.octet_length("payload") + 1024)).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES))
     records = joined.repartition(files).mapInArrow(build, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    records.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
@@ -120,7 +121,7 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, block in parse(content.as_py()):
+                for h, block in parse(gzip.decompress(content.as_py())):
                     revisit = h["WARC-Type"] == "revisit"
                     payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
