@@ -185,17 +185,24 @@ def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
     """(a, b), a < b, of one bucket but different components, whose b-bit minima agree in `least` places at least.
 
     best: for each member only the likeliest partner that all its buckets have.
+    Otherwise each pair is told by one bucket, that of least key among those it
+    shares: every bucket that holds two components is in members, so all know.
 
     A bucket of more than BLOCK members is cut into blocks by hash, and every pair
     of blocks is compared by a task of its own, in numpy.  Only what passes leaves.
     """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     blocks = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = blocks.select("key", "own", "id", "component", "sketch", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    if best:
+        blocks = blocks.withColumn("prior", F.array().cast("array<long>"))
+    else:
+        keys = members.groupBy("id").agg(F.collect_set("key").alias("prior"))
+        blocks = blocks.join(keys, "id").withColumn("prior", F.filter("prior", lambda k: k < F.col("key")))
+    dealt = blocks.select("key", "own", "id", "component", "sketch", "prior", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "prior")
     rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def compare(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    def compare(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, prior: list[set], left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
         """Rows (a, b, equal minima)."""
         for at in range(0, len(left), 128):
             x = left[at : at + 128]
@@ -206,6 +213,9 @@ def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
                 order = np.lexsort((ids[right[q]], -m, p))
                 first = order[np.unique(p[order], return_index=True)[1]]
                 p, q, m = p[first], q[first], m[first]
+            else:
+                own = np.fromiter((prior[i].isdisjoint(prior[j]) for i, j in zip(x[p], right[q], strict=True)), bool, len(p))
+                p, q, m = p[own], q[own], m[own]
             yield np.stack([ids[x[p]], ids[right[q]], m], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +225,9 @@ def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
             own, ids, comps = (np.array([r[k] for r in held]) for k in (3, 4, 5))
             sk = np.array([r[6] for r in held], np.int64).view(np.uint64)
             left, right = np.flatnonzero(own == held[0][1]), np.flatnonzero(own == held[0][2])
-            out = list(compare(ids, comps, sk, left, right))
-            return [*out, *compare(ids, comps, sk, right, left)] if best and held[0][1] != held[0][2] else out
+            prior = [set(r[7]) for r in held]
+            out = list(compare(ids, comps, sk, prior, left, right))
+            return [*out, *compare(ids, comps, sk, prior, right, left)] if best and held[0][1] != held[0][2] else out
 
         def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
             rows = np.concatenate(found) if found else np.empty((0, 3), np.int64)
@@ -227,7 +238,7 @@ def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
 
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "component", "sketch")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "component", "sketch", "prior")), strict=True):
                 if held and held[0][:3] != row[:3]:
                     found += flush(held)
                     held = []
