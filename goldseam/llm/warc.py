@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from goldseam.llm.common import load, prepare, shared_dir
 
-#: Payload bytes that one archive file holds, about; larger payloads have a file of their own.
+#: Bytes that one archive file holds before it is compressed; a larger record has a file of its own.
 FILE_BYTES = 16 << 20
 #: The capture time in fresh headers, unless the caller gives one.
 DATE = "2024-01-01T00:00:00Z"
@@ -68,7 +68,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Write a record for every row into archives under path.
 
     The payload is the html as UTF-8, a null one empty.  Of records with equal
@@ -80,9 +80,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     Digests meet as (digest, largest id) pairs that every task has combined before
     they are shuffled, so a payload that a third of the pages share costs no more
-    than any other; Spark picks the join by size and splits hot digests.  Archives
-    are gzip files, written by Spark's own commit protocol: each record is bytes that end with
-    the writer's line separator.
+    than any other; Spark picks the join by size and splits hot digests.  Records
+    are written where the join leaves them, so payloads are shuffled once at most:
+    a task cuts its records into archives of file_bytes, each a row that ends with
+    the writer's line separator and fills a gzip file of its own under Spark's
+    commit protocol.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -94,16 +96,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     joined = keyed.join(originals, "key", "left").select("id", "url", "payload", "last")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = []
             for i, url, payload, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(record(i, url, payload, digest_of(payload), last, last is not None and i != last, date)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    total = source.agg(F.sum(F.octet_length("payload") + 1024)).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
-    records = joined.repartition(files).mapInArrow(build, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+                own = record(i, url, payload, digest_of(payload), last, last is not None and i != last, date)
+                if held and size + len(own) > file_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+                held.append(own)
+                size += len(own)
+        if held:
+            yield archive(held)
+
+    def archive(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    records = joined.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
+    records.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:

@@ -24,6 +24,13 @@ def test_round_trip(spark, tmp_path, least):
     assert sorted(have, key=repr) == sorted(want, key=repr)
 
 
+def test_archives_are_cut_by_size(spark, tmp_path):
+    df = spark.range(60).selectExpr("id as page_id", "'http://a' as url", "repeat(cast(id as string), 400) as html").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), file_bytes=5000)
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 10
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(60))
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
