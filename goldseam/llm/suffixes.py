@@ -192,33 +192,17 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(c, pa.int64()) for c in cols[2:4]] + [pa.array(c, pa.int32()) for c in cols[4:]]
             yield pa.RecordBatch.from_arrays(arrays, ["lead", "around", "key", "place", "back", "ahead"])
 
-    found = keyed.mapInArrow(find, "lead long, around long, key long, place long, back int, ahead int")
-    sorted_rows = found.repartition("lead").sortWithinPartitions("lead", "around")
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, start, stop) of proven spans, and with a null stop of suffixes to compare; holds one suffix at a time."""
-        lead = around = first = None
-        alone = twin = False
-
-        def reach(r: tuple) -> tuple | None:
-            _, _, k, q, back, ahead = r
-            return (k, q - back, q - max(0, length - ahead) + length) if back + ahead >= length else None
-
-        for batch in batches:
-            out: list[tuple | None] = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != lead:
-                    lead, around, first, alone, twin = r[0], r[1], r, True, False
-                elif r[1] == around:
-                    out += [reach(r)] if twin else [reach(first), reach(r)]
-                    twin = True
-                else:
-                    out += ([(*first[2:4], None)] if alone else []) + [(*r[2:4], None)]
-                    around, first, alone, twin = r[1], r, False, False
-            cols = list(zip(*filter(None, out), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "start", "stop"])
-
-    picked = stored(sorted_rows.mapInArrow(pick, "key long, start long, stop long"), "anchors")
+    found = stored(keyed.mapInArrow(find, "lead long, around long, key long, place long, back int, ahead int"), "anchors")
+    # tasks combine counts before they shuffle, and Spark splits the semi joins' hot keys: no lead has to fit one task
+    groups = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("c"), F.first("key").alias("key"), F.first("place").alias("place"))
+    groups = stored(groups, "surroundings")
+    twins = found.where(F.col("back") + F.col("ahead") >= length).join(groups.where("c > 1").select("lead", "around"), ["lead", "around"], "left_semi")
+    stop = F.col("place") - F.greatest(F.lit(0), F.lit(length) - F.col("ahead")) + length
+    twins = twins.select("key", (F.col("place") - F.col("back")).alias("start"), stop.alias("stop"))
+    several = groups.groupBy("lead").agg(F.min("around").alias("low"), F.max("around").alias("high")).where("low <> high").select("lead")
+    apart = groups.join(several, "lead", "left_semi").select("key", F.col("place").alias("start"), F.lit(None).cast("long").alias("stop"))
+    # proven spans, and with a null stop the suffixes to compare
+    picked = stored(twins.unionByName(apart), "picked")
     wanted = picked.where("stop is null").groupBy("key").agg(F.collect_set("start").alias("at"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
