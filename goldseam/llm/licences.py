@@ -27,7 +27,7 @@ TEMPLATES = {
     "cc": ("this work is licensed under a creative commons attribution international license", "creative commons"),
     "proprietary": ("all rights reserved no part of this publication may be reproduced or distributed without prior written permission", "all rights reserved"),
 }
-#: Rare words that a file is looked up by, and the share of a template's rare words that must lie at its relative positions.
+#: Rare words of a template that files are looked up by, and the share of a template's rare words that must lie at its relative positions.
 LOOKUPS, SHARE = 8, 0.6
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,9 +59,10 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
 
     A-Z are lower-cased; words are runs of ASCII digits, letters and non-ASCII
     characters.  Base labels are those of the phrases found.  The method's: document
-    frequencies of the templates' words over all documents give their IDF; a file is
-    looked up by its LOOKUPS licence words of highest IDF; each posting (template,
-    position) of such a word votes for the place where the template would begin;
+    frequencies of the templates' words over all documents give their IDF; the index
+    holds the LOOKUPS words of highest IDF of each template, and a file is looked up
+    by all of them that it holds; each posting (template, position) of such a word
+    votes for the place where the template would begin;
     a template with SHARE of its rare words at one place, whose mandatory phrase
     the file also holds, adds its label.  score is the largest such share, or 1 if
     a base phrase is found.  Null and empty texts have no word and no label; null
@@ -87,12 +88,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
         chosen = sorted(places, key=lambda p: (-idf[p[1]], p[0]))[:LOOKUPS]
         rare[label] = sorted(chosen)
 
-    # the index: word -> (template, position)
-    index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(idf[w])).alias("idf")) for w in sorted({w for v in rare.values() for _, w in v})])
+    # the words of the index: word -> (template, position); LOOKUPS a template at most, so files need no bound of their own
+    index = F.array(*[F.lit(w) for w in sorted({w for v in rare.values() for _, w in v})])
 
     def judged(w: Column) -> Column:
         base = F.array(*[F.struct(F.lit(label).alias("label"), _starts(w, p).alias("at")) for p, label in phrases.items()])
-        own = let(F.filter(index, lambda x: F.array_contains(w, x["w"])), lambda own: F.transform(F.slice(F.array_sort(own, lambda a, b: F.when(a["idf"] > b["idf"], -1).when(a["idf"] < b["idf"], 1).when(a["w"] < b["w"], -1).otherwise(1)), 1, 4 * LOOKUPS), lambda x: x["w"]))
+        own = F.filter(index, lambda x: F.array_contains(w, x))
         spaced = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
 
         def of_template(label: str, looked: Column) -> Column:

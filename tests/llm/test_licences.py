@@ -37,6 +37,15 @@ def test_templates_found_by_position(spark, docs):
     assert not any(got[i] for i, _ in filler)
 
 
+def test_file_with_all_templates(spark, docs):
+    every = "\n\n".join(t for t, _ in licences.TEMPLATES.values())
+    some = " and ".join(licences.TEMPLATES[k][0] for k in ("mit", "apache", "gpl", "bsd", "cc"))
+    filler = [(100 + i, "some other words that use source and the software in any form") for i in range(30)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs([(1, every), (2, some), *filler])).collect()}
+    assert got[1] == (",".join(sorted(licences.TEMPLATES)), 1.0)
+    assert got[2] == ("apache,bsd,cc,gpl,mit", 1.0)
+
+
 def test_empty_table_and_plan(spark, docs):
     out = licences.scan(docs([]))
     assert out.count() == 0
