@@ -17,7 +17,7 @@ from goldseam.llm.common import load, prepare, stored
 LENGTH, LEAD = 400, 16
 #: Suffixes that a bucket holds on average, and that are sorted together.
 BUCKET, SORTED = 20_000, 16_384
-#: Suffixes of one lead that are sorted together; more are cut into parts that are compared across their boundaries.
+#: Suffixes that are sorted together at most; a lead that goes on is cut into parts that are compared across their boundaries.
 PART = 50_000
 #: Bytes of a text that anchors are chosen in at once.
 SEGMENT = 1 << 23
@@ -234,9 +234,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             if split is None:
                 return
             # a part of a large group: every different window and place of the lead in it, once
-            own, sent = np.array([r[4] == split for r in rows]), set()
+            own = np.array([r[4] == split for r in rows])
             for live, b in windows:
-                out = []
+                out, sent = [], set()
                 for i in live[own[live]].tolist():
                     d = hashlib.blake2b((before[i][len(before[i]) - b :] + after[i])[:length], digest_size=16, salt=b.to_bytes(2, "big")).digest()
                     if d not in sent:
@@ -256,7 +256,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     if len(held) >= SORTED or split is not None:
                         yield from flush(held, split)
                         held, split = [], None
-                elif len(held) >= PART and held[0][4] == row[4]:
+                elif len(held) >= PART:  # earlier leads in the part are complete, this one goes on
                     split = row[4]
                     yield from flush(held, split)
                     held = []

@@ -48,6 +48,33 @@ def test_against_brute_force(spark, docs, monkeypatch, seed, length, hot):
     assert have == brute(rows, length)
 
 
+def test_hot_lead_after_other_rows_is_cut(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(suffixes, "PART", 50)
+    monkeypatch.setattr(suffixes, "SORTED", 100)
+    monkeypatch.setattr(suffixes, "BUCKET", 10**6)
+    own, folder = suffixes.repeated, str(tmp_path)
+
+    def watched(group, before, after, length):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            f.write(f"{len(after)} {len(set(group.tolist()))}")
+        return own(group, before, after, length)
+
+    monkeypatch.setattr(suffixes, "repeated", watched)
+    r = random.Random(6)
+    some = lambda k, alphabet: "".join(r.choices(alphabet, k=k))
+    early, hot = [some(60, "ABCDE") for _ in range(8)], some(60, "uvwxyz")
+    rows = [(i, some(50, "0123456789") + early[i % 8] + some(50, "0123456789")) for i in range(24)]
+    rows += [(100 + i, some(50, "0123456789") + hot + some(50, "0123456789")) for i in range(300)]
+    got = suffixes.remove_repeats(docs(rows), 40).collect()
+    have = sorted(((x["doc_id"], x["n_bytes"], [tuple(s) for s in x["spans"]], bytes(x["kept"])) for x in got), key=repr)
+    assert have == brute(rows, 40)
+    flushed = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert max(n for n, _ in flushed) == 50  # the hot lead came in parts
+    assert any(n == 50 and leads > 1 for n, leads in flushed)  # and one began after other leads
+
+
 def test_anchors_do_not_depend_on_segments(monkeypatch):
     r = random.Random(4)
     text = "".join(r.choices("abc ", k=20000)).encode()
