@@ -38,10 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 400 that occur twice; bytes of a character that a cut splits go too."""
     held = docs.select("doc_id", "text", F.struct("lang", "source").alias("doc"))
-    cut = remove_repeats(held, keep=("doc",))
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(whole)
-    return cut.select("doc_id", text.alias("text"), "doc.*").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = remove_repeats(held, keep=("doc",), whole=True)
+    return cut.select("doc_id", F.col("kept").cast("string").alias("text"), "doc.*").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,13 +273,24 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     return sure.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _whole(t: bytes, a: int, b: int) -> bytes:
+    """t[a:b] without the bytes at its ends of a character that reaches beyond them."""
+    low, high = min(b, a + 3), max(a, b - 3)
+    while 0 < a < low and t[a] & 0xC0 == 0x80:
+        a += 1
+    while high < b < len(t) and t[b] & 0xC0 == 0x80:
+        b -= 1
+    return t[a : max(a, b)]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """(id_col, *keep, n_bytes, spans, kept) of every document: its UTF-8 bytes without repeated strings.
 
     A byte goes if a string of `length` bytes covers it that also starts anywhere
     else in the input, in the same document (overlaps count) or another; strings
     are those of whole documents before any removal.  spans are the maximal removed
-    runs, kept the remaining bytes.  Null and empty texts, and texts of fewer than
+    runs, kept the remaining bytes; with `whole`, without the bytes of characters
+    that an edge of a span splits.  Null and empty texts, and texts of fewer than
     `length` bytes, lose nothing; repeated rows lose everything if they are long
     enough, null ids are no special case, extra columns are ignored, an empty table
     gives an empty one.
@@ -305,7 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 m = _merged([(x["start"], x["stop"]) for x in s or ()])
                 merged.append([{"start": a, "stop": b} for a, b in m])
                 edges = [0, *(x for span in m for x in span), len(t)]
-                left.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                left.append(b"".join(_whole(t, a, b) if whole else t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             cols = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "spans")}
             cols["n_bytes"] = pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64())
             cols["spans"] = pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))

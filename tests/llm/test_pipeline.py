@@ -50,3 +50,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     for p in kept[3]:
         got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
     assert got == size
+
+
+def test_removal_keeps_replacement_characters_of_the_source(spark):
+    r = random.Random(9)
+    passage, a, b, c = ("".join(r.choices("abcdefghij", k=k)) for k in (600, 90, 90, 90))
+    # the shared string starts with the second byte of the character before the passage and ends with the first of that after it
+    rows = [(1, f"\ufffd{a}\ufffdé{passage}ã\ufffd{a}"), (2, f"{b}ĩ{passage}á{b}\ufffd"), (3, f"\ufffd{c}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in P.repeats(spark, docs, "").collect()}
+    want = {1: f"\ufffd{a}\ufffd\ufffd{a}", 2: f"{b}{b}\ufffd", 3: f"\ufffd{c}"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
