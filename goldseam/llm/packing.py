@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -87,12 +87,36 @@ def rounds(queues: dict[str, int], share: dict[str, float], debt: dict[str, floa
         yield took
 
 
+def mixed(rows: list[tuple], sources: Iterable[str], quantum: int) -> list[tuple]:
+    """A shared queue's slices (id, start, doc_tokens, ids) dealt anew: its sources take turns by deficit round-robin."""
+    own: dict[str, list[tuple]] = {}
+    for name, row in zip(sources, rows, strict=True):
+        own.setdefault(name, []).append(row)
+    if len(own) < 2:
+        return rows
+    left = {k: sum(len(x[3]) for x in v) // 4 for k, v in own.items()}
+    total, out = sum(left.values()), []
+    at = {k: [0, 0] for k in own}  # the slice and the place in it
+    for took in rounds(left, {k: n / total for k, n in left.items()}, dict.fromkeys(own, 0.0), quantum, quantum):
+        for k, n in took:
+            while n:
+                piece, place = at[k]
+                i, start, doc_n, ids = own[k][piece]
+                take = min(n, len(ids) // 4 - place)
+                out.append((i, start + place, doc_n, ids[4 * place : 4 * (place + take)]))
+                at[k] = [piece, place + take] if place + take < len(ids) // 4 else [piece + 1, 0]
+                n -= take
+    return out
+
+
 def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0, quantum: int = QUANTUM, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
     """Pieces (id_col, start, length, ids, doc_tokens, sequence_id, offset) of sequences of `window` tokens.
 
     ids holds little-endian 32-bit ids.  A document is its text's ids and end_id.
-    Each source is a queue, a null source the queue of the empty name; beyond
-    QUEUES sources, sources share queues by hash.  The target of each queue is its
+    Each source is a queue, a null source the queue of the empty name.  Beyond
+    QUEUES sources, sources share queues by hash: such a queue holds documents by
+    how far they are in their own source, so each stretch of it has all sources in
+    proportion, and a partition serves its sources by deficit round-robin in turn.  The target of each queue is its
     share of all tokens, so all queues run dry together and every sequence but the
     tail is full.  Partition j covers the sequences from j * span on and starts
     with the deficits that the exact shares leave at its first token, so deficits
@@ -103,9 +127,8 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     empty table gives no pieces.  Texts are tokenised once, into a shared table.
     """
     queue = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
-    names = docs.select(queue.alias("queue")).distinct().limit(QUEUES + 1).count()
-    if names > QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(QUEUES)).cast("string")
+    shared = docs.select(queue.alias("queue")).distinct().limit(QUEUES + 1).count() > QUEUES
+    group = F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string") if shared else F.col("queue")
     source = texts(docs.withColumn("__queue", queue), id_col, text_col, "__queue")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -128,7 +151,7 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     sizes = table.groupBy("queue", "chunk").agg(F.sum("n").alias("m"))
     before = F.sum("m").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     base = stored(sizes.withColumn("base", F.coalesce(before, F.lit(0))).select("queue", "chunk", "base", "m"), "queues")
-    q = {r["queue"]: r["m"] for r in base.groupBy("queue").agg(F.sum("m").alias("m")).collect()}  # QUEUES rows at most
+    q = {r["queue"]: r["m"] for r in base.groupBy(group.alias("queue")).agg(F.sum("m").alias("m")).collect()}  # QUEUES rows at most
     total = sum(q.values())
     span = max(span, -(-2 * len(q) ** 2 // window))  # then rounding never outweighs the largest queue's share of a partition
     unit = window * span
@@ -141,7 +164,7 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
         edge = lru_cache(1 << 16)(lambda k, j: bound(q, total, big, k, j, parts, unit))
         for batch in batches:
             out: list[tuple] = []
-            for k, i, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("queue", "id", "n", "ids", "at")), strict=True):
+            for k, of, i, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("queue", "of", "id", "n", "ids", "at")), strict=True):
                 lo, hi = 0, parts
                 while hi - lo > 1:  # the last partition that starts at or before the document
                     mid = (lo + hi) // 2
@@ -150,12 +173,12 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
                 while start < n:
                     stop = min(n, edge(k, lo + 1) - at)
                     if stop > start:
-                        out.append((lo, k, at + start, i, start, n, ids[start * size : stop * size]))
+                        out.append((lo, k, of, at + start, i, start, n, ids[start * size : stop * size]))
                         start = stop
                     lo += 1
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), batch.column("id").type, pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "queue", "at", "id", "start", "n", "ids"])
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), batch.column("id").type, pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "queue", "of", "at", "id", "start", "n", "ids"])
 
     def serve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, dtype = tokenizer(vocab_file)
@@ -164,6 +187,8 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
         flow, at = {}, {}
         for k, rows in groupby(zip(frame["queue"], frame["id"], frame["start"], frame["n"], frame["ids"], strict=True), key=lambda r: r[0]):
             flow[k] = [(i, int(s), int(n), np.frombuffer(ids, dtype).astype("<u4").tobytes()) for _, i, s, n, ids in rows]
+            if shared:
+                flow[k] = mixed(flow[k], frame.loc[frame["queue"] == k, "of"], quantum)
             at[k] = [0, 0]  # the slice and the place in it
         lengths = {k: sum(len(x[3]) for x in v) // 4 for k, v in flow.items()}
         share = {k: q[k] / total for k in flow}
@@ -191,8 +216,21 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
             frame["id"] = frame["id"].astype("Int64" if frame["id"].dropna().map(type).eq(int).all() else object)
         return frame
 
-    placed = table.join(base, ["queue", "chunk"]).select("queue", "id", "n", "ids", (F.col("base") + F.col("off")).alias("at"))
-    sliced = placed.mapInArrow(slices, f"part long, queue string, at long, id {kind}, start long, n long, ids binary")
+    at = (F.col("base") + F.col("off")).alias("at")
+    if shared:
+        # a document's place in its queue: by how far it is in its source, each source with a phase of its own
+        whole = base.withColumn("all", F.sum("m").over(Window.partitionBy("queue")))
+        phase = F.pmod(F.xxhash64("of", F.lit("phase")), F.lit(1 << 20)) / (1 << 20)
+        far = table.join(whole, ["queue", "chunk"]).select(group.alias("queue"), F.col("queue").alias("of"), "id", "n", "ids", at, "all")
+        far = far.withColumn("far", (F.col("at") + F.col("n") * phase) / F.col("all")).withColumn("cell", F.floor(F.col("far") * parts))
+        until = F.sum("m").over(Window.partitionBy("queue").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+        cells = far.groupBy("queue", "cell").agg(F.sum("n").alias("m")).select("queue", "cell", F.coalesce(until, F.lit(0)).alias("until"))
+        inside = F.sum("n").over(Window.partitionBy("queue", "cell").orderBy("far", "of", "at").rowsBetween(Window.unboundedPreceding, -1))
+        far = far.withColumn("inside", F.coalesce(inside, F.lit(0))).join(cells, ["queue", "cell"])
+        placed = far.select("queue", "of", "id", "n", "ids", (F.col("until") + F.col("inside")).alias("at"))
+    else:
+        placed = table.join(base, ["queue", "chunk"]).select("queue", F.lit(None).cast("string").alias("of"), "id", "n", "ids", at)
+    sliced = placed.mapInArrow(slices, f"part long, queue string, of string, at long, id {kind}, start long, n long, ids binary")
     pieces = sliced.groupBy("part").applyInPandas(serve, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("id", id_col)
 

@@ -84,3 +84,21 @@ def test_empty_table_and_many_sources(spark, docs):
     assert packing.pack(docs([], "source string"), VOCAB).count() == 0
     data = [(i, "a b", f"s{i}") for i in range(300)]
     check(data, packing.pack(docs(data, "source string"), VOCAB, window=32, span=4, quantum=4).collect(), 32)
+
+
+def test_mixture_with_more_sources_than_queues(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    names = ["hot"] * 300 + [f"s{i // 10}" for i in range(200)]  # each source in one clump of the input
+    data = [(i, "the word " * 20, s) for i, s in enumerate(names)]
+    got = packing.pack(docs(data, "source string"), VOCAB, window=64, quantum=8, span=16).collect()
+    sizes = check(data, got, 64)
+    took = defaultdict(lambda: defaultdict(int))
+    for p in got:
+        took[data[p["doc_id"]][2]][p["sequence_id"]] += p["length"]
+    worst, longest = 0, max(p["doc_tokens"] for p in got)
+    for of_source in took.values():
+        share, have, want = sum(of_source.values()) / sum(sizes), 0, 0.0
+        for k, n in enumerate(sizes):
+            have, want = have + of_source[k], want + share * n
+            worst = max(worst, abs(have - want))
+    assert worst <= 2 * longest
