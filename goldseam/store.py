@@ -7,11 +7,16 @@ reads exactly the rows that the first attempt saw.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables of the innermost block of temporary(); None outside of any.
+_open: ContextVar[list[str] | None] = ContextVar("open tables", default=None)
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, always through Spark's own reader."""
@@ -19,10 +24,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local master uses a folder of the warehouse; on a cluster
+    no folder can be guessed that all executors see, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="goldseam-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -31,5 +42,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and return the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/goldseam/{label}-{uuid.uuid4().hex}"
+    if (tables := _open.get()) is not None:
+        tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by path, wherever they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are stored in the block are deleted at its end, but for those stored by the function it yields."""
+    outer, own = _open.get(), []
+    token = _open.set(own)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _open.set(outer)
+        try:
+            return stored(df, label)
+        finally:
+            _open.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        dropped(spark, own)
