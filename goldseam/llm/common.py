@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldseam.store import load, shared_dir, stored  # noqa: F401  (re-exported)
+from goldseam.store import load, shared_dir, stored, temporary  # noqa: F401  (re-exported)
 
 #: The six ASCII characters that end a word.
 WHITE = " \t\n\x0b\x0c\r"
 
 #: Rows and bytes that one Arrow batch may hold, so that long texts don't fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import load, prepare, stored
+from goldseam.llm.common import load, prepare, stored, temporary
 
 #: Bytes of a string that counts as repeated, and of the strings that choose anchors.
 LENGTH, LEAD = 400, 16
 #: Suffixes that a bucket holds on average, and that are sorted together.
 BUCKET, SORTED = 20_000, 16_384
-#: Suffixes that are sorted together at most; a lead that goes on is cut into parts that are compared across their boundaries.
-PART = 50_000
-#: Bytes of a text that anchors are chosen in at once.
-SEGMENT = 1 << 23
+#: Suffixes that may share a lead and be sorted together; beyond, the lead is split by the bytes around it.
+PART = 2_048
+#: Bytes of a text that anchors are chosen in at once, and rows that leave a worker at once.
+SEGMENT, ROWS = 1 << 20, 8_192
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,27 +30,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of suffixes that stand for all others.
+def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, stretches) of suffixes that stand for all others, a segment of the text after the other.
 
     Of every `length`-byte window, the leftmost LEAD-byte string of least hash is
     chosen.  The choice depends on the window alone, so equal windows have their
     anchor at the same place in them: to find all windows that occur twice it is
-    enough to compare suffixes at anchors, forwards and backwards.
+    enough to compare suffixes at anchors, forwards and backwards.  Places inside
+    a periodic stretch are left out, but for one at either end (see periodic).
     """
-    out, hashes = [], []
-    for at in range(0, max(1, len(text) - length + 1), SEGMENT):
-        x = np.frombuffer(text[at : at + SEGMENT + length - 1], np.uint8)
-        if len(x) < length:
-            continue
+    last = -1
+    w = length - LEAD + 1
+    mask = np.uint64((1 << 24) - 1)
+    for at in range(0, len(text) - length + 1, SEGMENT):
+        x = np.frombuffer(text, np.uint8, min(SEGMENT + length - 1, len(text) - at), at)
         g, size = x.astype(np.uint64) + np.uint64(1), 1
         while size < LEAD:
             g = g[:-size] * np.uint64(pow(int(_M), size, 1 << 64)) + g[size:]
             size *= 2
         g = _mix(_mix(g))
-        mask = np.uint64((1 << 24) - 1)
         key = (g & ~mask) | np.arange(len(g), dtype=np.uint64)
-        w = length - LEAD + 1
         padded = np.full(-(-len(key) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
         padded[: len(key)] = key
         rows = padded.reshape(-1, w)
@@ -59,11 +58,37 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
         n = len(x) - length + 1
         best = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & mask).astype(np.int64)
         best = best[np.flatnonzero(np.diff(best, prepend=-1))]
-        out.append(best + at)
-        hashes.append(g[best].view(np.int64))
-    places = np.concatenate(out) if out else np.empty(0, np.int64)
-    first = np.flatnonzero(np.diff(places, prepend=-1) > 0)
-    return places[first], np.concatenate(hashes)[first] if out else places
+        best = best[best + at > last]
+        if len(best):
+            last = int(best[-1]) + at
+        kept, stretches = periodic(x, best, length)
+        yield kept + at, stretches + at
+
+
+def periodic(x: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places that are needed, stretches as rows of start and stop) of a segment with these anchors.
+
+    In a stretch of four lengths or more that repeats with period d, d at most a
+    length, every window of `length` bytes occurs twice, so all of it goes.  Where
+    anchors follow each other at distance d in it, their surroundings are equal:
+    the first and the last whose surroundings lie in the stretch stand for those
+    between them.  A text of one byte has a few anchors a segment, not one a byte.
+    """
+    none = np.empty((0, 2), np.int64)
+    d = np.diff(places)
+    edge = np.flatnonzero(np.diff(d, prepend=0, append=0))
+    low, high = places[edge[:-1]], places[edge[1:]]  # of runs at one distance
+    long = np.flatnonzero(high - low >= 4 * length)
+    needed, out = np.ones(len(places), bool), []
+    for r in long.tolist():
+        a, b, step = int(low[r]), int(high[r]), int(d[edge[r]])
+        breaks = np.flatnonzero(x[a : b - step] != x[a + step : b]) + a
+        for u, v in zip([a, *(breaks + 1).tolist()], [*(breaks + step).tolist(), b], strict=True):
+            if v - u >= 4 * length:
+                out.append((u, v))
+                inside = np.flatnonzero((places >= u + length) & (places <= v - length))
+                needed[inside[1:-1]] = False
+    return places[needed], np.array(out, np.int64) if out else none
 
 
 def multikey_order(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -89,17 +114,16 @@ def multikey_order(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(group: np.ndarray, before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, Iterator]:
+def repeated(group: np.ndarray, before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) per suffix: how far before its place its nearest and its farthest repeated window start; most is -1 without one.
 
-    before and after are the bytes on either side of each place, half a length and
-    a length at most; suffixes of a group share half a length.  The suffixes are
+    before and after are the bytes on either side of each place, those of windows
+    that the suffix answers for; suffixes of a group share their lead.  They are
     sorted within their groups, neighbours' common prefixes measured.  Windows that
     start b bytes before are equal where the suffixes agree in length - b bytes,
-    thus lie in one run of the sorted order, and agree in b bytes backwards.  The
-    third result yields (rows, b) of every window, for comparison with other parts.
+    thus lie in one run of the sorted order, and agree in b bytes backwards.
     """
-    n, back = len(after), length - length // 2
+    n, back = len(after), max(1, *map(len, before))
     wide = -(-length // 8) * 8
     fore = np.frombuffer(b"".join(a.ljust(wide, b"\0") for a in after), np.uint8).reshape(n, wide)
     rear = np.frombuffer(b"".join(x[::-1].ljust(back, b"\0") for x in before), np.uint8).reshape(n, back)
@@ -112,41 +136,18 @@ def repeated(group: np.ndarray, before: list[bytes], after: list[bytes], length:
     lcp = np.where(group[1:] == group[:-1], lcp, 0)
     near = np.maximum(np.concatenate([[0], lcp]), np.concatenate([lcp, [0]]))
     least, most = np.full(n, length), np.full(n, -1)
-    columns = np.ascontiguousarray(rear.T).astype(np.uint64)
-
-    # suffixes whose whole surroundings are equal: one stands for all of them
-    h = lb.astype(np.uint64) * np.uint64(0x100000001) + la.astype(np.uint64)
-    for b in range(back):
-        h = (h ^ columns[b]) * _M
-        h ^= h >> np.uint64(32)
-    run = np.cumsum(np.concatenate([[0], lcp < np.minimum(la[1:], length)]) | np.concatenate([[0], la[1:] != la[:-1]]))
-    full = _mix(h + run.astype(np.uint64) * _M)
-    _, stands, inverse, count = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
-    first = np.zeros(n, bool)
-    first[stands] = True
-    twin = (count > 1)[inverse]
-    low, high = np.maximum(0, length - la), np.minimum(lb, back)
-    ok = twin & (low <= high)
-    least[ok], most[ok] = low[ok], high[ok]
-
-    def windows() -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        h = np.zeros(n, np.uint64)
-        for b in range(back + 1):
-            if b:
-                h = (h ^ columns[b - 1] ^ np.uint64(0x5851F42D)) * _M
-                h ^= h >> np.uint64(32)
-            f = length - b
-            live = np.flatnonzero(first & (la >= f) & (lb >= b))
-            yield live, b, h
-
-    for live, b, h in windows():
+    # of the suffixes whose neighbours share b bytes less than a length, those equal in b bytes backwards too
+    backwards = np.zeros(n, np.int64)
+    for b in range(back + 1):
         f = length - b
-        live = live[near[live] >= f]
+        if b:
+            backwards = np.unique(backwards * 256 + rear[:, b - 1], return_inverse=True)[1]
+        live = np.flatnonzero((la >= f) & (lb >= b) & (near >= f))
         if len(live) < 2:
             continue
         run = np.cumsum(np.concatenate([[0], lcp < f]))
-        key = _mix(h[live] + run[live].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        o = np.argsort(key)
+        key = run[live] * n + backwards[live]
+        o = np.argsort(key, kind="stable")
         k = key[o]
         eq = np.concatenate([[False], k[1:] == k[:-1], [False]])
         hit = live[o[eq[1:] | eq[:-1]]]
@@ -154,7 +155,24 @@ def repeated(group: np.ndarray, before: list[bytes], after: list[bytes], length:
         most[hit] = np.maximum(most[hit], b)
     back_to = np.empty(n, np.int64)
     back_to[order] = np.arange(n)
-    return least[back_to], most[back_to], ((order[live], b) for live, b, _ in windows())
+    return least[back_to], most[back_to]
+
+
+def narrowed(place: int, before: bytes, after: bytes, reach: int, length: int = LENGTH) -> Iterator[tuple[int, bytes, bytes, bytes, int]]:
+    """The two halves (place, before, after, lead, reach) of a suffix that answers for windows up to `reach` bytes before its place.
+
+    Each answers for half of these windows, so all of its windows hold a lead that
+    is longer by half the reach.  A half whose windows the text has no room for is
+    left out; with reach 0, the lead is the only window, and equal in all that share it.
+    """
+    near = reach // 2
+    for shift, left in ((0, near), (near + 1, reach - near - 1)):
+        if shift <= len(before):
+            ahead = (before[len(before) - shift :] + after)[:length]
+            lead = ahead[: length - left]
+            if len(lead) == length - left:
+                behind = before[: len(before) - shift]
+                yield place - shift, behind[max(0, len(behind) - left) :], ahead, lead, left
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,103 +191,124 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     A window that holds an anchor holds the half length from it on, or the half
     before it: so each anchor gives two suffixes whose leads, half a length each,
     must be shared.  Suffixes with equal surroundings are covered as far as windows
-    reach, and one of them stands for all; only those with a common lead but
+    reach, and one of them goes on for all; only those with a common lead but
     different surroundings are sorted and compared.
     """
+    if length < 2 * LEAD:
+        raise ValueError(f"length must be {2 * LEAD} at least")
     half = length // 2
+    reach = length - half
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = anchors(t, length)[0]
-                for q in np.union1d(p, p - half).tolist():
-                    if q >= 0 and q + half <= len(t):
-                        lo, hi = max(0, q - (length - half)), min(len(t), q + length)
-                        rows.append((h(t[q : q + half]), h(t[lo:hi], q - lo), k, q, q - lo, hi - q))
+        names = ["lead", "around", "key", "place", "back", "ahead"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        rows: list[tuple] = []
+
+        def full(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(c, pa.int64()) for c in cols[2:4]] + [pa.array(c, pa.int32()) for c in cols[4:]]
-            yield pa.RecordBatch.from_arrays(arrays, ["lead", "around", "key", "place", "back", "ahead"])
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
 
-    found = stored(keyed.mapInArrow(find, "lead long, around long, key long, place long, back int, ahead int"), "anchors")
+        sign = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                k, t = k.as_py(), t.as_py()
+                for p, stretches in anchors(t, length):
+                    rows += [(None, None, k, a, 0, b - a) for a, b in stretches.tolist()]
+                    q = np.union1d(p, p - half)
+                    for q in q[(q >= 0) & (q + half <= len(t))].tolist():
+                        lo, hi = max(0, q - reach), min(len(t), q + length)
+                        rows.append((sign(h(t[q : q + half])), sign(h(t[lo:hi], q - lo)), k, q, q - lo, hi - q))
+                        if len(rows) >= ROWS:
+                            yield full(rows)
+                            rows = []
+        yield full(rows)
+
+    found = stored(keyed.mapInArrow(find, "lead long, around long, key binary, place long, back long, ahead long"), "anchors")
+    stretches = found.where("lead is null").select("key", F.col("place").alias("start"), (F.col("place") + F.col("ahead")).alias("stop"))
+    found = found.where("lead is not null")
     # tasks combine counts before they shuffle, and Spark splits the semi joins' hot keys: no lead has to fit one task
     groups = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("c"), F.first("key").alias("key"), F.first("place").alias("place"))
     groups = stored(groups, "surroundings")
     twins = found.where(F.col("back") + F.col("ahead") >= length).join(groups.where("c > 1").select("lead", "around"), ["lead", "around"], "left_semi")
-    stop = F.col("place") - F.greatest(F.lit(0), F.lit(length) - F.col("ahead")) + length
-    twins = twins.select("key", (F.col("place") - F.col("back")).alias("start"), stop.alias("stop"))
+    twins = twins.select("key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("stop")).unionByName(stretches)
     several = groups.groupBy("lead").agg(F.min("around").alias("low"), F.max("around").alias("high")).where("low <> high").select("lead")
     apart = groups.join(several, "lead", "left_semi").select("key", F.col("place").alias("start"), F.lit(None).cast("long").alias("stop"))
     # proven spans, and with a null stop the suffixes to compare
     picked = stored(twins.unionByName(apart), "picked")
     wanted = picked.where("stop is null").groupBy("key").agg(F.collect_set("start").alias("at"))
 
+    names = ["key", "place", "before", "after", "lead", "reach"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+    shape = "key binary, place long, before binary, after binary, lead binary, reach int"
+
+    def suffixes_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), ROWS):
+            cols = zip(*rows[i : i + ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
+
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "place", "before", "after", "lead"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            for k, t, at in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "at")), strict=True):
-                rows = [(k, q, t[max(0, q - (length - half)) : q], t[q : q + length], t[q : q + half]) for q in sorted(at)]
-                for i in range(0, len(rows), 4096):
-                    cols = zip(*rows[i : i + 4096], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
+            for k, t, at in zip(*(batch.column(c) for c in ("key", "text", "at")), strict=True):
+                k, t, at = k.as_py(), t.as_py(), np.sort(at.values.to_numpy())
+                for i in range(0, len(at), ROWS):
+                    yield from suffixes_of([(k, q, t[max(0, q - reach) : q], t[q : q + length], t[q : q + half], reach) for q in at[i : i + ROWS].tolist()])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "place", "before", "after", "reach")), strict=True)
+            yield from suffixes_of([(k, *x) for k, *row in rows for x in narrowed(*row, length)])
 
     # rows of equal id and text are one key, and one of them is enough
     one = keyed.join(wanted, "key").dropDuplicates(["key"])
-    suffixes = stored(one.mapInArrow(surroundings, "key long, place long, before binary, after binary, lead binary"), "suffixes")
+    level = stored(one.mapInArrow(surroundings, shape), "suffixes")
+    sure, ready = picked.where("stop is not null"), []
+    while True:  # once, and again for every halving of the reach while a lead is too common
+        sizes = level.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
+        hot = stored(sizes.where(F.col("c") > PART).select("lead"), "hot-leads")
+        if not hot.limit(1).count():
+            ready.append(level)
+            break
+        ready.append(level.join(hot, "lead", "left_anti").select(*names))
+        halves = level.join(hot, "lead", "left_semi").mapInArrow(narrow, shape)
+        halves = halves.withColumn("behind", F.octet_length("before")).withColumn("around", F.md5(F.concat("before", "after")))
+        halves = stored(halves, "halves")
+        # two suffixes can be narrowed to one and the same, which is no repeat
+        same = halves.groupBy("reach", "behind", "around").agg(F.min(F.struct(*names)).alias("one"), F.max(F.struct("key", "place")).alias("other"))
+        same = stored(same, "surroundings")
+        again = halves.join(same.where("one.key <> other.key or one.place <> other.place").select("reach", "behind", "around"), ["reach", "behind", "around"], "left_semi")
+        ahead = F.octet_length("after")
+        again = again.where(F.col("behind") + ahead >= length)
+        sure = sure.unionByName(again.select("key", (F.col("place") - F.col("behind")).alias("start"), (F.col("place") + ahead).alias("stop")))
+        halves = same.select("one.*")
+        shared = halves.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead")
+        level = stored(halves.join(shared, "lead", "left_semi").select(*names), "suffixes")
+    suffixes = reduce(DataFrame.unionByName, ready)
     buckets = max(1, -(-suffixes.count() // BUCKET))
+    # splitters are leads, so no two suffixes that share a window lie on either side of a boundary
     dealt = suffixes.repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush(rows: list[tuple], split: bytes | None) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
             group = np.cumsum([0, *(a[4] != b[4] for a, b in zip(rows, rows[1:], strict=False))])
-            before, after = [r[2] for r in rows], [r[3] for r in rows]
-            least, most, windows = repeated(group, before, after, length)
+            least, most = repeated(group, [r[2] for r in rows], [r[3] for r in rows], length)
             hit = np.flatnonzero(most >= 0)
-            keys, places = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            yield batch_of(keys[hit], places[hit] - most[hit], places[hit] - least[hit] + length, [None] * len(hit))
-            if split is None:
-                return
-            # a part of a large group: every different window and place of the lead in it, once
-            own = np.array([r[4] == split for r in rows])
-            for live, b in windows:
-                out, sent = [], set()
-                for i in live[own[live]].tolist():
-                    d = hashlib.blake2b((before[i][len(before[i]) - b :] + after[i])[:length], digest_size=16, salt=b.to_bytes(2, "big")).digest()
-                    if d not in sent:
-                        sent.add(d)
-                        out.append((rows[i][0], rows[i][1] - b, d))
-                if out:
-                    start = np.array([x[1] for x in out])
-                    yield batch_of(np.array([x[0] for x in out]), start, start + length, [x[2] for x in out])
-
-        def batch_of(keys, start, stop, window) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(window, pa.binary())], ["key", "start", "stop", "window"])
-
-        split = None
+            places = np.array([r[1] for r in rows])
+            keys = pa.array([rows[i][0] for i in hit.tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([keys, pa.array(places[hit] - most[hit], pa.int64()), pa.array(places[hit] - least[hit] + length, pa.int64())], ["key", "start", "stop"])
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "before", "after", "lead")), strict=True):
-                if held and held[-1][4] != row[4]:
-                    if len(held) >= SORTED or split is not None:
-                        yield from flush(held, split)
-                        held, split = [], None
-                elif len(held) >= PART:  # earlier leads in the part are complete, this one goes on
-                    split = row[4]
-                    yield from flush(held, split)
+                if len(held) >= SORTED and held[-1][4] != row[4]:
+                    yield flush(held)
                     held = []
                 held.append(row)
         if held:
-            yield from flush(held, split)
-
-    found = dealt.mapInArrow(compare, "key long, start long, stop long, window binary")
-    found = stored(found, "spans")
-    across = found.where("window is not null")
-    in_two = across.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window")
-    sure = found.where("window is null").select("key", "start", "stop").unionByName(across.join(in_two, "window", "left_semi").select("key", "start", "stop"))
-    sure = sure.unionByName(picked.where("stop is not null"))
+            yield flush(held)
+
+    sure = sure.unionByName(dealt.mapInArrow(compare, "key binary, start long, stop long"))
     return sure.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -297,17 +336,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Anchored suffixes (see anchors and repeated_spans) with a common lead are dealt
     to buckets by sampled splitters of their leading bytes, sorted there by multikey
-    quicksort and compared with their neighbours.  More than PART suffixes of one
-    lead are sorted in parts, and the windows that the parts hold are compared
-    across their boundaries by hash, so that memory doesn't grow with a common
-    passage.
+    quicksort and compared with their neighbours.  A lead of more than PART suffixes
+    is split by the bytes around it, again and again (see narrowed), until few
+    share a lead or the lead is a whole window, which needs no comparison: neither
+    a task's rows nor its memory grow with a common passage.  Boundaries lie
+    between leads, so nothing is left to compare across them.  Intermediate
+    tables are deleted once the spans are stored.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), *keep)
-    # a row is known by its id and text: rows equal in both have equal spans
-    source = source.withColumn("key", F.xxhash64("id", "text"))
-    spans = repeated_spans(source.select("key", "text"), length)
+    # a row is known by a 128-bit digest of its id and text: rows equal in both have equal spans
+    named = F.concat(F.coalesce(F.col("id").cast("string").cast("binary"), F.lit(b"")), F.lit(b"\0"), F.col("text"))
+    source = source.withColumn("key", F.unhex(F.md5(named)))
+    with temporary(docs.sparkSession) as result:
+        spans = result(repeated_spans(source.select("key", "text"), length), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
