@@ -19,6 +19,9 @@ from goldseam.store import load, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of a repeated string that goes: 50 words of three letters and a space, so that no passage of over 50 longer words is missed.
+PASSAGE = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects."""
@@ -36,9 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that occur twice; bytes of a character that a cut splits go too."""
+    """Texts without the byte strings of PASSAGE that occur twice, their first copy included; bytes of a character that a cut splits go too.
+
+    Near copies are gone by now, so what still repeats is boilerplate and passages
+    spliced into other texts: no document has a better claim to them than another.
+    """
     held = docs.select("doc_id", "text", F.struct("lang", "source").alias("doc"))
-    cut = remove_repeats(held, keep=("doc",), whole=True)
+    cut = remove_repeats(held, PASSAGE, keep=("doc",), whole=True)
     return cut.select("doc_id", F.col("kept").cast("string").alias("text"), "doc.*").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
