@@ -10,7 +10,7 @@ import public_tokenizers
 def test_stages_against_brute_force(spark, tmp_path):
     r = random.Random(8)
     words = [f"w{i}é" for i in range(500)]
-    passage = " ".join(r.choices(words, k=120))
+    passage = " ".join(r.choices(words, k=52))
     rows = []
     for i in range(60):
         text = " ".join(r.choices(words, k=r.randint(30, 90)))
@@ -33,15 +33,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = {i: kept[1][i]["text"].encode() for i in kept[1]}
     seen: dict = {}
     for i, t in left.items():
-        for k in range(len(t) - 399):
-            seen.setdefault(t[k : k + 400], []).append((i, k))
+        for k in range(len(t) - P.PASSAGE + 1):
+            seen.setdefault(t[k : k + P.PASSAGE], []).append((i, k))
     for i, t in left.items():
         gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if len(seen[t[k : k + 400]]) > 1:
-                gone[k : k + 400] = True
+        for k in range(len(t) - P.PASSAGE + 1):
+            if len(seen[t[k : k + P.PASSAGE]]) > 1:
+                gone[k : k + P.PASSAGE] = True
         assert kept[2][i]["text"] == bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore")
         assert kept[2][i]["n_chars"] == len(kept[2][i]["text"])
+    assert passage in "".join(x["text"] for x in kept[1].values()) and passage not in "".join(x["text"] for x in kept[2].values())
+    assert sum(kept[2][i] == kept[1][i] for i in kept[1]) > 30  # texts without the passage are left alone
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
