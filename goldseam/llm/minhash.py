@@ -8,10 +8,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import load, stored, texts
+from goldseam.llm.common import load, stored, temporary, texts
 from goldseam.operators.components import connected_components
 
 #: Bands and minima of a band.  A pair of similarity 0.8 shares none of 42 bands of 6 with a chance of 3 in a million.
@@ -20,10 +20,12 @@ BANDS, ROWS = 42, 6
 PERMUTATIONS, BITS = 1536, 2
 #: Standard deviations by which an estimate may fall short before a candidate is dropped.
 SLACK = 4.0
-#: Members of a bucket that are compared in one block, and members that one leader's task confirms.
+#: Members of a bucket whose signatures are compared in one block, and members that one leader's task confirms.
 BLOCK, MEMBERS = 2048, 2000
+#: Members and bytes of sets of a bucket that are compared exactly in one block.
+EXACT, EXACT_BYTES = 1024, 8 << 20
 #: Words that one worker's cache of hashes holds before it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 
 
 @lru_cache(2)
@@ -128,6 +130,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(bands(minima(s, BANDS * ROWS)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+        _words.clear()
 
     source = texts(docs, id_col, text_col)
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, digest binary, bands array<long>")
@@ -181,76 +184,102 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, least: int, best: bool) -> DataFrame:
-    """(a, b), a < b, of one bucket but different components, whose b-bit minima agree in `least` places at least.
+def _dealt(members: DataFrame, parts: Column, *carried: str) -> DataFrame:
+    """Rows (key, i, j, own, *carried) such that every two members of a bucket meet in one pair of blocks (i, j), own being the row's block."""
+    blocks = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = blocks.select("key", "own", *carried, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *carried)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple]]]:
+    """(left, right, rows) of each pair of blocks: the places of either block's members in rows, which hold the columns."""
+    held: list[tuple] = []
+
+    def whole() -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        own = np.array([r[3] for r in held])
+        return np.flatnonzero(own == held[0][1]), np.flatnonzero(own == held[0][2]), [r[4:] for r in held]
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", *columns)), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield whole()
+                held = []
+            held.append(row)
+    if held:
+        yield whole()
 
-    best: for each member only the likeliest partner that all its buckets have.
-    Otherwise each pair is told by one bucket, that of least key among those it
-    shares: every bucket that holds two components is in members, so all know.
 
-    A bucket of more than BLOCK members is cut into blocks by hash, and every pair
-    of blocks is compared by a task of its own, in numpy.  Only what passes leaves.
+def likeliest(members: DataFrame, least: int) -> DataFrame:
+    """(key, a, b, m): for each member (key, id, size, component, sketch) of a bucket its likeliest partner of another component.
+
+    Members without a partner whose b-bit minima agree in `least` places at least are
+    left out.  A bucket of more than BLOCK members is cut into blocks by hash, and
+    every pair of blocks is compared by a task of its own, in numpy: a row for each
+    member of a block leaves it at most.
     """
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocks = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
-    if best:
-        blocks = blocks.withColumn("prior", F.array().cast("array<long>"))
-    else:
-        keys = members.groupBy("id").agg(F.collect_set("key").alias("prior"))
-        blocks = blocks.join(keys, "id").withColumn("prior", F.filter("prior", lambda k: k < F.col("key")))
-    dealt = blocks.select("key", "own", "id", "component", "sketch", "prior", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "prior")
-    rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-
-    def compare(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, prior: list[set], left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows (a, b, equal minima)."""
-        for at in range(0, len(left), 128):
-            x = left[at : at + 128]
-            p, q = np.nonzero(comps[x][:, None] != comps[right])
-            m = PERMUTATIONS - _differing(sk[x[p]], sk[right[q]]).astype(np.int64)
-            p, q, m = (v[m >= least] for v in (p, q, m))
-            if best:
-                order = np.lexsort((ids[right[q]], -m, p))
-                first = order[np.unique(p[order], return_index=True)[1]]
-                p, q, m = p[first], q[first], m[first]
-            else:
-                own = np.fromiter((prior[i].isdisjoint(prior[j]) for i, j in zip(x[p], right[q], strict=True)), bool, len(p))
-                p, q, m = p[own], q[own], m[own]
-            yield np.stack([ids[x[p]], ids[right[q]], m], 1)
+    dealt = _dealt(members, F.ceil(F.col("size") / BLOCK).cast("int"), "id", "component", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush(held: list[tuple]) -> list[np.ndarray]:
-            own, ids, comps = (np.array([r[k] for r in held]) for k in (3, 4, 5))
-            sk = np.array([r[6] for r in held], np.int64).view(np.uint64)
-            left, right = np.flatnonzero(own == held[0][1]), np.flatnonzero(own == held[0][2])
-            prior = [set(r[7]) for r in held]
-            out = list(compare(ids, comps, sk, prior, left, right))
-            return [*out, *compare(ids, comps, sk, prior, right, left)] if best and held[0][1] != held[0][2] else out
-
-        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-            if not best:
-                rows[:, :2].sort(axis=1)
-            rows = np.unique(rows, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "m"])
+        for left, right, rows in _by_block(batches, "id", "component", "sketch", "key"):
+            ids, comps, sk = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64)
+            out = []
+            both_ways = ((left, right), (right, left)) if len(left) and len(right) and left[0] != right[0] else ((left, right),)
+            for x_all, y in both_ways:
+                for at in range(0, len(x_all), 128):
+                    x = x_all[at : at + 128]
+                    p, q = np.nonzero(comps[x][:, None] != comps[y])
+                    m = PERMUTATIONS - _differing(sk[x[p]], sk[y[q]]).astype(np.int64)
+                    p, q, m = (v[m >= least] for v in (p, q, m))
+                    order = np.lexsort((ids[y[q]], -m, p))
+                    first = order[np.unique(p[order], return_index=True)[1]]
+                    out.append(np.stack([ids[x[p[first]]], ids[y[q[first]]], m[first]], 1))
+            found = np.concatenate(out) if out else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows[0][3])), *[pa.array(found[:, k].copy()) for k in range(3)]], ["key", "a", "b", "m"])
+
+    return dealt.mapInArrow(run, "key long, a long, b long, m long")
+
+
+def forests(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components that join all members (key, id, component, set) of a bucket that full sets link.
+
+    Every two members of different components are compared exactly, block by block,
+    unless links found in the block have joined them already: a block emits fewer
+    rows than it has members, however many of their pairs are linked.
+    """
+    percent = round(100 * threshold)
+    members = members.select("key", "id", "component", "set")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("set")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("size") / EXACT), F.ceil(F.col("bytes") / EXACT_BYTES)).cast("int")
+    dealt = _dealt(members.join(sizes, "key"), parts, "id", "component", "set")
 
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "component", "sketch", "prior")), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    found += flush(held)
-                    held = []
-                held.append(row)
-            yield batch_of(found)
-        if held:
-            yield batch_of(flush(held))
-
-    out = rows.mapInArrow(run, "a long, b long, m long")
-    if best:
-        out = out.groupBy("a").agg(F.max(F.struct("m", F.negative("b").alias("b"))).alias("top")).select("a", F.negative("top.b").alias("b"))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, rows in _by_block(batches, "id", "component", "set"):
+            out = []
+            if len(left) and len(right):
+                sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+                label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+                n = np.array([len(s) for s in sets])
+                dense = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+                ends = np.cumsum(n)
+                mark = np.zeros(int(dense.max()) + 1, np.int32)
+                # rows are sorted by block, so the right block's sets lie side by side
+                flat, starts = dense[ends[right[0]] - n[right[0]] : ends[right[-1]]], (ends - n)[right] - (ends[right[0]] - n[right[0]])
+                for i in left.tolist():
+                    near = 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+                    open_ = near & (label[right] != label[i]) & (right > i)
+                    if not open_.any():
+                        continue
+                    mark[dense[ends[i] - n[i] : ends[i]]] = 1
+                    common = np.add.reduceat(mark[flat], starts)
+                    mark[dense[ends[i] - n[i] : ends[i]]] = 0
+                    for j in right[open_ & (100 * common >= percent * (n[i] + n[right] - common))].tolist():
+                        if label[i] != label[j]:
+                            label[label == label[j]] = label[i]
+                            out.append((rows[i][0], rows[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,14 +299,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     3. Members of shared buckets get a longer signature of packed low bits.  In each
        bucket, every member is paired with the smallest.  What the bit counts don't
        rule out is confirmed on full sets and joined to components.
-    4. In buckets that still hold several components, pairs across components are
-       estimated by bit counts, block by block, and confirmed likewise: twice only
-       the likeliest partner of each member, which joins what one leader left
-       apart, and then all pairs that remain.
+    4. In buckets that still hold several components, signatures are compared block
+       by block.  First each member's likeliest partner of another component is
+       confirmed, which joins what one leader left apart.  Then members that still
+       have a likely partner are compared on full sets within the blocks, which
+       emit only links that join components (see forests).
     Every pair of a bucket is thus in one component or was compared, so no link is
     lost that any band has seen, yet a bucket of like texts costs one comparison a
-    member.  No step gathers links, buckets or components on the driver.
+    member, and rows that leave a block never outnumber its members.  No step
+    gathers links, buckets or components on the driver.  Intermediate tables are
+    deleted once the result is stored.
     """
+    with temporary(docs.sparkSession) as result:
+        return result(_near_duplicates(docs, shingle_words, threshold, id_col, text_col), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     sig = stored(signatures(docs, shingle_words, id_col, text_col), "signatures")
     known = sig.where("id is not null and n > 0")
     classes = stored(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
@@ -292,6 +329,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
             sets = [shingle_set(t, shingle_words) for t in batch.column(1).to_pylist()]
             sketches = [pack(minima(s, PERMUTATIONS)).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "set", "sketch"])
+        _words.clear()
 
     source = texts(docs, id_col, text_col).select(F.col("id").cast("long"), "text")
     likely = source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
@@ -301,19 +339,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     left, right = sketches.toDF("a", "x"), sketches.toDF("b", "y")
     pairs = stored(pairs.join(left, "a").join(right, "b").where(_matches("x", "y") >= least).select("a", "b"), "pairs")
-
     links = stored(confirm(pairs, likely, threshold), "links")
-    found = connected_components(links)
-    for best in (True, True, False):
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components, with their sketches."""
         now = members.join(found.toDF("id", "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = _across(now.join(open_keys, "key", "left_semi").join(sketches, "id"), least, best).join(pairs, ["a", "b"], "left_anti")
-        rest = stored(rest, "rest")
-        more = stored(confirm(rest, likely, threshold), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            found = connected_components(links)
-        pairs = pairs.unionByName(rest)
+        return stored(now.join(open_keys, "key", "left_semi"), "open")
+
+    found = connected_components(links)
+    now = still_open(found)
+    best = likeliest(now.join(sketches, "id"), least).groupBy("a").agg(F.max(F.struct("m", F.negative("b").alias("b"))).alias("top")).select("a", F.negative("top.b").alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = stored(confirm(stored(best, "pairs"), likely, threshold), "links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        found = connected_components(links)
+        now = still_open(found)
+    doubtful = likeliest(now.join(sketches, "id"), least).select("key", F.col("a").alias("id")).distinct()
+    last = stored(forests(now.join(doubtful, ["key", "id"], "left_semi").join(likely, "id"), threshold), "links")
+    if last.limit(1).count():
+        found = connected_components(links.unionByName(last))
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("id", "n", "digest").join(of_class, "digest", "left")

@@ -49,6 +49,7 @@ def corpus(seed, n):
 def test_against_brute_force(spark, docs, monkeypatch, n, blocks):
     monkeypatch.setattr(minhash, "BLOCK", blocks[0])
     monkeypatch.setattr(minhash, "MEMBERS", blocks[1])
+    monkeypatch.setattr(minhash, "EXACT", blocks[0])
     rows = [*corpus(n, 250), (2001, None), (2002, ""), (2003, " \n"), (2004, "one"), (2005, "ONE"), (2006, "a\xa0b"), (2007, "long text " * 20000)]
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs(rows), n).collect())
     assert got == brute(rows, n)
