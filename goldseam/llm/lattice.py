@@ -20,6 +20,8 @@ from goldseam.llm.common import load, stored, texts
 
 #: Bytes of text and different words that share one dictionary.
 BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 600_000
+#: Bytes of a word that are looked at together.
+CUT = 1 << 16
 #: What starts a word in the vocabulary, and the name of the piece that ends a text.
 SPACE, END = "▁".encode(), b"</s>"
 
@@ -53,24 +55,33 @@ def reaches(weights: dict[bytes, float]) -> dict[bytes, int]:
 
 
 def likelihood(word: bytes, weights: dict[bytes, float], reach: dict[bytes, int]) -> float:
-    """The log probability of a word: forward recursion in log space over all ways to cut it into pieces."""
-    s = SPACE + word
-    n = len(s)
-    paths: list[list[float]] = [[0.0], *([] for _ in range(n))]
+    """The log probability of a word: forward recursion in log space over all ways to cut it into pieces.
+
+    Scores are pushed forward into a ring as long as the longest piece, so that
+    memory doesn't grow with the word.
+    """
+    n = len(SPACE) + len(word)
+    ring = min(n, max(reach.values(), default=1)) + 1
+    paths: list[list[float]] = [[0.0], *([] for _ in range(ring - 1))]
     get = weights.get
-    for i in range(n + 1):
-        terms = paths[i]
-        if not terms:
-            continue
-        forward = terms[0]
-        if len(terms) > 1:
-            top = max(terms)
-            forward = top + log(sum([exp(t - top) for t in terms]))
-        if i == n:
-            return forward
-        for j in range(i + 1, min(n, i + reach.get(s[i : i + 2], 1)) + 1):
-            if (w := get(s[i:j])) is not None:
-                paths[j].append(forward + w)
+    for at in range(0, n + 1, CUT):
+        # the bytes from `at` on that this round and its pieces need
+        s = (SPACE + word[: at + CUT + ring])[at:] if at < len(SPACE) else word[at - len(SPACE) : at - len(SPACE) + CUT + ring]
+        for i in range(at, min(n + 1, at + CUT)):
+            terms = paths[i % ring]
+            if not terms:
+                continue
+            forward = terms[0]
+            if len(terms) > 1:
+                top = max(terms)
+                forward = top + log(sum([exp(t - top) for t in terms]))
+            if i == n:
+                return forward
+            paths[i % ring] = []
+            k = i - at
+            for j in range(k + 1, min(n - at, k + reach.get(s[k : k + 2], 1)) + 1):
+                if (w := get(s[k:j])) is not None:
+                    paths[(at + j) % ring].append(forward + w)
     return -np.inf
 
 

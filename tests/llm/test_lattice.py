@@ -15,11 +15,14 @@ def all_ways(s, weights):
     return (1.0 if not s else 0.0) + sum(weights[s[:i]] * all_ways(s[i:], weights) for i in range(1, len(s) + 1) if s[:i] in weights)
 
 
-def test_forward_recursion_sums_all_segmentations():
+def test_forward_recursion_sums_all_segmentations(monkeypatch):
     weights = {lattice.SPACE: 0.1, lattice.SPACE + b"a": 0.2, b"a": 0.1, b"b": 0.15, b"ab": 0.05, b"ba": 0.07, lattice.SPACE + b"ab": 0.03}
     logs = {k: log(v) for k, v in weights.items()}
     for word in (b"a", b"abab", b"bbaab"):
         assert isclose(lattice.likelihood(word, logs, lattice.reaches(logs)), log(all_ways(lattice.SPACE + word, weights)))
+    for cut in (1, 2, 3, 5):
+        monkeypatch.setattr(lattice, "CUT", cut)
+        assert isclose(lattice.likelihood(b"abababbaab", logs, lattice.reaches(logs)), log(all_ways(lattice.SPACE + b"abababbaab", weights)))
     assert lattice.likelihood(b"z", logs, lattice.reaches(logs)) == float("-inf")
 
 
@@ -45,6 +48,37 @@ def test_against_brute_force(spark, docs, monkeypatch, block):
     assert any(held(i) for i, _ in rows)
 
 
+def test_long_word_in_bounded_memory():
+    import tracemalloc
+
+    weights = {lattice.SPACE: -1.0, b"a": -2.0, b"aa": -3.0, b"ab": -3.0, b"b": -2.0, b"a" * 30: -9.0}
+    reach = lattice.reaches(weights)
+    word = b"ab" * 500_000
+    tracemalloc.start()
+    assert lattice.likelihood(word, weights, reach) < 0
+    assert tracemalloc.get_traced_memory()[1] < 2 << 20
+    tracemalloc.stop()
+
+
+def test_scores_are_those_of_the_lattice(spark, docs):
+    """score against a sum over all segmentations of the words, with weights recounted here."""
+    rows = [(0, "ab the"), (1, "the abc"), (2, "The cat"), (3, "ab"), (6, "abc")]
+    sp, train, ends = lattice.processor(MODEL), Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            ends += 1
+            for w in t.lower().split():
+                train.update(sp.encode(w))
+    vocabulary = lattice.pieces(MODEL)
+    train[vocabulary[lattice.END]] = ends
+    mass = sum(train[i] for i in vocabulary.values()) + 0.5 * len(vocabulary)
+    weights = {p: (train[i] + 0.5) / mass for p, i in vocabulary.items()}
+    got = {r["doc_id"]: r["score"] for r in lattice.score(docs(rows), MODEL).collect()}
+    for i, t in rows:
+        want = sum(log10(all_ways(lattice.SPACE + w.encode(), weights)) for w in t.lower().split()) + log10(weights[lattice.END])
+        assert isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_likelier_texts_score_higher(spark, docs):
     rows = [(i, "the cat sat on the mat") for i in range(40)] + [(1000, "the cat"), (1001, "zqj xkw")]
     got = {r["doc_id"]: r["score"] for r in lattice.score(docs(rows), MODEL).collect()}
