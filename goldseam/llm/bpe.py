@@ -18,61 +18,26 @@ from goldseam.llm.common import load, prepare, texts
 #: A single space between two characters that aren't white space: every match of
 #: the pattern ends before it and the next one starts with it, whatever surrounds it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Characters after which an unusual text is cut at the next safe boundary.
+#: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
-#: Words that one worker's cache holds before it starts anew.
-CACHE = 300_000
-
-
-class _Unsafe(Exception):
-    """A word whose neighbouring space isn't a safe boundary."""
-
-
-class _Words(dict):
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        ids = self.encode(" " + word)
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
 
 
 class SafeEncoder:
-    """Encodes a text word by word where the words' spaces are safe boundaries, and remembers words.
+    """Encodes texts whole, long ones in pieces of at least PIECE characters that end at safe boundaries.
 
-    encode(text) gives the ids as little-endian numbers of the given type.  A text
-    with other runs of white space is cut at safe boundaries only, into pieces of
-    at least PIECE characters, or not at all if it has none.
+    encode(text) gives the ids as little-endian numbers of the given type; a text
+    without a safe boundary is never cut.
     """
 
     def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4"):
         self.ids = lambda text: np.array(encode(text), dtype).tobytes()
-        self.words = _Words(self.ids)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        try:
-            if not head or head[-1].isspace():
-                raise _Unsafe
-            return b"".join([self.ids(head) if len(head) <= PIECE else self.whole(head), *map(self.words.__getitem__, rest)])
-        except _Unsafe:
-            return self.whole(text)
-
-    def whole(self, text: str) -> bytes:
         out, at = [], 0
         while len(text) - at > PIECE and (cut := SAFE.search(text, at + PIECE)):
             out.append(self.ids(text[at : cut.start()]))
             at = cut.start()
-        return b"".join([*out, self.ids(text[at:])])
+        return b"".join([*out, self.ids(text[at:])]) if at else self.ids(text)
 
 
 @lru_cache(2)

@@ -26,8 +26,8 @@ def tokenizer(vocab_file: str):
     """ids(text) -> bytes of 16- or 32-bit ids, as the tokenizers library gives them without added special tokens.
 
     A byte-level BPE is a table of byte strings whose ids are their merge ranks, so
-    single words go through the quicker library with the same table; a text that
-    holds one of the file's special tokens goes through tokenizers itself.
+    texts go through the quicker library with the same table; one that holds one
+    of the file's special tokens goes through tokenizers itself.
     """
     import json
 
