@@ -12,7 +12,7 @@ from goldseam.llm.common import load, prepare
 
 #: The rules of the query: what they do, host and path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Rules that one broadcast trie may hold.
+#: Rules that one broadcast trie may hold; longer lists are judged in several passes.
 MOST_RULES = 1_000_000
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -38,6 +38,7 @@ class Trie:
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
+        """Of rules with the same host and path, the last counts."""
         self.root: dict = {}
         for verdict, host, path in rules:
             node = self.root
@@ -77,27 +78,46 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     default.  Null urls and such without :// have empty host and path, and no
     rule with a host fits them.  Each row is judged by itself without a shuffle,
     so repeated rows, null ids, extra columns, urls of any length and empty
-    tables need no special care.  The trie is broadcast; more than MOST_RULES
-    rules raise ValueError, as nothing bounds a longer list's size.
+    tables need no special care.  A trie of MOST_RULES rules at most is broadcast;
+    a longer list is judged trie by trie in one pass over the rows, and the
+    longest of their answers wins, a later one of equal length if its host is not
+    shorter, as within a trie.
     """
     rules = list(rules)
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; split them by top-level domain")
     spark = pages.sparkSession
     prepare(spark)
-    trie = spark.sparkContext.broadcast(Trie(rules))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
+    kind = source.schema["id"].dataType.simpleString()
+    out = source.select("id", "url", F.lit(None).cast("string").alias("rule"), F.lit(0).alias("labels"), F.lit(default).alias("verdict"))
+    for at in range(0, max(1, len(rules)), MOST_RULES):
+        out = out.mapInArrow(_judge(spark.sparkContext.broadcast(Trie(rules[at : at + MOST_RULES]))), f"id {kind}, url string, rule string, labels int, verdict string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = trie.value.find
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [parse(u) for u in batch.column(1).to_pylist()]
-            hits = [find(*p) or (default, None) for p in parts]
-            cols = [[p[0] for p in parts], [p[1] for p in parts], [h[1] for h in hits], [h[0] for h in hits]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols)], ["id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), batch.column(2), batch.column(4)], ["id", "host", "path", "rule", "verdict"])
 
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(split, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+
+
+def _judge(trie):
+    """A pass that replaces a row's rule by that of the broadcast trie, if it is longer, or as long with a host of as many labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = trie.value.find
+        for batch in batches:
+            cols: tuple[list, list, list] = [], [], []
+            for url, *old in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                hit = find(*parse(url))
+                if hit:
+                    labels = len(hit[1].partition("/")[0].split("."))
+                    if old[0] is None or (len(hit[1]), labels) >= (len(old[0]), old[1]):
+                        old = [hit[1], labels, hit[0]]
+                for c, x in zip(cols, old, strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["id", "url", "rule", "labels", "verdict"])
+
+    return run
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:

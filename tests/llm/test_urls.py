@@ -32,7 +32,12 @@ def test_against_brute_force(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
-def test_too_many_rules(spark, monkeypatch):
-    monkeypatch.setattr(urls, "MOST_RULES", 2)
-    with pytest.raises(ValueError):
-        urls.filter_urls(spark.createDataFrame([], "page_id long, url string"))
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_long_lists_are_judged_trie_by_trie(spark, monkeypatch, most):
+    rules = [*urls.RULES, ("block", "blog.example.com", "/en/a"), ("allow", "org", "/x/y/"), ("block", "example.org", "/")]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("example.com", "www.example.com", "blog.example.com", "x.net", "example.org") for p in ("", "/", "/en/", "/en/abc", "/es/1", "/x/y/z"))]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(tuple(x) for x in urls.filter_urls(df, rules).collect())
+    monkeypatch.setattr(urls, "MOST_RULES", most)
+    assert sorted(tuple(x) for x in urls.filter_urls(df, rules).collect()) == want
+    assert [(i, *brute(u, rules)) for i, u in rows] == want
