@@ -93,7 +93,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
 
     def judged(w: Column) -> Column:
         base = F.array(*[F.struct(F.lit(label).alias("label"), _starts(w, p).alias("at")) for p, label in phrases.items()])
-        own = F.filter(index, lambda x: F.array_contains(w, x))
+        # the index words that the file holds, with their positions: one pass, whatever the templates
+        own = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: F.array_contains(index, x["w"]))
         spaced = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
 
         def of_template(label: str, looked: Column) -> Column:
@@ -101,11 +102,17 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
             must = templates[label][1]
             # votes of the looked-up words for the template's beginning
             def votes(pos: int, word: str) -> Column:
-                at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: w[i] == word)
-                return F.when(F.array_contains(looked, word), F.transform(at, lambda i: i - pos)).otherwise(F.array().cast("array<int>"))
+                return F.transform(F.filter(looked, lambda x: x["w"] == word), lambda x: x["i"] - pos)
 
             starts = F.flatten(F.array(*[votes(pos, word) for pos, word in postings]))
-            best = let(starts, lambda s: F.coalesce(F.array_max(F.transform(F.array_distinct(s), lambda v: F.size(F.filter(s, lambda x: x == v)))), F.lit(0)))
+            # equal votes lie side by side once sorted: the longest run, in one pass
+            zero = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+            def counted(acc: Column, v: Column) -> Column:
+                run = F.when(v == acc["at"], acc["run"] + 1).otherwise(F.lit(1))
+                return F.struct(v.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+            best = F.aggregate(F.array_sort(starts), zero, counted, lambda acc: acc["best"])
             share = best / F.lit(float(len(postings)))
             return F.struct(F.lit(label).alias("label"), F.when(F.contains(spaced, F.lit(f" {must} ")), share).otherwise(F.lit(0.0)).alias("share"))
 
