@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import groupby
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from goldseam.llm.bpe import SafeEncoder
 from goldseam.llm.common import load, stored, texts
 
-#: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues at most.
+#: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues of sources without a target.
 WINDOW, SPAN, QUANTUM, QUEUES = 1024, 1024, 128, 256
 
 
@@ -54,26 +56,56 @@ def tokenizer(vocab_file: str):
     return ids, dtype
 
 
-def bound(q: dict[str, int], total: int, big: str, name: str, j: int, parts: int, unit: int) -> int:
-    """Tokens of queue `name` that the first j partitions hold: its exact share rounded down; the largest queue takes the rest."""
-    if j >= parts:
-        return q[name]
-    w = j * unit
-    return w - sum(n * w // total for k, n in q.items() if k != big) if name == big else q[name] * w // total
+class Mixture:
+    """What each queue has given when so many tokens are packed, at target proportions for as long as it lasts.
+
+    All queues start together, each at the rate of its weight.  When one runs dry,
+    the others go on in the same proportions to each other.  If weights are the
+    queues' own sizes, all run dry together.
+    """
+
+    def __init__(self, q: dict[str, int], weight: dict[str, float]):
+        self.q, self.weight, self.total = q, {k: Fraction(weight[k]) for k in q}, sum(q.values())
+        lasts = {k: n / self.weight[k] for k, n in q.items()}
+        #: The queue that lasts longest takes what rounding leaves.
+        self.big = max(sorted(q), key=lambda k: (lasts[k], q[k])) if q else ""
+        #: (tokens packed, time) where a queue runs dry; between them the tokens grow evenly in time
+        self.turns, at, w, alive = [(Fraction(0), Fraction(0))], Fraction(0), Fraction(0), sum(self.weight.values())
+        for t in sorted(set(lasts.values())):
+            w += (t - at) * alive
+            alive -= sum(self.weight[k] for k in q if lasts[k] == t)
+            at = t
+            self.turns.append((w, at))
+
+    def exact(self, name: str, w: int) -> Fraction:
+        """The tokens of a queue among the first w, as a fraction."""
+        i = max(1, min(bisect_left(self.turns, (Fraction(w), Fraction(0))), len(self.turns) - 1))
+        (w0, t0), (w1, t1) = self.turns[i - 1], self.turns[i]
+        return min(Fraction(self.q[name]), self.weight[name] * (t0 + (w - w0) * (t1 - t0) / (w1 - w0)))
+
+    def bound(self, name: str, w: int) -> int:
+        """exact, rounded down; the queue that lasts longest takes the rest of w."""
+        if name == self.big:
+            return w - sum(self.bound(k, w) for k in self.q if k != name)
+        if len(self.turns) == 2:  # all run dry together: plain shares of whole numbers
+            return self.q[name] * w // self.total
+        return int(self.exact(name, w))
 
 
 def rounds(queues: dict[str, int], share: dict[str, float], debt: dict[str, float], window: int, quantum: int) -> Iterator[list[tuple[str, int]]]:
     """Deficit round-robin: what each window takes of each queue, in order, until all queues are empty.
 
-    Before each window every queue earns its share of it.  The queues are served
+    Before each window every queue earns its share of it, among those that still
+    have tokens.  The queues are served
     from the largest deficit down while they have saved up a quantum; the largest
     that still have tokens fill the rest on credit, which later windows pay back.
     """
     left = dict(queues)
     names = [k for k in left if left[k]]
     while names:
+        alive = sum(share[k] for k in names)
         for k in names:
-            debt[k] += share[k] * window
+            debt[k] += share[k] / alive * window
         room, took = window, []
         while room and names:
             k = max(names, key=debt.__getitem__)
@@ -109,16 +141,20 @@ def mixed(rows: list[tuple], sources: Iterable[str], quantum: int) -> list[tuple
     return out
 
 
-def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0, quantum: int = QUANTUM, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0, quantum: int = QUANTUM, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces (id_col, start, length, ids, doc_tokens, sequence_id, offset) of sequences of `window` tokens.
 
     ids holds little-endian 32-bit ids.  A document is its text's ids and end_id.
     Each source is a queue, a null source the queue of the empty name.  Beyond
     QUEUES sources, sources share queues by hash: such a queue holds documents by
     how far they are in their own source, so each stretch of it has all sources in
-    proportion, and a partition serves its sources by deficit round-robin in turn.  The target of each queue is its
-    share of all tokens, so all queues run dry together and every sequence but the
-    tail is full.  Partition j covers the sequences from j * span on and starts
+    proportion, and a partition serves its sources by deficit round-robin in turn.
+
+    targets are the sources' shares of each window; sources that it doesn't name
+    share what it leaves of 1 by their tokens, and it must leave something for
+    them.  A source that runs dry before the others leaves its share to them in
+    their proportions.  Without targets, each source's is its share of all tokens,
+    so all run dry together.  Every sequence but the tail is full.  Partition j covers the sequences from j * span on and starts
     with the deficits that the exact shares leave at its first token, so deficits
     carry across partitions although each is packed by itself, in bounded memory.
     The tail of fewer than `window` tokens is cut into powers of two and needs no
@@ -128,7 +164,11 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     """
     queue = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
     shared = docs.select(queue.alias("queue")).distinct().limit(QUEUES + 1).count() > QUEUES
-    group = F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string") if shared else F.col("queue")
+    named = [k for k in targets or {}]
+    if len(named) > QUEUES or any(x <= 0 for x in (targets or {}).values()):
+        raise ValueError(f"targets must be positive, and {QUEUES} at most")
+    shares = "#" * (1 + max(map(len, named), default=0))  # longer than any name, so no shared queue is named like a source
+    group = F.when(F.col("queue").isin(named), F.col("queue")).otherwise(F.concat(F.lit(shares), F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))) if shared else F.col("queue")
     source = texts(docs.withColumn("__queue", queue), id_col, text_col, "__queue")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -151,17 +191,22 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     sizes = table.groupBy("queue", "chunk").agg(F.sum("n").alias("m"))
     before = F.sum("m").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     base = stored(sizes.withColumn("base", F.coalesce(before, F.lit(0))).select("queue", "chunk", "base", "m"), "queues")
-    q = {r["queue"]: r["m"] for r in base.groupBy(group.alias("queue")).agg(F.sum("m").alias("m")).collect()}  # QUEUES rows at most
+    q = {r["queue"]: r["m"] for r in base.groupBy(group.alias("queue")).agg(F.sum("m").alias("m")).collect()}  # 2 * QUEUES rows at most
     total = sum(q.values())
-    span = max(span, -(-2 * len(q) ** 2 // window))  # then rounding never outweighs the largest queue's share of a partition
+    rest = total - sum(q.get(k, 0) for k in named)
+    spare = 1 - sum(map(Fraction, (targets or {}).values()))
+    if rest and spare <= 0:
+        raise ValueError("targets leave nothing for sources that they don't name")
+    mix = Mixture(q, {k: Fraction(targets[k]) if k in named else Fraction(n, rest) * spare for k, n in q.items()})
+    # then rounding never outweighs the share of a partition that the longest queue has
+    span = max(span, -(-2 * len(q) * sum(mix.weight.values()) // (mix.weight[mix.big] * window))) if q else span
     unit = window * span
     parts = max(1, total // unit)
-    big = max(sorted(q), key=q.__getitem__) if q else ""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, dtype = tokenizer(vocab_file)
         size = np.dtype(dtype).itemsize
-        edge = lru_cache(1 << 16)(lambda k, j: bound(q, total, big, k, j, parts, unit))
+        edge = lru_cache(1 << 16)(lambda k, j: q[k] if j >= parts else mix.bound(k, j * unit))
         for batch in batches:
             out: list[tuple] = []
             for k, of, i, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("queue", "of", "id", "n", "ids", "at")), strict=True):
@@ -191,8 +236,8 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
                 flow[k] = mixed(flow[k], frame.loc[frame["queue"] == k, "of"], quantum)
             at[k] = [0, 0]  # the slice and the place in it
         lengths = {k: sum(len(x[3]) for x in v) // 4 for k, v in flow.items()}
-        share = {k: q[k] / total for k in flow}
-        debt = {k: q[k] * j * unit / total - bound(q, total, big, k, j, parts, unit) for k in flow}
+        share = {k: float(mix.weight[k]) for k in flow}
+        debt = {k: float(mix.exact(k, j * unit) - mix.bound(k, j * unit)) for k in flow}
         out: list[tuple] = []
         seq = j * span
         for took in rounds(lengths, share, debt, window, quantum):

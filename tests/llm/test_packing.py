@@ -4,6 +4,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from goldseam.llm import packing
 
@@ -74,6 +75,31 @@ def test_mixture_of_every_stretch_of_windows(spark, docs):
         assert abs(sum(full[: k + 1]) - want * (k + 1)) <= 24
 
 
+def test_target_proportions_until_a_source_runs_dry(spark, docs):
+    data = [(i, "the word " * 40, "abc"[min(i % 8, 2)]) for i in range(400)]  # one in eight a, one in eight b
+    got = packing.pack(docs(data, "source string"), VOCAB, window=64, quantum=8, span=16, targets={"a": 0.5, "b": 0.2}).collect()
+    sizes = check(data, got, 64)
+    took, total = {k: defaultdict(int) for k in "abc"}, defaultdict(int)
+    for p in got:
+        took[data[p["doc_id"]][2]][p["sequence_id"]] += p["length"]
+        total[data[p["doc_id"]][2]] += p["length"]
+    dry = int(total["a"] / 0.5) // 64  # then b and c share the windows as 0.2 to 0.3
+    for k, share in (("a", 0.5), ("b", 0.2), ("c", 0.3)):
+        have = 0
+        for j in range(dry - 1):
+            have += took[k][j]
+            assert abs(have - 64 * share * (j + 1)) <= 24
+    later = range(dry + 1, dry + 1 + int((total["b"] - 0.2 * 64 * dry) / 0.4) // 64 - 1)
+    assert len(later) > 20 and not any(took["a"][j] for j in later)
+    assert abs(sum(took["b"][j] for j in later) / (64 * len(later)) - 0.4) < 0.02
+    assert sizes
+
+
+def test_targets_must_leave_room(spark, docs):
+    with pytest.raises(ValueError):
+        packing.pack(docs([(1, "a", "x"), (2, "b", "y")], "source string"), VOCAB, targets={"x": 1.0})
+
+
 def test_round_robin_empties_all_queues():
     took = list(packing.rounds({"a": 1000, "b": 300, "c": 7}, {"a": 1000 / 1307, "b": 300 / 1307, "c": 7 / 1307}, dict.fromkeys("abc", 0.0), 100, 10))
     assert sum(n for t in took for _, n in t) == 1307
