@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +30,22 @@ def record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool, date: str) -> bytes:
+def uri_of(url: str | None) -> str:
+    return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that every archive starts with."""
+    block = b"software: goldseam\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{name}')}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool, date: str, refers_to_url: str | None = None) -> bytes:
     """One record with fresh headers; a revisit holds the payload's size and digest but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    uri = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+    uri, original = uri_of(url), uri_of(refers_to_url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -42,9 +54,9 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
         *([f"WARC-Target-URI: {uri}"] if uri else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{digest_of(block)}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Refers-To-Target-URI: {original}"] if revisit and original else []),
         *([] if page_id is None else [f"X-Page: {page_id}"]),
-        f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -92,15 +104,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     # equal payloads are told by SHA-1 in hexadecimal here; the base32 form is made with the record
     keyed = source.withColumn("key", F.sha1("payload"))
-    originals = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "last")
-    joined = keyed.join(originals, "key", "left").select("id", "url", "payload", "last")
+    originals = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max(F.struct("id", "url")).alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.col("last.id").alias("last"), F.col("last.url").alias("last_url"))
+    joined = keyed.join(originals, "key", "left").select("id", "url", "payload", "last", "last_url")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for i, url, payload, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = record(i, url, payload, digest_of(payload), last, last is not None and i != last, date)
+            for i, url, payload, last, last_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = record(i, url, payload, digest_of(payload), last, last is not None and i != last, date, last_url)
                 if held and size + len(own) > file_bytes:
                     yield archive(held)
                     held, size = [], 0
@@ -110,7 +122,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
             yield archive(held)
 
     def archive(held: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([info(digest_of(held[0]), date), *held])[:-1]], pa.binary())], ["value"])
 
     records = joined.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
     records.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
@@ -120,7 +132,10 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """(page_id, record_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record under path.
 
     payload is null for a revisit.  Each response's bytes are checked against its
-    digest and length; a mismatch raises.
+    digest, if the record gives one; a mismatch raises.  Records of other types
+    are passed over.  Archives of other writers are read too: what they don't say
+    in extension headers comes from the payload or the stored HTTP headers, and
+    page_id and refers_to are null.
     """
     prepare(spark)
     fields = "page_id long, record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -132,10 +147,15 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for h, block in parse(gzip.decompress(content.as_py())):
+                    if h["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     revisit = h["WARC-Type"] == "revisit"
-                    payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
-                    digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
-                    if payload is not None and (digest_of(payload) != digest or len(payload) != size):
+                    http, _, body = block.partition(b"\r\n\r\n")
+                    payload = None if revisit else body
+                    stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+                    size = len(body) if payload is not None else int(stated[1]) if stated else None
+                    digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or (None if revisit else digest_of(payload))
+                    if payload is not None and digest_of(payload) != digest:
                         raise ValueError(f"record {h['WARC-Record-ID']} doesn't hold the payload of its headers")
                     number = lambda k, h=h: int(h[k]) if k in h else None
                     rows.append((number("X-Page"), h["WARC-Record-ID"], h.get("WARC-Target-URI"), h["WARC-Type"], size, digest, number("X-Refers-To-Page"), *[payload] * with_payload))

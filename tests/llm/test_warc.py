@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 
 from goldseam.llm import warc
@@ -31,6 +33,29 @@ def test_archives_are_cut_by_size(spark, tmp_path):
     assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(60))
 
 
+def test_headers_of_the_profile(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a/x", "same"), (2, "http://b/y", "same"), (3, None, "same2")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    records = [r for f in (tmp_path / "w").glob("part-*") for r in warc.parse(gzip.decompress(f.read_bytes()))]
+    assert records[0][0]["WARC-Type"] == "warcinfo"
+    (revisit,) = (h for h, _ in records if h["WARC-Type"] == "revisit")
+    (original,) = (h for h, _ in records if h.get("WARC-Target-URI") == "http://b/y")
+    assert revisit["WARC-Refers-To"] == original["WARC-Record-ID"]
+    assert (revisit["WARC-Refers-To-Target-URI"], revisit["WARC-Refers-To-Date"]) == ("http://b/y", original["WARC-Date"])
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    other = b"".join(
+        f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        for kind, more, block in (("request", "", b"GET / HTTP/1.1\r\n\r\n"), ("response", "WARC-Target-URI: http://o/\r\n", http + b"hello"), ("revisit", f"WARC-Payload-Digest: sha1:{warc.digest_of(b'hello')}\r\n", http))
+    )
+    (tmp_path / "part-0.warc.gz").write_bytes(gzip.compress(other[:100]) + gzip.compress(other[100:]))
+    got = sorted(tuple(r)[:7] for r in warc.read_archives(spark, str(tmp_path)).collect())
+    digest = warc.digest_of(b"hello")
+    assert got == [(None, "<response>", "http://o/", "response", 5, digest, None), (None, "<revisit>", None, "revisit", 5, digest, None)]
+
+
 def test_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
