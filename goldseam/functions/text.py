@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalise_text(text: Column) -> Column:
@@ -29,6 +34,35 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]+)"), 1)
 
 
+#: Characters of a text that NFKC leaves alone, whatever surrounds them: Latin letters without combining marks or compatibility forms, and most punctuation.
+PLAIN = "\\u0000-\\u009F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2012-\\u2016\\u2018-\\u2023"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms folded (full-width letters, ligatures): only texts with a character beyond PLAIN leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{PLAIN}]"), text)), text)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def runs(values: Column) -> Column:
+    """(term, tf) of a sorted array: its runs of equal values with their lengths; null for an empty one."""
+
+    def counted(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (v[i] != F.get(v, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(v[i].alias("term"), (F.coalesce(F.get(at, k + 1), F.size(v)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(values) > 0, let(values, counted))
+
+
 def window_starts(count: Column, size: int, overlap: int) -> Column:
     """The starts of overlapping windows; the first that reaches the end is the last."""
     stride = size - overlap
@@ -63,3 +97,28 @@ def split_sentences(answer: Column) -> Column:
     parts = F.split(safe, "(?<=[.!?])\\s+(?=[A-Z0-9`\"'(])")
     clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("\u0001"), F.lit(".")), "\\s+", " ")))
     return F.filter(clean, lambda s: s != "")
+
+
+def normalised_question(question: Column) -> Column:
+    """A question without differences of case and with single spaces, for telling whether two are the same."""
+    return F.lower(F.upper(F.regexp_replace(F.regexp_replace(question, "[\\s\\p{Z}]+", " "), "^ | $", "")))
+
+
+def verdicts(reply: Column, sentences: Column) -> Column:
+    """struct(error, verdicts array<struct(n, sentence, supported, reason)>) of a judge's reply about the sentences.
+
+    The JSON object from the first { to the last } counts, whatever surrounds it.
+    Without one, without a list of verdicts, or with another number of them than
+    there are sentences, error says so and verdicts is null: none is guessed.
+    """
+    body = F.regexp_extract(reply, "(?s)\\{.*\\}", 0)
+    parsed = F.from_json(body, "verdicts array<struct<supported:boolean,reason:string>>")
+    rows = parsed["verdicts"]
+    error = F.when(body == "", "no JSON object").when(F.get_json_object(body, "$").isNull(), "not valid JSON").when(rows.isNull(), "no list of verdicts").when(F.size(rows) != F.size(sentences), "another number of verdicts than sentences")
+    read = F.transform(sentences, lambda s, i: F.struct((i + 1).alias("n"), s.alias("sentence"), F.coalesce(F.get(rows, i)["supported"], F.lit(False)).alias("supported"), F.trim(F.coalesce(F.get(rows, i)["reason"], F.lit(""))).alias("reason")))
+    return F.struct(error.alias("error"), F.when(error.isNull(), read).alias("verdicts"))
+
+
+def format_context(passages: Column) -> Column:
+    """Passages numbered from 1, a blank line between them."""
+    return F.array_join(F.transform(passages, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t)), "\n\n")

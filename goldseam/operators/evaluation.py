@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from goldseam.config import EngineError
 
+#: Fixed value: recall at 10 above this is audited for leaks before it is reported.
+TRIPWIRE = 0.95
+
 
 def outcomes(questions: DataFrame, found: DataFrame, gold: DataFrame, k: int, lanes: DataFrame | None = None) -> DataFrame:
     """(lane_id, qid, hit, rr) for every lane and question: a question without results is a miss, never absent."""
@@ -36,10 +39,15 @@ def paired(out: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def binomial_tail(n, at_least):
-    """The sum of C(n, i) / 2^n for i >= at_least, by a running product, without factorials."""
-    step = lambda acc, i: F.struct((acc["c"] * (n - i + 1) / i).alias("c"), (acc["t"] + F.when(i >= at_least, acc["c"] * (n - i + 1) / i).otherwise(0.0)).alias("t"))
-    start = F.struct(F.pow(F.lit(0.5), n).alias("c"), F.when(at_least <= 0, F.pow(F.lit(0.5), n)).otherwise(F.lit(0.0)).alias("t"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)["t"]
+    """The sum of C(n, i) / 2^n for i >= at_least, by a running sum of logarithms: no factorials, and no underflow of 1 / 2^n."""
+
+    def step(acc, i):
+        c = acc["c"] + F.log((n - i + 1) / i)
+        return F.struct(c.alias("c"), (acc["t"] + F.when(i >= at_least, F.exp(c)).otherwise(0.0)).alias("t"))
+
+    none = n * F.log(F.lit(0.5))
+    start = F.struct(none.alias("c"), F.when(at_least <= 0, F.exp(none)).otherwise(F.lit(0.0)).alias("t"))
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step)["t"]
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -66,3 +74,18 @@ def bootstrap(pairs: DataFrame, value: str, resamples: int, seed: int, alpha: fl
     means = draws.select("b", F.pmod(number, F.lit(n)).cast("int").alias("place")).join(numbered, "place").groupBy("b").agg(F.avg("v").alias("m"))
     ci = means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"))
     return numbered.agg(F.avg("v").alias("mean")).crossJoin(ci)
+
+
+def detectable_wins(out: DataFrame) -> DataFrame:
+    """(lane_id, wins): the questions that each lane misses, the most that a challenger can win against it."""
+    return out.groupBy("lane_id").agg(F.count_if(~F.col("hit")).alias("wins"))
+
+
+def changed(pairs: DataFrame) -> DataFrame:
+    """(qid, change): the questions that only the second lane of paired() answers are won, those that only the first does are lost."""
+    return pairs.where("hit_a <> hit_b").select("qid", F.when(F.col("hit_b"), "won").otherwise("lost").alias("change"))
+
+
+def tripwire(out: DataFrame, threshold: float = TRIPWIRE) -> DataFrame:
+    """(lane_id, threshold, observed, fired): recall above the threshold asks for an audit before it is reported."""
+    return out.groupBy("lane_id").agg(F.avg(F.col("hit").cast("int")).alias("r")).select("lane_id", F.lit(threshold).alias("threshold"), F.round("r", 4).alias("observed"), (F.col("r") > threshold).alias("fired"))

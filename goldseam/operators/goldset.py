@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.config import LeakageError
+from goldseam.config import EngineError, LeakageError
 from goldseam.functions import text as T
 from goldseam.operators.components import connected_components
 
@@ -15,35 +15,89 @@ LEAST_CHARS, CODE_SHARE, SCAFFOLD_SHARE = 200, 0.5, 0.5
 LONGEST_RUN = 4
 
 
+def _stripped(line: Column) -> Column:
+    return F.regexp_replace(line, "^\\s+|\\s+$", "")
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text with their ends."""
+    return F.filter(F.split(text, "(?<=\n)"), lambda s: s != "")
+
+
+def _is_fence(line: Column) -> Column:
+    return line.rlike("^\\s*(```|~~~)")
+
+
 def symbol_dense(line: Column) -> Column:
     """A line of at least 8 characters of which less than three quarters are letters or white space."""
-    return (F.length(line) >= 8) & (F.length(F.regexp_replace(line, "[^\\p{L}\\s]", "")) / F.length(line) < 0.75)
+    return (F.length(line) >= 8) & (F.length(F.regexp_replace(line, "[^\\p{L}\\p{Z}\\s]", "")) / F.length(line) < 0.75)
+
+
+def opens_inside_fence(text: Column) -> Column:
+    """Whether a text's first fence line has no language: such a line closes a block that began earlier."""
+    first = F.try_element_at(F.filter(_lines(text), _is_fence), F.lit(1))
+    return F.coalesce(_stripped(first).isin("```", "~~~"), F.lit(False))
 
 
 def non_prose_fraction(text: Column) -> Column:
-    """The share of a text's characters on fence lines, between fences, on include directives or on symbol-dense lines; 1 if empty.
+    """The share of a text's characters on fence lines, between fences, on lines with an include directive or on symbol-dense lines; 1 if empty.
 
-    A fold over the lines carries the fence's state.
+    A fold over the lines carries the fence's state, which opens_inside_fence starts.
     """
-    fence = lambda s: s.rlike("^\\s*(```|~~~)")
-    include = lambda s: s.rlike("^\\s*\\{\\*.*\\*\\}\\s*$")
 
     def step(acc: Column, line: Column) -> Column:
-        bad = fence(line) | acc["inside"] | include(line) | symbol_dense(F.trim(line))
-        return F.struct(F.when(fence(line), ~acc["inside"]).otherwise(acc["inside"]).alias("inside"), (acc["n"] + F.when(bad, F.length(line)).otherwise(0)).alias("n"))
+        bad = _is_fence(line) | acc["inside"] | line.rlike("\\{\\*.*?\\*\\}") | symbol_dense(_stripped(line))
+        return F.struct((_is_fence(line) != acc["inside"]).alias("inside"), (acc["n"] + F.when(bad, F.length(line)).otherwise(0)).alias("n"))
+
+    state = F.aggregate(_lines(text), F.struct(opens_inside_fence(text).alias("inside"), F.lit(0).alias("n")), step)
+    return F.when(F.length(text) == 0, 1.0).otherwise(state["n"] / F.length(text))
+
+
+def scaffolding_fraction(text: Column) -> Column:
+    """The share of a text's characters in a leading --- block, in leading `key: value` lines or in import statements; 1 if empty.
+
+    The block ends with the next --- line; key lines count until the first other
+    line that isn't blank, and not after a block; imports count anywhere.
+    """
+    numbered = F.transform(_lines(text), lambda line, i: F.struct(line.alias("line"), _stripped(line).alias("bare"), i.alias("i")))
+
+    def step(acc: Column, x: Column) -> Column:
+        rule = x["bare"] == "---"
+        opens, held = (x["i"] == 0) & rule, acc["block"]
+        own = x["line"].rlike("^\\s*import\\s+\\w+\\s+from\\s+['\"]") | (acc["leading"] & x["bare"].rlike("^[a-zA-Z][\\p{L}\\p{N}_-]*:\\s"))
+        leading = F.when(opens, acc["leading"]).when(held, acc["leading"] & ~rule).otherwise(acc["leading"] & (own | (x["bare"] == "")))
+        counted = acc["n"] + F.when(opens | held | own, F.length(x["line"])).otherwise(0)
+        return F.struct((opens | (held & ~rule)).alias("block"), leading.alias("leading"), counted.alias("n"))
+
+    state = F.aggregate(numbered, F.struct(F.lit(False).alias("block"), F.lit(True).alias("leading"), F.lit(0).alias("n")), step)
+    return F.when(F.length(text) == 0, 1.0).otherwise(state["n"] / F.length(text))
+
+
+def _edge_line(text: Column, place: int) -> Column:
+    return _stripped(F.try_element_at(F.filter(_lines(text), lambda s: _stripped(s) != ""), F.lit(place)))
 
-    lines = F.split(text, "\n")
-    total = F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x))
-    state = F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n")), step)
-    return F.when(total == 0, 1.0).otherwise(state["n"] / total)
+
+def opens_inside_code(text: Column) -> Column:
+    """Whether a text starts within a code block or with a symbol-dense line."""
+    return opens_inside_fence(text) | F.coalesce(symbol_dense(_edge_line(text, 1)), F.lit(False))
+
+
+def closes_inside_code(text: Column) -> Column:
+    """Whether a text ends within a code block, by the parity of its fences, or with a symbol-dense line."""
+    odd = F.size(F.filter(_lines(text), _is_fence)) % 2 == 1
+    return (opens_inside_fence(text) != odd) | F.coalesce(symbol_dense(_edge_line(text, -1)), F.lit(False))
 
 
 def eligibility(text: Column) -> Column:
     """The first reason that makes a chunk unfit for a question, or eligible."""
-    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    edge = symbol_dense(F.trim(F.element_at(lines, 1))) | symbol_dense(F.trim(F.element_at(lines, -1)))
-    scaffold = F.size(F.filter(lines, lambda s: s.rlike("^(import |[A-Za-z_]+: )"))) / F.size(lines)
-    return F.when(F.length(text) < LEAST_CHARS, "too_short").when(non_prose_fraction(text) > CODE_SHARE, "too_much_code").when(scaffold > SCAFFOLD_SHARE, "scaffolding").when(edge, "code_edges").otherwise("eligible")
+    edges = opens_inside_code(text) | closes_inside_code(text)
+    return F.when(F.length(text) < LEAST_CHARS, "too_short").when(non_prose_fraction(text) > CODE_SHARE, "too_much_code").when(scaffolding_fraction(text) > SCAFFOLD_SHARE, "scaffolding").when(edges, "code_edges").otherwise("eligible")
+
+
+def starts_at_heading(text: Column, index: Column) -> Column:
+    """Whether a chunk opens a section: a document's first, or one whose first line with text is a heading."""
+    first = F.try_element_at(F.filter(_lines(text), lambda s: _stripped(s) != ""), F.lit(1))
+    return (index == 0) | F.coalesce(first.rlike("^#{1,6}\\s"), F.lit(False))
 
 
 def longest_overlap(pairs: DataFrame) -> DataFrame:
@@ -123,7 +177,8 @@ def neighbourhood(chunks: DataFrame) -> DataFrame:
 
 def multilabel_candidates(gold: DataFrame, sentences: DataFrame) -> DataFrame:
     """(qid, chunk_id, gold_id, sentence): other chunks that share a sentence with a gold chunk, one row each."""
-    held = gold.join(sentences.withColumnRenamed("chunk_id", "gold_id"), "gold_id")
+    # one row for a question's sentence, however many of its gold chunks hold it
+    held = gold.join(sentences.withColumnRenamed("chunk_id", "gold_id"), "gold_id").groupBy("qid", "sentence").agg(F.min("gold_id").alias("gold_id"))
     other = held.join(sentences, "sentence").join(gold.withColumnRenamed("gold_id", "chunk_id"), ["qid", "chunk_id"], "left_anti")
     return other.groupBy("qid", "chunk_id").agg(F.min(F.struct("gold_id", "sentence")).alias("m")).select("qid", "chunk_id", "m.gold_id", "m.sentence")
 
@@ -168,3 +223,47 @@ def mine_negatives(found: DataFrame, gold: DataFrame, depth: int, n: int, seed:
     pool = found.where(F.col("rank") <= depth).join(gold, ["qid", "chunk_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy(T.seeded(seed, F.col("qid"), F.col("chunk_id")))
     return pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("qid", "chunk_id", "rank")
+
+
+def training_pairs(found: DataFrame, gold: DataFrame, texts: DataFrame, depth: int, n: int, seed: int) -> DataFrame:
+    """(qid, chunk_id, text, label, fused_rank): each question's smallest gold chunk with label 1, then its mined negatives with 0.
+
+    fused_rank is null for a positive that isn't among the first `depth` results; a
+    chunk without a text has an empty one, which check_pairs refuses.
+    """
+    ranks = found.where(F.col("rank") <= depth).select("qid", "chunk_id", "rank")
+    positive = gold.groupBy("qid").agg(F.min("chunk_id").alias("chunk_id")).join(ranks, ["qid", "chunk_id"], "left").withColumn("label", F.lit(1.0))
+    negative = mine_negatives(found, gold, depth, n, seed).join(gold.select("qid").distinct(), "qid", "left_semi").withColumn("label", F.lit(0.0))
+    both = positive.unionByName(negative).join(texts.select("chunk_id", "text"), "chunk_id", "left")
+    return both.select("qid", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), "label", F.col("rank").alias("fused_rank"))
+
+
+def audit_queue(first: DataFrame, second: DataFrame, controls: int, seed: int, pool: DataFrame | None = None) -> DataFrame:
+    """(qid, kind) in seeded order: every row on which two screeners (qid, verdict) differ, and `controls` rows that both keep.
+
+    Rows that the second screener didn't see, or the first left without one of the
+    three verdicts, are in neither; a pool (qid) narrows the controls.
+    """
+    both = first.where(F.col("verdict").isin("keep", "fix", "drop")).join(second.select("qid", F.col("verdict").alias("other")), "qid")
+    disputed = both.where("verdict <> other").select("qid", F.lit("disputed").alias("kind"))
+    agreed = both.where("verdict = 'keep' and other = 'keep'").select("qid")
+    agreed = agreed if pool is None else agreed.join(pool.select("qid"), "qid", "left_semi")
+    drawn = agreed.orderBy(T.seeded(seed, F.lit("control"), F.col("qid"))).limit(controls).select("qid", F.lit("control").alias("kind"))
+    return disputed.unionByName(drawn).orderBy(T.seeded(seed, F.col("qid")))
+
+
+def calibration_queue(judged: DataFrame, key: str, verdict: str, size: int, seed: int, stratify: bool = False) -> DataFrame:
+    """(key, verdict) of `size` judged rows in seeded order: of all alike, or half from either verdict, topped up from the other.
+
+    Fewer rows than `size` raise EngineError.
+    """
+    counts = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if(verdict).alias("yes")).first()
+    if counts["n"] < size:
+        raise EngineError(f"{counts['n']} judged rows, {size} wanted")
+    order = T.seeded(seed, F.col(key))
+    if not stratify:
+        return judged.select(key, verdict).orderBy(order).limit(size)
+    no = min(size - min(size // 2, counts["yes"]), counts["n"] - counts["yes"])
+    take = {True: min(counts["yes"], size - no), False: no}
+    parts = [judged.where(F.col(verdict) == v).select(key, verdict).orderBy(order).limit(k) for v, k in take.items()]
+    return parts[0].unionByName(parts[1]).orderBy(T.seeded(seed, F.lit("queue"), F.col(key)))

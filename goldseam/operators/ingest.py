@@ -27,11 +27,6 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int, check: bool = True
     return cut.select(T.chunk_id(F.col("slug"), F.col("chunk_index")).alias("chunk_id"), "source_doc", "chunk_index", clean.alias("text"), start.alias("start_char"), (start + F.length(clean)).alias("end_char"))
 
 
-def upper_median(values: str):
-    """The element at n // 2 of the sorted values."""
-    return F.expr(f"element_at(sort_array(collect_list({values})), cast(floor(count({values}) / 2) as int) + 1)")
-
-
 def ingest_report(chunks: DataFrame) -> DataFrame:
     """One row: documents, chunks, and the least, upper median and largest length."""
     sized = chunks.select("source_doc", F.length("text").alias("n"))
@@ -46,10 +41,18 @@ def ingest_report(chunks: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The table after new rows replace those of equal key and the others are added."""
+    """The table after new rows replace those of equal key and the others are added; of new rows that repeat a key, one is taken."""
+    new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def index_lists(rows: int) -> int:
+    """Lists of an inverted-file index for so many vectors: one for every thousand (a fixed value), one at least."""
+    if rows < 0:
+        raise ValueError("rows must not be negative")
+    return max(1, rows // 1000)
+
+
 def prune(table: DataFrame, keep: DataFrame, corpus: str, key: str = "chunk_id") -> DataFrame:
     """The table without that corpus's rows whose key isn't kept; other corpora stay."""
     kept = table.where(F.col("corpus_id") == corpus).join(keep.select(key).distinct(), key, "left_semi")

@@ -13,6 +13,10 @@ from goldseam.store import stored
 
 #: Fixed values of the ranking function: term saturation, length weight, floor of negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of all questions that are broadcast to the postings; a larger batch is joined by a shuffle.
+MOST_ASKED = 200_000
+#: Words in a row by which passages and texts meet.
+SHARED = 3
 
 
 @dataclass(frozen=True)
@@ -27,10 +31,13 @@ class Bm25Index:
 
 def build_index(chunks: DataFrame) -> Bm25Index:
     """Index (chunk_id, text).  A term whose raw weight is negative gets EPSILON times the mean raw weight of all terms."""
-    words = chunks.select("chunk_id", T.tokens(F.col("text")).alias("w"))
-    flat = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = stored(flat.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    corpus = stored(words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")), "corpus")
+    words = chunks.select("chunk_id", F.sort_array(T.tokens(T.nfkc(F.col("text")))).alias("w"))
+    # a chunk is one row, so its terms are counted within it: nothing is shuffled before document frequencies
+    rows = words.select("chunk_id", F.size("w").alias("dl"), F.explode_outer(T.runs(F.col("w"))).alias("x"))
+    table = stored(rows.select("chunk_id", "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf")), "postings")
+    postings = table.where("term is not null")
+    sizes = table.groupBy("chunk_id", "dl").agg(F.first("dl")).select("dl")
+    corpus = stored(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n"))
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
@@ -52,8 +59,11 @@ def bm25_search(index: Bm25Index, questions: DataFrame, k: int, backfill: bool =
     backfill: a question with terms but fewer than k matches is filled up with the
     smallest other ids at score 0, as a scan over every chunk would give.
     """
-    terms = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = terms.join(index.terms.select("term", "idf"), "term")
+    terms = questions.select("qid", F.explode(T.tokens(T.nfkc(F.col("question")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = stored(terms.join(index.terms.select("term", "idf"), "term"), "asked")
+    if weighted.count() <= MOST_ASKED:
+        # each task then scores the postings where they lie, and shuffles one sum for a question and chunk
+        weighted = F.broadcast(weighted)
     hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.corpus))  # one row
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -85,6 +95,27 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bo
     return ranked(pairs.select("qid", "chunk_id", dot("vector", "qv").alias("score")), k)
 
 
+def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of the chunks (chunk_id, text) that hold a passage (qid, question) word for word.
+
+    A passage of SHARED + 2 words or more has that many whole words inside, which
+    stand in a row in every text that holds it: hashes of such runs meet by a join,
+    and what meets is verified.  Shorter passages have no such key; they are few or
+    none in practice, and are compared with every chunk.
+    """
+    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
+    asked = passages.select("qid", "question", words(F.col("question")).alias("w"))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(SHARED)])
+    keyed = asked.where(F.size("w") >= SHARED + 2).select("qid", "question", run(F.col("w"), F.lit(1)).alias("key"))
+    held = chunks.select("chunk_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= SHARED)
+    held = held.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - SHARED), lambda i: run(F.col("w"), i)))).alias("key"))
+    met = held.join(keyed.select("qid", "key"), "key").select("qid", "chunk_id").distinct()
+    near = met.join(passages, "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    short = asked.where(F.size("w") < SHARED + 2).select("qid", "question").join(chunks.select("chunk_id", "text"))
+    both = near.select("qid", "chunk_id", "text", "question").unionByName(short.select("qid", "chunk_id", "text", "question"))
+    return both.where(F.expr("contains(text, question)")).select("qid", "chunk_id")
+
+
 def rrf(arms: DataFrame, k: int = 60, depth: int | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) of (list_id, qid, chunk_id, rank): the sum of 1 / (k + rank); an id pays once a list, by its best rank."""
     if k <= 0:

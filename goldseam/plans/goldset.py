@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from goldseam.functions import text as T
 from goldseam.operators import evaluation as E
 from goldseam.operators import goldset as G
+from goldseam.operators import guards as L
 from goldseam.operators import ingest as I
-from goldseam.plans.inputs import HYBRID, S, gold, hybrid, lanes, once, questions
+from goldseam.operators.retrieval import rrf
+from goldseam.plans.inputs import HYBRID, S, arms, gold, hybrid, once, questions
 from goldseam.plans.retrieval import GOLD
-from goldseam.store import load
+from goldseam.store import load, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -27,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-docs = lambda spark, d: load(spark, d, "documents")
+docs = lambda spark, d: spread(load(spark, d, "documents"))
 labels = lambda spark, d: load(spark, d, "labels")
 seeded = lambda *x: f"md5('42:' || {" || ':' || ".join(x)})"
 
@@ -112,26 +114,49 @@ def corpus_manifest(spark, d):
 
 # ---------------------------------------------------------------- predicates
 
-DENSE = r"(length({0}) >= 8 and length(regexp_replace({0}, '[^\p{{L}}\s]', '', 'g')) / length({0}) < 0.75)".format
-PROSE = rf"""ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
- fl as (select *, regexp_matches(line, '^\s*(```|~~~)') as fence, regexp_matches(line, '^\s*\{{\*.*\*\}}\s*$') as incl, {DENSE('trim(line)')} as dense from ln),
- st as (select *, coalesce(sum(fence::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from fl),
- np as (select doc_id, case when sum(length(line)) = 0 then 1 else sum(length(line)) filter (fence or incl or dense or inside) / sum(length(line)) end as f from st group by doc_id)"""
+DENSE = r"coalesce(length({0}) >= 8 and length(regexp_replace({0}, '[^\p{{L}}\p{{Z}}\s]', '', 'g')) / length({0}) < 0.75, false)".format
+BARE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".format
+PROSE = rf"""l0 as (select doc_id, length(text) as total, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, len(string_split(text, chr(10))) as k from documents),
+ ln as (select *, length(line) + (i < k)::int as n, {BARE('line')} as bare, regexp_matches(line, '^\s*(```|~~~)') as fence, regexp_matches(line, '\{{\*.*?\*\}}') as incl, {DENSE(BARE('line'))} as dense from l0),
+ op as (select doc_id, coalesce(arg_min(bare, i) filter (fence) in ('```', '~~~'), false) as opens, count(*) filter (fence) % 2 = 1 as odd, coalesce(arg_min(dense, i) filter (bare <> ''), false) as dense_first, coalesce(arg_max(dense, i) filter (bare <> ''), false) as dense_last from ln group by doc_id),
+ st as (select ln.*, opens <> (coalesce(sum(fence::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1) as inside from ln join op using (doc_id)),
+ np as (select doc_id, case when max(total) = 0 then 1 else coalesce(sum(n) filter (fence or incl or dense or inside), 0) / max(total) end as f from st group by doc_id),
+ own as (select *, regexp_matches(line, '^\s*import\s+\w+\s+from\s+[''"]') as imp, regexp_matches(bare, '^[a-zA-Z][\p{{L}}\p{{N}}_-]*:\s') as keyed from ln),
+ fm as (select doc_id, coalesce(bool_or(bare = '---') filter (i = 1), false) as block, coalesce(min(i) filter (i > 1 and bare = '---'), 1000000000) as shut, coalesce(min(i) filter (bare <> '' and not imp and not keyed), 1000000000) as other from own group by doc_id),
+ sf as (select doc_id, case when max(total) = 0 then 1 else coalesce(sum(n) filter (imp or (block and i <= shut) or (not block and keyed and i < other)), 0) / max(total) end as f from own join fm using (doc_id) group by doc_id)"""
 
 
-@query(f"with {PROSE} select doc_id, round(coalesce(f, 0), 6) as fraction from np")
+@query(f"with {PROSE} select doc_id, round(f, 6) as fraction from np")
 def non_prose_fraction(spark, d):
     return docs(spark, d).select("doc_id", F.round(G.non_prose_fraction(F.col("text")), 6).alias("fraction"))
 
 
-@query(rf"""with {PROSE}, nb as (select doc_id, list(line order by i) as ls from ln where trim(line) <> '' group by doc_id),
- e as (select d.doc_id, case when length(text) < 200 then 'too_short' when coalesce(f, 0) > 0.5 then 'too_much_code'
-  when len(list_filter(ls, lambda s: regexp_matches(s, '^(import |[A-Za-z_]+: )'))) / len(ls) > 0.5 then 'scaffolding' when {DENSE('trim(ls[1])')} or {DENSE('trim(ls[-1])')} then 'code_edges' else 'eligible' end as reason
-  from documents d join np using (doc_id) left join nb using (doc_id)) select reason, count(*) as n from e group by 1""")
+@query(f"with {PROSE} select doc_id, round(f, 6) as fraction from sf")
+def scaffolding_fraction(spark, d):
+    return docs(spark, d).select("doc_id", F.round(G.scaffolding_fraction(F.col("text")), 6).alias("fraction"))
+
+
+@query(f"with {PROSE} select doc_id, opens as in_fence, opens or dense_first as opens_inside, opens <> odd or dense_last as closes_inside from op")
+def code_edges(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", G.opens_inside_fence(t).alias("in_fence"), G.opens_inside_code(t).alias("opens_inside"), G.closes_inside_code(t).alias("closes_inside"))
+
+
+@query(rf"""with {PROSE}, e as (select case when length(text) < 200 then 'too_short' when np.f > 0.5 then 'too_much_code' when sf.f > 0.5 then 'scaffolding' when opens or dense_first or opens <> odd or dense_last then 'code_edges' else 'eligible' end as reason
+  from documents d join np using (doc_id) join sf using (doc_id) join op using (doc_id)) select reason, count(*) as n from e group by 1""")
 def eligibility(spark, d):
     return docs(spark, d).groupBy(G.eligibility(F.col("text")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+HEADED = r"(doc_id % 7 = 0 or coalesce(regexp_matches(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '\S'))[1], '^#{1,6}\s'), false))"
+
+
+@query(f"select doc_id, {HEADED} as starts from documents")
+def starts_at_heading(spark, d):
+    """The documents taken as chunks of seven a source."""
+    return docs(spark, d).select("doc_id", G.starts_at_heading(F.col("text"), F.col("doc_id") % 7).alias("starts"))
+
+
 FIRED = "fr as (select doc_id, toxic = 1 as toxic, quality = 0 as junk, case when lang = 'en' then n_chars > 4000 when lang = 'fr' then n_chars > 2000 else null end as long from documents join labels using (doc_id))"
 VERDICT = f"with {FIRED}, v as (select doc_id, case when toxic is null or junk is null or long is null then 'unscored' when toxic or junk then 'drop' when long then 'fix' else 'keep' end as verdict, case when toxic is null or junk is null or long is null then null when toxic then 'toxic' when junk then 'junk' when long then 'long' end as rule from fr)"
 
@@ -249,9 +274,10 @@ def dispute_queue(spark, d):
     return a.join(b, "doc_id").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select doc_id as chunk_id, lang = 'en' as starts from documents order by not (lang = 'en'), {seeded('doc_id')} limit 40")
+@query(f"select doc_id as chunk_id, {HEADED} as starts from documents order by not {HEADED}, {seeded('doc_id')} limit 40")
 def sample_chunks(spark, d):
-    return G.sample_chunks(docs(spark, d).select(F.col("doc_id").alias("chunk_id"), (F.col("lang") == "en").alias("starts")), 40, S.seed)
+    rows = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), G.starts_at_heading(F.col("text"), F.col("doc_id") % 7).alias("starts"))
+    return G.sample_chunks(rows, 40, S.seed)
 
 
 ALLOC = """sz as (select lang, count(*) as c, row_number() over (order by count(*), lang) as i, count(*) over () as k from documents group by lang),
@@ -269,12 +295,25 @@ def stratified_sample(spark, d):
     return G.stratified_sample(docs(spark, d).select("doc_id", "lang"), "doc_id", "lang", 50, S.seed).select("doc_id", "lang")
 
 
-@query(f"select conv_id, grounded, half from (select conv_id, grounded, row_number() over (partition by grounded order by {seeded('conv_id')}) as half from (select conv_id, bool_or(length(text) > 300) as grounded from conversations where role = 'assistant' group by conv_id)) where half <= 10")
+CALIBRATED = f"j as (select conv_id, bool_or(length(text) > 300) as grounded from conversations where role = 'assistant' group by conv_id), c as (select count(*) as n, count(*) filter (grounded) as yes from j), t as (select least(20 - least(10, yes), n - yes) as no, yes from c)"
+
+
+@query(f"with {CALIBRATED} select conv_id, grounded from (select conv_id, grounded, row_number() over (partition by grounded order by {seeded('conv_id')}) as place from j), t where place <= case when grounded then least(yes, 20 - no) else no end")
 def calibration_queue(spark, d):
-    """Half of the items from either verdict of the judge."""
+    """Twenty items, half of either verdict of the judge as far as they go."""
     j = load(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.bool_or(F.length("text") > 300).alias("grounded"))
-    order = Window.partitionBy("grounded").orderBy(T.seeded(S.seed, F.col("conv_id")))
-    return j.withColumn("half", F.row_number().over(order).cast("long")).where("half <= 10")
+    return G.calibration_queue(j, "conv_id", "grounded", 20, S.seed, stratify=True)
+
+
+SCREENED = "a as (select doc_id as qid, case when quality = 1 then 'keep' else 'drop' end as verdict from labels), b as (select doc_id as qid, case when n_chars > 1000 then 'keep' else 'drop' end as other from documents where lang in ('en', 'fr'))"
+
+
+@query(f"with {SCREENED}, m as (select * from a join b using (qid)) select qid, 'disputed' as kind from m where verdict <> other union all select qid, 'control' from (select qid, row_number() over (order by {seeded("'control'", 'qid')}) as p from m where verdict = 'keep' and other = 'keep') where p <= 25")
+def audit_queue(spark, d):
+    """Every dispute of the two screeners and 25 rows that both keep."""
+    a = labels(spark, d).select(F.col("doc_id").alias("qid"), F.when(F.col("quality") == 1, "keep").otherwise("drop").alias("verdict"))
+    b = docs(spark, d).where("lang in ('en', 'fr')").select(F.col("doc_id").alias("qid"), F.when(F.col("n_chars") > 1000, "keep").otherwise("drop").alias("verdict"))
+    return G.audit_queue(a, b, 25, S.seed)
 
 
 # ---------------------------------------------------------------- splits and mining
@@ -329,12 +368,12 @@ def set_ops_guard(spark, d):
     return one(a.intersect(b), "both").unionByName(one(a.subtract(b), "unlabelled")).unionByName(one(b.subtract(a), "unknown"))
 
 
-MINED = f"mined as (select qid, chunk_id, rank from (select l.qid, l.chunk_id, l.rank, row_number() over (partition by l.qid order by {seeded('l.qid', 'l.chunk_id')}) as p from lanes l where lane_id = 'hybrid_rrf' and (l.qid, l.chunk_id) not in (select (qid, chunk_id) from gold)) where p <= 4)"
+MINED = f"mined as (select qid, chunk_id, rank from (select l.qid, l.chunk_id, l.rank, row_number() over (partition by l.qid order by {seeded('l.qid', 'l.chunk_id')}) as p from fused l where rank <= 20 and (l.qid, l.chunk_id) not in (select (qid, chunk_id) from gold)) where p <= 4)"
 
 
 def mined(spark, d):
     _, _, g = hybrid(spark, d)
-    return G.mine_negatives(lanes(spark, d).where("lane_id = 'hybrid_rrf'"), g, 10, 4, S.seed)
+    return G.mine_negatives(rrf(arms(spark, d), S.rrf_k), g, S.rerank_depth, 4, S.seed)
 
 
 @query(f"with {HYBRID}, {MINED} select qid, chunk_id, rank::int as rank from mined")
@@ -342,6 +381,16 @@ def mine_negatives(spark, d):
     return mined(spark, d)
 
 
+@query(f"""with {HYBRID}, {MINED}, po as (select qid, min(chunk_id) as chunk_id from gold group by qid), tp as (
+ select po.qid, po.chunk_id, 1.0e0 as label, f.rank::int as fused_rank from po left join fused f on f.qid = po.qid and f.chunk_id = po.chunk_id and f.rank <= 20
+ union all select qid, chunk_id, 0.0e0, rank::int from mined where qid in (select qid from gold)) select qid, chunk_id, md5(text) as text, label, fused_rank from tp join documents on doc_id = chunk_id""")
+def training_pairs(spark, d):
+    """A positive and the mined negatives of every question."""
+    c, _, g = hybrid(spark, d)
+    out = G.training_pairs(rrf(arms(spark, d), S.rrf_k), g, c, S.rerank_depth, 4, S.seed)
+    return out.withColumn("text", F.md5("text"))
+
+
 @query(f"with {HYBRID}, {MINED} select m.chunk_id, list(distinct g.qid order by g.qid) as gold_of from mined m join gold g using (chunk_id) group by 1")
 def mining_collisions(spark, d):
     """Negatives that are gold of another question: counted and reported, not dropped."""
@@ -356,19 +405,48 @@ def mining_report(spark, d):
 
 @query(f"with {HYBRID}, s as (select f.qid, max(f.score) filter (g.qid is not null) as p, max(f.score) filter (g.qid is null) as n from fused f left join gold g using (qid, chunk_id) group by 1) select count(*) as questions, round(avg((p > n)::int), 4) as share from s where p is not null and n is not null")
 def positive_ranked_first(spark, d):
-    from goldseam.operators.retrieval import rrf
-    from goldseam.plans.inputs import arms
-
     _, _, g = hybrid(spark, d)
     s = rrf(arms(spark, d), S.rrf_k).join(g.withColumn("gold", F.lit(True)), ["qid", "chunk_id"], "left")
     m = s.groupBy("qid").agg(F.max(F.when(F.col("gold"), F.col("score"))).alias("p"), F.max(F.when(F.col("gold").isNull(), F.col("score"))).alias("n")).where("p is not null and n is not null")
     return m.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((F.col("p") > F.col("n")).cast("int")), 4).alias("share"))
 
 
-@query(f"with {GOLD} select count(*) filter (text = '') as empty_texts, count(*) - count(distinct item_id) as repeated_ids from benchmark")
-def leak_guard(spark, d):
+SAME = "regexp_replace(lower(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')), '^ | $', '', 'g')".format
+ASKED = f"""asked as (select item_id as qid, translate(text, 'abcdefgh', 'ABCDEFGH') || '  ' as question from benchmark union all select conv_id + 1000000, text from conversations where turn = 0),
+ tr as (select distinct {SAME('text')} as t from benchmark where item_id % 5 <> 0), te as (select distinct {SAME('text')} as t from benchmark where item_id % 5 = 0),
+ kinds as (select qid, question, case when te.t is not null then 'forbidden' when tr.t is not null then 'allowed' else 'unknown' end as kind from asked left join te on te.t = {SAME('question')} left join tr on tr.t = {SAME('question')})"""
+
+
+def halves(spark, d):
     q = questions(spark, d)
-    return q.agg(F.count_if(F.col("question") == "").alias("empty_texts"), (F.count(F.lit(1)) - F.countDistinct("qid")).alias("repeated_ids"))
+    return q.where("qid % 5 <> 0"), q.where("qid % 5 = 0")
+
+
+@query(f"with {ASKED} select qid, kind from kinds")
+def leak_guard(spark, d):
+    """What the guard says about questions of either split, in another spelling, and about questions of none."""
+    talk = load(spark, d, "conversations").where("turn = 0").select((F.col("conv_id") + 1000000).alias("qid"), F.col("text").alias("question"))
+    spelled = questions(spark, d).select("qid", F.concat(F.translate("question", "abcdefgh", "ABCDEFGH"), F.lit("  ")).alias("question"))
+    return L.classified(spelled.unionByName(talk), *halves(spark, d)).select("qid", "kind")
+
+
+@query(f"""with {GOLD}, pr as (select qid, b.text as question, case when chunk_id % 3 = 0 then '' else d.text end as text from gold join benchmark b on b.item_id = qid join documents d on d.doc_id = chunk_id)
+ select 'test_qid' as fault, count(*) filter (qid % 5 = 0) as n from pr union all select 'unknown_qid', 0 from (select 1) union all
+ select 'test_question', count(*) filter ({SAME('question')} in (select {SAME('text')} from benchmark where item_id % 5 = 0)) from pr union all select 'empty_text', count(*) filter (trim(text) = '') from pr""")
+def pair_faults(spark, d):
+    """The faults of pairs that hold both splits and whose every third text is missing."""
+    text = F.when(F.col("chunk_id") % 3 == 0, "").otherwise(F.col("text"))
+    pairs = gold(spark, d).join(questions(spark, d), "qid").join(docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").select("qid", "question", "chunk_id", text.alias("text"))
+    return L.pair_faults(pairs, *halves(spark, d))
+
+
+@query(f"""with {GOLD}, s as (select qid, b.text as question, chunk_id, case when (qid + chunk_id) % 4 = 0 then 'test' else 'train' end as split from gold join benchmark b on b.item_id = qid)
+ select (select count(*) from (select qid from s group by 1 having count(distinct split) > 1)) as shared_qids, (select count(*) from (select {SAME('question')} as t from s group by 1 having count(distinct split) > 1)) as shared_questions,
+ (select count(*) from (select chunk_id from s group by 1 having count(distinct split) > 1)) as shared_chunks, 0::bigint as repeated_qids""")
+def split_leaks(spark, d):
+    """What a split by question and chunk would leak."""
+    split = F.when((F.col("qid") + F.col("chunk_id")) % 4 == 0, "test").otherwise("train")
+    return L.leaks(gold(spark, d).join(questions(spark, d), "qid").withColumn("split", split))
 
 
 # ---------------------------------------------------------------- audits, judging, cost
@@ -409,10 +487,12 @@ def judged(spark, d):
     t = load(spark, d, "conversations").select("conv_id", "turn", "role", T.tokens(F.col("text")).alias("w"))
     a = t.where("role = 'assistant'").select("conv_id", "turn", F.array_distinct("w").alias("aw"))
     c = t.select("conv_id", F.col("turn").alias("before"), F.explode("w").alias("x"))
-    seen = a.select("conv_id", "turn").join(c, "conv_id").where("before < turn").select("conv_id", "turn", "x").distinct()
+    # a word counts as seen from the turn after its first one: a row a word of the conversation, not one a turn
+    first = c.groupBy("conv_id", "x").agg(F.min("before").alias("first"))
+    start = c.groupBy("conv_id").agg(F.min("before").alias("start"))
     words = a.select("conv_id", "turn", F.size("aw").alias("n"), F.explode_outer("aw").alias("x"))
-    hit = words.join(seen.withColumn("s", F.lit(1)), ["conv_id", "turn", "x"], "left").groupBy("conv_id", "turn", "n").agg(F.count("s").alias("k"))
-    return hit.join(seen.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi").select("conv_id", "turn", (F.col("k") >= 0.2 * F.col("n")).alias("grounded"))
+    hit = words.join(first, ["conv_id", "x"], "left").groupBy("conv_id", "turn", "n").agg(F.count_if(F.col("first") < F.col("turn")).alias("k"))
+    return hit.join(start, "conv_id").where("start < turn").select("conv_id", "turn", (F.col("k") >= 0.2 * F.col("n")).alias("grounded"))
 
 
 @query(f"with {JUDGE} select conv_id, turn, grounded from judged")
@@ -448,3 +528,27 @@ def parse_judgement(spark, d):
 def parse_label_choice(spark, d):
     reply = F.when(F.col("turn") == 0, "none of 3").otherwise(F.concat(F.lit("Passage "), F.col("turn").cast("string"), F.lit(" answers it")))
     return load(spark, d, "conversations").select("conv_id", "turn", T.label_choice(reply, 5).alias("choice"))
+
+
+@query("select conv_id, turn, case when turn % 4 = 0 then 'no JSON object' when turn % 4 = 1 then 'another number of verdicts than sentences' end as error, case when turn % 4 >= 2 then turn % 4 - 1 end::int as supported, case when turn % 4 >= 2 then 2 end::int as verdicts from conversations where role = 'assistant'")
+def parse_verdicts(spark, d):
+    """A judge's replies: without JSON, with too few verdicts, and well formed within other text."""
+    one = lambda ok: f'{{"supported": {ok}, "reason": " as said "}}'
+    body = lambda *rows: 'Sure: ```{"verdicts": [' + ", ".join(rows) + "]}``` done"
+    kind = F.col("turn") % 4
+    reply = F.when(kind == 0, "I cannot say").when(kind == 1, body(one("true"))).when(kind == 2, body(one("true"), one("false"))).otherwise(body(one("true"), one("true")))
+    rows = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.verdicts(reply, F.array(F.lit("One."), F.lit("Two."))).alias("v"))
+    return rows.select("conv_id", "turn", F.col("v.error").alias("error"), F.size(F.filter("v.verdicts", lambda x: x["supported"])).alias("supported"), F.size("v.verdicts").alias("verdicts"))
+
+
+@query("select conv_id, md5(string_agg('[' || i || '] ' || text, chr(10) || chr(10) order by i)) as context from (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations) group by conv_id")
+def format_context(spark, d):
+    """The turns of a conversation as a judge's numbered passages."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return load(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("p")).select("conv_id", F.md5(T.format_context(F.col("p"))).alias("context"))
+
+
+@query("select source, count(*) as n, greatest(1, count(*) // 1000)::int as lists from documents group by source")
+def index_lists(spark, d):
+    sizes = {r["source"]: r["count"] for r in docs(spark, d).groupBy("source").count().collect()}  # a row a source
+    return spark.createDataFrame([(k, n, I.index_lists(n)) for k, n in sorted(sizes.items(), key=str)], "source string, n long, lists int")

@@ -8,23 +8,30 @@ from pyspark.sql import functions as F
 from goldseam.config import Settings
 from goldseam.functions import text as T
 from goldseam.operators import evaluation, retrieval
-from goldseam.store import load, stored
+from goldseam.store import load, spread, stored
 
 S = Settings()
 K = 10
 _memo: dict = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that several queries of one session share, written once."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def shared(spark: SparkSession, sf_dir: str, name: str, make):
+    """What several queries of one session share, made once for the tables as they are: a changed file makes it anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, name, max((f.getModificationTime() for f in files), default=0))
     if key not in _memo:
-        _memo[key] = stored(make(), name)
+        _memo[key] = make()
     return _memo[key]
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A shared table, written once."""
+    return shared(spark, sf_dir, name, lambda: stored(make(), name))
+
+
 def chunks(spark, d) -> DataFrame:
-    return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc"), "text", "lang")
+    return spread(load(spark, d, "documents").select("doc_id", "source", "text", "lang")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc"), "text", "lang")
 
 
 def questions(spark, d) -> DataFrame:
@@ -32,8 +39,8 @@ def questions(spark, d) -> DataFrame:
 
 
 def gold(spark, d) -> DataFrame:
-    """(qid, chunk_id): the documents that hold a question's passage, which starts and ends anywhere, so no key can join them."""
-    return once(spark, d, "gold", lambda: chunks(spark, d).join(questions(spark, d), F.expr("contains(text, question)")).select("qid", "chunk_id"))
+    """(qid, chunk_id): the documents that hold a question's passage."""
+    return once(spark, d, "gold", lambda: retrieval.containing(chunks(spark, d), questions(spark, d)))
 
 
 def hybrid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from goldseam.functions import text as T
 from goldseam.operators import evaluation as E
 from goldseam.operators import retrieval as R
-from goldseam.plans.inputs import DOCS, HYBRID, K, S, arms, chunks, gold, hybrid, lanes, outcomes, questions
+from goldseam.plans.inputs import DOCS, HYBRID, K, S, arms, chunks, gold, hybrid, lanes, outcomes, questions, shared
 from goldseam.store import load
 
+#: Fixed value: resamples of a bootstrap interval.
+RESAMPLES = 10_000
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -26,15 +29,18 @@ def query(sql: str | None = None):
 
 @query(r"select doc_id, len(w)::int as n_tokens, len(list_distinct(w))::int as n_terms, md5(array_to_string(w, ' ')) as digest from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents)")
 def tokenize(spark, d):
-    w = load(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    w = load(spark, d, "documents").select("doc_id", T.tokens(T.nfkc(F.col("text"))).alias("w"))
     return w.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_terms"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 def docs_index(spark, d):
-    return R.build_index(chunks(spark, d))
+    """The index over all documents; the first query of a session builds it."""
+    return shared(spark, d, "index", lambda: R.build_index(chunks(spark, d)))
 
 
-@query(f"with {DOCS} select term, df, round(idf, 9) as idf from terms")
+@query(r"""with tok as (select regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents), n as (select count(*) as n from tok),
+ d as (select term, count(*) as df from (select unnest(list_distinct(w)) as term from tok) group by term), r as (select term, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) as raw from d, n)
+ select term, df, round(case when raw < 0 then 0.25e0 * avg(raw) over () else raw end, 9) as idf from r""")
 def bm25_index_stats(spark, d):
     return docs_index(spark, d).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -165,6 +171,39 @@ def discordant_pairs(spark, d):
     return pairs(spark, d).agg(F.count_if(F.col("hit_a") & ~F.col("hit_b")).alias("a_only"), F.count_if(F.col("hit_b") & ~F.col("hit_a")).alias("b_only"))
 
 
+@query(f"with {HYBRID} select lane_id, count(*) filter (not hit) as wins from outc group by lane_id")
+def detectable_wins(spark, d):
+    return E.detectable_wins(outcomes(spark, d))
+
+
+@query(f"with {HYBRID}{PAIR} select qid, case when hit_b then 'won' else 'lost' end as change from pr where hit_a <> hit_b")
+def changed_questions(spark, d):
+    return E.changed(pairs(spark, d))
+
+
+@query(f"with {HYBRID} select lane_id, 0.95e0 as threshold, round(avg(hit::int), 4) as observed, avg(hit::int) > 0.95 as fired from outc group by lane_id")
+def tripwire(spark, d):
+    return E.tripwire(outcomes(spark, d))
+
+
+@query(f"with {DOCS} select lane_id, qid, chunk_id, score, rank::int as rank from (select 'bm25' as lane_id, qid, chunk_id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 6) desc, chunk_id) as rank from bm_s) where rank <= 5")
+def lane_run(spark, d):
+    """Two lanes over all questions, of which one fails: it has no rows, and the other keeps its own."""
+
+    def broken(asked, k):
+        raise ValueError("no model")
+
+    from goldseam.operators import lanes as LN
+
+    registry, index = LN.Registry(), docs_index(spark, d)
+    registry.add(LN.Lane("bm25", "BM25", lambda asked, k: R.bm25_search(index, asked, k)))
+    registry.add(LN.Lane("broken", "A lane without a model", broken))
+    LN.preflight(registry.chosen())
+    found, facts = LN.run(registry.chosen(), questions(spark, d), 5)
+    assert facts["broken"]["error"] and not facts["bm25"]["error"]
+    return found
+
+
 MCNEMAR = """, dp as (select (count(*) filter (hit_a and not hit_b))::int as a_only, (count(*) filter (hit_b and not hit_a))::int as b_only from pr),
  mc as (select a_only, b_only, case when a_only + b_only = 0 then 1.0e0 else least(1.0e0, 2 * (select sum(exp(lgamma(a_only + b_only + 1e0) - lgamma(i + 1e0) - lgamma(a_only + b_only - i + 1e0) - (a_only + b_only) * ln(2e0)))
   from range(greatest(a_only, b_only), a_only + b_only + 1) t(i))) end as p from dp)"""
@@ -176,12 +215,12 @@ def mcnemar(spark, d):
 
 
 BOOT = """, num as (select *, row_number() over (order by qid) - 1 as place, count(*) over () as n, rr_b - rr_a as v from pr),
- means as (select b, avg(v) as m from (select b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::bigint % (select max(n) from num) as place from range(200) t(b), range((select max(n) from num)) u(i)) join num using (place) group by b)"""
+ means as (select b, avg(v) as m from (select b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::bigint % (select max(n) from num) as place from range(10000) t(b), range((select max(n) from num)) u(i)) join num using (place) group by b)"""
 
 
 @query(f"with {HYBRID}{PAIR}{BOOT} select round((select avg(v) from num), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from means")
 def bootstrap_ci(spark, d):
-    b = E.bootstrap(pairs(spark, d).withColumn("v", F.col("rr_b") - F.col("rr_a")), "v", 200, S.seed)
+    b = E.bootstrap(pairs(spark, d).withColumn("v", F.col("rr_b") - F.col("rr_a")), "v", RESAMPLES, S.seed)
     return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
@@ -189,7 +228,7 @@ def bootstrap_ci(spark, d):
  select case when low > 0 then 'better' when high < 0 then 'worse' else 'undecided' end as verdict, round(p, 6) as p_value from ci, mc""")
 def significance(spark, d):
     p = pairs(spark, d)
-    ci = E.bootstrap(p.withColumn("v", F.col("rr_b") - F.col("rr_a")), "v", 200, S.seed)
+    ci = E.bootstrap(p.withColumn("v", F.col("rr_b") - F.col("rr_a")), "v", RESAMPLES, S.seed)
     return ci.crossJoin(E.mcnemar(p)).select(F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("undecided").alias("verdict"), F.round("p_value", 6).alias("p_value"))
 
 

@@ -31,3 +31,41 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     known = files.where(F.lower("path").rlike(f"\\.({'|'.join(SUFFIXES)})$"))
     inner = F.substring_index("path", folder.rstrip("/") + "/", -1)
     return known.select(inner.alias("source_doc"), F.decode("content", "UTF-8").alias("text"))
+
+
+def read_hand_map(spark: SparkSession, path: str, schema: str = "also array<string>, why string") -> DataFrame:
+    """(qid, fields of the schema) of a JSON object of entries by qid; keys that start with _ are notes. A path without a file has no entries."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"qid string, {schema}")
+    whole = spark.read.text(path, wholetext=True)
+    entries = whole.select(F.explode(F.from_json("value", f"map<string, struct<{_struct(schema)}>>")).alias("qid", "entry"))
+    return entries.where(~F.col("qid").startswith("_")).select("qid", "entry.*")
+
+
+def _struct(schema: str) -> str:
+    """A column list as the fields of a struct type."""
+    return ", ".join(f"{name}: {kind}" for name, kind in (x.strip().split(" ", 1) for x in schema.split(", ")))
+
+
+def read_qids(spark: SparkSession, path: str) -> DataFrame:
+    """(qid) of a file of one a line; blank lines and those that start with # are none."""
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select(F.regexp_replace("value", "^\\s+|\\s+$", "").alias("qid")).where("qid <> ''").distinct()
+
+
+#: The fields of audit decisions and of judge records.
+AUDIT_SCHEMA = "qid string, human_verdict string, screen_verdict string, screen_rule string, agreed boolean, question string, blind boolean, decided_at string, queue_kind string, second_verdict string, agreed_with_second boolean"
+JUDGE_SCHEMA = "qid string, lane_id string, question string, answer string, chunk_ids array<string>, grounded boolean, verdicts array<struct<n:int,sentence:string,supported:boolean,reason:string>>"
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Audit decisions; of several on one question, the last decided counts."""
+    rows = spark.read.schema(AUDIT_SCHEMA).json(path)
+    newest = rows.groupBy("qid").agg(F.max_by(F.struct(*rows.columns), F.coalesce("decided_at", F.lit(""))).alias("r"))
+    return newest.select("r.*")
+
+
+def read_judged(spark: SparkSession, path: str) -> DataFrame:
+    """Judge records with their verdicts."""
+    return spark.read.schema(JUDGE_SCHEMA).json(path)
