@@ -226,8 +226,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = stored(keyed.mapInArrow(find, "lead long, around long, key binary, place long, back long, ahead long"), "anchors")
     stretches = found.where("lead is null").select("key", F.col("place").alias("start"), (F.col("place") + F.col("ahead")).alias("stop"))
-    found = found.where("lead is not null")
     # tasks combine counts before they shuffle, and Spark splits the semi joins' hot keys: no lead has to fit one task
+    found = found.where("lead is not null")
+    common = found.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead")
+    found = stored(found.join(common, "lead", "left_semi"), "shared")  # most leads are unique: little is left
     groups = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("c"), F.first("key").alias("key"), F.first("place").alias("place"))
     groups = stored(groups, "surroundings")
     twins = found.where(F.col("back") + F.col("ahead") >= length).join(groups.where("c > 1").select("lead", "around"), ["lead", "around"], "left_semi")
