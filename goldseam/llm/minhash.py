@@ -345,6 +345,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, threshold: float, id_c
         """The members of buckets that hold several components, with their sketches."""
         now = members.join(found.toDF("id", "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        open_keys = stored(open_keys, "open-keys")  # a table, so that Spark can split a hot key of the join
         return stored(now.join(open_keys, "key", "left_semi"), "open")
 
     found = connected_components(links)

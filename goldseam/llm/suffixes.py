@@ -228,13 +228,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     stretches = found.where("lead is null").select("key", F.col("place").alias("start"), (F.col("place") + F.col("ahead")).alias("stop"))
     # tasks combine counts before they shuffle, and Spark splits the semi joins' hot keys: no lead has to fit one task
     found = found.where("lead is not null")
-    common = found.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead")
+    # (what is joined to is a table, as Spark splits a hot key only where both sides come straight from a shuffle)
+    common = stored(found.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead"), "common")
     found = stored(found.join(common, "lead", "left_semi"), "shared")  # most leads are unique: little is left
     groups = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("c"), F.first("key").alias("key"), F.first("place").alias("place"))
     groups = stored(groups, "surroundings")
     twins = found.where(F.col("back") + F.col("ahead") >= length).join(groups.where("c > 1").select("lead", "around"), ["lead", "around"], "left_semi")
     twins = twins.select("key", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("stop")).unionByName(stretches)
     several = groups.groupBy("lead").agg(F.min("around").alias("low"), F.max("around").alias("high")).where("low <> high").select("lead")
+    several = stored(several, "several")
     apart = groups.join(several, "lead", "left_semi").select("key", F.col("place").alias("start"), F.lit(None).cast("long").alias("stop"))
     # proven spans, and with a null stop the suffixes to compare
     picked = stored(twins.unionByName(apart), "picked")
