@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import load, prepare
+from goldseam.llm.common import load, prepare, stored, temporary
 
-#: Vectors of a block of the index, and queries that are sent to a block together.
-BLOCK, QUERIES_TOGETHER = 16_384, 4096
+#: Vectors of a block of the index.
+BLOCK = 16_384
 #: Components are quantised to multiples of this for the order of postings.
 STEP = 8
 #: Shares of the largest impact down to which each round reads postings.
@@ -89,39 +89,67 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     Fewer candidates than k give fewer rows, an empty table gives none.  Extra
     columns are ignored.
 
-    Vectors are dealt to blocks by hash; each block is indexed once and meets the
-    queries in groups of QUERIES_TOGETHER (the stated query set against all rows, in
-    blocks).  What a pair of them returns is at most k rows a query, cut again by
-    rank before they meet.
+    Vectors are dealt to blocks by hash, and every query to each block (the stated
+    query set against all rows, in blocks).  A task gets a block's vectors before the
+    queries: it indexes them once and answers a batch of queries at a time, so
+    vectors are shuffled once, whatever the number of queries.  What leaves it is at
+    most k rows a query and block, cut again by rank before they meet.
     """
-    prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
+    prepare(spark)
     v = F.col(vector_col)
     whole = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     table = whole.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    table = table.persist()
-    size = table.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count_if(F.col("id") % every == 0)).first()
-    dims, blocks, groups = size[1] or 0, max(1, -(-size[0] // BLOCK)), max(1, -(-size[2] // QUERIES_TOGETHER))
-    rows = table.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    rows = rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(False).alias("query"), "id", "v")
-    asked = table.where(F.col("id") % every == 0).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "part", F.lit(True).alias("query"), "id", "v")
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(frame), dims), np.int64)
-        for i, x in enumerate(frame["v"]):
-            m[i, : len(x)] = x
-        is_query, ids = frame["query"].to_numpy(bool), frame["id"].to_numpy()
-        index = Index(ids[~is_query], m[~is_query])
-        out = []
-        for i, q in zip(ids[is_query], m[is_query], strict=True):
-            found, scores = index.search(q, k, i)
-            out.append(pd.DataFrame({"query_id": i, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    pairs = rows.unionByName(asked).groupBy("block", "part").applyInPandas(search, "query_id long, vec_id long, score long")
+    with temporary(spark) as result:
+        return result(_ranked(stored(table, "vectors"), every, k).withColumnRenamed("vec_id", id_col), "top-k")
+
+
+def _ranked(table: DataFrame, every: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of a table (id, v) of whole numbers."""
+    size = table.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    dims, blocks = size[1] or 0, max(1, -(-size[0] // BLOCK))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
+    rows = table.select(own.alias("block"), F.lit(False).alias("query"), "id", "v")
+    asked = table.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
+    dealt = rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the block's vectors, until its index is made
+
+        def matrix(vectors: pa.ListArray) -> np.ndarray:
+            m = np.zeros((len(vectors), dims), np.int64)
+            lengths = vectors.value_lengths().to_numpy()
+            m[np.arange(dims) < lengths[:, None]] = vectors.flatten().to_numpy()
+            return m
+
+        def answers(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            found = [(i, *index.search(q, k, i)) for i, q in zip(ids.tolist(), m, strict=True)]
+            cols = (np.repeat(ids, [len(x[1]) for x in found]), *(np.concatenate([x[c] for x in found]) for c in (1, 2)))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            block, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, m = batch.column(2).to_numpy(), matrix(batch.column(3))
+            # a batch may hold the end of one block and the start of the next
+            cuts = np.flatnonzero(np.diff(block * 2 + query)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if lo == hi:
+                    continue
+                if block[lo] != at:
+                    at, index, held = block[lo], None, []
+                if not query[lo]:
+                    held.append((ids[lo:hi], m[lo:hi]))
+                    continue
+                if index is None:
+                    none = (np.empty(0, np.int64), np.empty((0, dims), np.int64))
+                    index, held = Index(*(np.concatenate(x) for x in zip(none, *held, strict=True))), []
+                yield answers(ids[lo:hi], m[lo:hi])
+
+    pairs = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
