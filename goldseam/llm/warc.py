@@ -17,6 +17,8 @@ from goldseam.llm.common import load, prepare, shared_dir
 
 #: Bytes that one archive file holds before it is compressed; a larger record has a file of its own.
 FILE_BYTES = 16 << 20
+#: The effort of compression, 1 to 9.
+LEVEL = 6
 #: The capture time in fresh headers, unless the caller gives one.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,9 +96,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     they are shuffled, so a payload that a third of the pages share costs no more
     than any other; Spark picks the join by size and splits hot digests.  Records
     are written where the join leaves them, so payloads are shuffled once at most:
-    a task cuts its records into archives of file_bytes, each a row that ends with
-    the writer's line separator and fills a gzip file of its own under Spark's
-    commit protocol.
+    a task cuts its records into archives of file_bytes, each a row that fills a
+    file of its own under Spark's commit protocol.  Each record is a gzip member,
+    so that readers can start at any; an empty member ends the archive, whose last
+    byte, always 0, is the writer's line separator.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -122,10 +125,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
             yield archive(held)
 
     def archive(held: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b"".join([info(digest_of(held[0]), date), *held])[:-1]], pa.binary())], ["value"])
+        members = [gzip.compress(r, LEVEL, mtime=0) for r in (info(digest_of(held[0]), date), *held, b"")]
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])
 
     records = joined.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import zlib
 
 import pytest
 
@@ -44,6 +45,20 @@ def test_headers_of_the_profile(spark, tmp_path):
     assert (revisit["WARC-Refers-To-Target-URI"], revisit["WARC-Refers-To-Date"]) == ("http://b/y", original["WARC-Date"])
 
 
+def test_each_record_is_a_gzip_member(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://a", "é\0" * i) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data, members = file.read_bytes(), []
+    while data:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    kinds = [[h["WARC-Type"] for h, _ in warc.parse(m)] for m in members]
+    assert kinds == [["warcinfo"], *[["response"]] * 5, []]
+
+
 def test_archives_of_other_writers(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
     other = b"".join(
