@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from goldseam.config import EngineError, LeakageError
 from goldseam.functions import text as T
 from goldseam.operators.components import connected_components
+from goldseam.store import stored
 
 #: Least length of a chunk, shares of code and of scaffolding above which it is left out.
 LEAST_CHARS, CODE_SHARE, SCAFFOLD_SHARE = 200, 0.5, 0.5
@@ -191,24 +192,34 @@ def shared_chunk_groups(gold: DataFrame) -> DataFrame:
 
 
 def grouped_split(groups: DataFrame, train_fraction: float, seed: int) -> DataFrame:
-    """(group, n, split): whole groups to the side that is further from its target, the largest first, ties to train.
+    """(group, n, split) of (group, n): whole groups to the side that is further from its target, the largest first, ties to train.
 
-    The greedy fill is one fold over the array of groups (an evaluation set's
-    groups: its questions are audited by hand).
+    Groups of one size go to the side that lacks more until the other lacks more,
+    and to either side in turn from there on.  So a size's groups are told by their
+    place in it, and the fill is a loop over the different sizes, of which there
+    are at most sqrt(2 * total).  Places are counted within ranges of the order.
     """
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    listed = groups.select("group", "n", T.seeded(seed, F.col("group")).alias("order"))
+    sizes = listed.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
+    total = sum(r["n"] * r["m"] for r in sizes)
     want = round(total * train_fraction)
-    listed = groups.select(F.struct((-F.col("n")).alias("size"), T.seeded(seed, F.col("group")).alias("order"), "group").alias("g")).agg(F.sort_array(F.collect_list("g")).alias("gs"))
-    kind = "array<struct<group:bigint,n:bigint,split:string>>"
-
-    def step(acc: Column, g: Column) -> Column:
-        n = -g["size"]
-        train = (F.lit(want) - acc["train"]) >= (F.lit(total - want) - acc["test"])
-        row = F.struct(g["group"].alias("group"), n.alias("n"), F.when(train, "train").otherwise("test").alias("split"))
-        return F.struct((acc["train"] + F.when(train, n).otherwise(0)).alias("train"), (acc["test"] + F.when(train, F.lit(0)).otherwise(n)).alias("test"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("train"), F.lit(0).cast("long").alias("test"), F.array().cast(kind).alias("out"))
-    return listed.select(F.explode(F.aggregate("gs", start, step)["out"]).alias("r")).select("r.*")
+    gap, rules = 2 * want - total, []  # how much more the training side lacks than the other
+    for n, m in ((r["n"], r["m"]) for r in sizes):
+        train = gap >= 0
+        run = m if n == 0 else min(m, gap // n + 1 if train else -(gap // n))
+        rest = m - run
+        rules.append((n, train, run))
+        gap += (-run if train else run) * n + (n if train else -n) * (rest % 2)
+    ranges = stored(listed.repartitionByRange(F.desc("n"), "order", "group").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("n", "range").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("n").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("n", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    rule = groups.sparkSession.createDataFrame(rules, "n long, first boolean, run long")
+    within = Window.partitionBy("n", "range").orderBy("order", "group")
+    placed = ranges.withColumn("k", F.row_number().over(within)).join(offsets, ["n", "range"]).join(rule, "n")
+    place = F.col("offset") + F.col("k") - 1
+    train = F.when(place < F.col("run"), F.col("first")).otherwise(F.col("first") != ((place - F.col("run")) % 2 == 0))
+    return placed.select("group", "n", F.when(train, "train").otherwise("test").alias("split"))
 
 
 def check_no_shared_chunks(gold: DataFrame) -> None:

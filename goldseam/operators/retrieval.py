@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from goldseam.store import stored
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of all questions that are broadcast to the postings; a larger batch is joined by a shuffle.
 MOST_ASKED = 200_000
+#: Chunks of a block and queries of a group that one matrix product compares.
+CHUNKS, ASKED = 4096, 512
 #: Words in a row by which passages and texts meet.
 SHARED = 3
 
@@ -78,21 +82,63 @@ def bm25_search(index: Bm25Index, questions: DataFrame, k: int, backfill: bool =
     return ranked(scored.unionByName(zeros), k)
 
 
-def dot(a: str, b: str):
-    """The inner product of two array columns as double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def blocks(table: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """(ids, vectors binary) of a table (id_col, vector): up to `rows` rows of a partition side by side, as doubles; null vectors go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = [], []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([np.array(vectors, np.float64).tobytes()], pa.binary())], ["ids", "vectors"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) == rows:
+                    yield packed()
+                    ids, vectors = [], []
+        if ids:
+            yield packed()
+
+    kind = table.schema[id_col].dataType.simpleString()
+    return table.where("vector is not null").select(id_col, "vector").mapInArrow(run, f"ids array<{kind}>, vectors binary")
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """(qid, chunk_id, score, rank) by cosine of unit vectors: every chunk is compared with the stated batch of queries.
+    """(qid, chunk_id, score, rank) by cosine of unit vectors: a stated batch of queries against every chunk, in blocks.
 
-    The batch is replicated to the chunks, and each task keeps its k best a query
-    before anything is shuffled.
+    Chunks are packed into blocks where they lie and queries into groups; a pair of
+    them is one matrix product, of which the k best a query leave the task.  Spark
+    broadcasts the groups' table if it is small, and pairs partitions beyond that.
     """
-    pairs = chunks.select("chunk_id", "vector").crossJoin(queries.select("qid", F.col("vector").alias("qv")))
-    if exclude_self:
-        pairs = pairs.where("qid <> chunk_id")
-    return ranked(pairs.select("qid", "chunk_id", dot("vector", "qv").alias("score")), k)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    left = blocks(chunks, "chunk_id", CHUNKS).toDF("ids", "vectors")
+    right = stored(blocks(queries, "qid", ASKED), "asked").toDF("qids", "asked")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vectors, qids, asked in zip(*(batch.column(c) for c in ("ids", "vectors", "qids", "asked")), strict=True):
+                chunk_ids, query_ids = np.array(ids.as_py()), np.array(qids.as_py())
+                c, q = (np.frombuffer(v.as_py()).reshape(len(n), -1) for v, n in ((vectors, chunk_ids), (asked, query_ids)))
+                order = np.argsort(chunk_ids, kind="stable")  # so that ties go to smaller ids
+                chunk_ids, scores = chunk_ids[order], np.round(q @ c[order].T, 6)
+                if exclude_self:
+                    scores[query_ids[:, None] == chunk_ids] = -np.inf
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if k < len(chunk_ids) else np.full(len(scores), -np.inf)
+                rows = []
+                for row, low in zip(scores, least, strict=True):
+                    near = np.flatnonzero((row >= low) & (row > -np.inf))
+                    rows.append(near[np.argsort(-row[near], kind="stable")[:k]])
+                lengths, at = [len(r) for r in rows], np.concatenate(rows)
+                found = (np.repeat(query_ids, lengths), chunk_ids[at], scores[np.repeat(np.arange(len(rows)), lengths), at])
+                kinds = (batch.schema.field("qids").type.value_type, batch.schema.field("ids").type.value_type, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), t) for x, t in zip(found, kinds, strict=True)], ["qid", "chunk_id", "score"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (chunks, "chunk_id"))]
+    return ranked(left.crossJoin(right).mapInArrow(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from goldseam.functions import text as T
+from goldseam.operators import embedding as N
 from goldseam.operators import evaluation as E
 from goldseam.operators import retrieval as R
-from goldseam.plans.inputs import DOCS, HYBRID, K, S, arms, chunks, gold, hybrid, lanes, outcomes, questions, shared
+from goldseam.plans.inputs import DOCS, HYBRID, K, S, arms, chunks, gold, hybrid, lanes, once, outcomes, questions, shared
 from goldseam.store import load
 
 #: Fixed value: resamples of a bootstrap interval.
 RESAMPLES = 10_000
 
+#: The documents that hold a question's passage.
+GOLD = "gold as (select item_id as qid, doc_id as chunk_id from documents d join benchmark b on contains(d.text, b.text))"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -101,6 +105,39 @@ def lane_hyde(spark, d):
     return R.rerank(R.rrf(both, S.rrf_k), q, c, S.rerank_depth, K)
 
 
+ABLATION = rf"""with {GOLD}, texts as (select 'with_prefix' as lane_id, item_id as id, '{N.QUERY_PREFIX}' || text as text from benchmark where item_id in (select qid from gold)
+  union all select 'without_prefix', item_id, text from benchmark where item_id in (select qid from gold) union all select 'chunk', doc_id, coalesce(text, '') from documents),
+ slots as (select lane_id, id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))), 1, 8))::bigint % {2 * N.DIMS} as s from texts),
+ parts as (select lane_id, id, s % {N.DIMS} as i, sum(case when s < {N.DIMS} then 1 else -1 end)::double as x from slots group by all),
+ unit as (select lane_id, id, i, x / sqrt(sum(x * x) over (partition by lane_id, id)) as x from parts where x <> 0),
+ dots as (select q.lane_id, q.id as qid, c.id as chunk_id, sum(q.x * c.x) as score from unit q join unit c using (i) where q.lane_id <> 'chunk' and c.lane_id = 'chunk' group by all),
+ pr as (select q.lane_id, q.id as qid, c.id as chunk_id, round(coalesce(score, 0), 6) as score from texts q join texts c on q.lane_id <> 'chunk' and c.lane_id = 'chunk' left join dots d on d.lane_id = q.lane_id and d.qid = q.id and d.chunk_id = c.id),
+ top as (select lane_id, qid, chunk_id, row_number() over (partition by lane_id, qid order by score desc, chunk_id) as rank from pr),
+ f as (select lane_id, qid, min(rank) as first from top join gold using (qid, chunk_id) where rank <= 10 group by all),
+ m as (select e.lane_id, count(*) as questions, avg((coalesce(first, 99) <= 5)::int) as r5, avg((first is not null)::int) as r10, avg(coalesce(1.0e0 / first, 0)) as mrr from (select lane_id, id as qid from texts where lane_id <> 'chunk') e left join f using (lane_id, qid) group by e.lane_id),
+ rounded as (select lane_id, questions, round(r5, 4) as recall_at_5, round(r10, 4) as recall_at_10, round(mrr, 4) as mrr from m)
+ select * from rounded union all by name
+ select 'delta' as lane_id, a.questions, round(a.recall_at_5 - b.recall_at_5, 4) as recall_at_5, round(a.recall_at_10 - b.recall_at_10, 4) as recall_at_10, round(a.mrr - b.mrr, 4) as mrr from rounded a, rounded b where a.lane_id = 'with_prefix' and b.lane_id = 'without_prefix'"""
+
+
+@query(ABLATION)
+def prefix_ablation(spark, d):
+    """The dense lane over embedded documents, its queries with and without the instruction, and the difference."""
+    g = gold(spark, d)
+    q = questions(spark, d).join(g.select("qid").distinct(), "qid", "left_semi")
+    vectors = once(spark, d, "vectors", lambda: N.embed_chunks(chunks(spark, d)).select("chunk_id", "vector"))
+    found = once(spark, d, "prefix-arms", lambda: N.prefix_arms(vectors, q, K))
+    names = spark.createDataFrame([("with_prefix",), ("without_prefix",)], "lane_id string")
+    five, ten = (E.outcomes(q, found, g, k, names) for k in (5, K))
+    joined = ten.join(five.select("lane_id", "qid", F.col("hit").alias("hit5")), ["lane_id", "qid"])
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    rows = joined.groupBy("lane_id").agg(F.count(F.lit(1)).alias("questions"), mean("hit5").alias("recall_at_5"), mean("hit").alias("recall_at_10"), mean("rr").alias("mrr"))
+    sign = F.when(F.col("lane_id") == "with_prefix", 1.0).otherwise(-1.0)
+    metrics = ("recall_at_5", "recall_at_10", "mrr")
+    delta = rows.agg(F.max("questions").alias("questions"), *[F.round(F.sum(sign * F.col(c)), 4).alias(c) for c in metrics])
+    return rows.unionByName(delta.where("questions is not null").select(F.lit("delta").alias("lane_id"), "questions", *metrics))
+
+
 def _metric(name: str, sql: str):
     return query(f"with {HYBRID} {sql}")
 
@@ -263,9 +300,6 @@ def arms_comparison(spark, d):
     return outcomes(spark, d).groupBy("qid").agg(*[F.max(F.when(F.col("lane_id") == i, F.col("hit"))).alias(n) for i, n in (("bm25", "bm25"), ("dense", "dense"), ("hybrid_rrf", "fused"))])
 
 
-GOLD = "gold as (select item_id as qid, doc_id as chunk_id from documents d join benchmark b on contains(d.text, b.text))"
-
-
 @query(f"with {GOLD} select qid, count(*) as n_gold, min(chunk_id) as positive from gold group by qid")
 def gold_by_containment(spark, d):
     return gold(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"), F.min("chunk_id").alias("positive"))
