@@ -111,7 +111,7 @@ def _ranked(table: DataFrame, every: int, k: int) -> DataFrame:
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     rows = table.select(own.alias("block"), F.lit(False).alias("query"), "id", "v")
     asked = table.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
-    dealt = rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    dealt = rows.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "query")  # a task for each block
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
