@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "suffixes", "urls", "topk", "bpe", "lattice", "warc", "packing", "licences", "minhash", "bestfit", "wand")
+MODULES = ("quality", "suffixes", "urls", "topk", "bpe", "lattice", "warc", "packing", "licences", "minhash", "variants", "bestfit", "wand")
 
 
 def _all(name: str) -> dict:
