@@ -20,6 +20,10 @@ from goldseam.llm.common import load, prepare, texts
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
+#: White space as the pattern means it, so much in a row that the pattern's search for its end is not to be relied on.
+BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: A pattern whose only match is the whole text.
+ONE = r"(?s:.+)"
 
 
 class SafeEncoder:
@@ -27,12 +31,27 @@ class SafeEncoder:
 
     encode(text) gives the ids as little-endian numbers of the given type; a text
     without a safe boundary is never cut.
+
+    A match of the pattern never goes from other characters into white space, and a
+    run of white space is one match, but for its last character if other ones
+    follow, which start with it.  So a long run is encoded as the one match it is
+    (single does that) without the pattern, whose search in it would need a stack as
+    deep as the run is long.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], dtype: str = "<u4"):
+    def __init__(self, encode: Callable[[str], list[int]], single: Callable[[str], list[int]], dtype: str = "<u4"):
         self.ids = lambda text: np.array(encode(text), dtype).tobytes()
+        self.one = lambda text: np.array(single(text), dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
+        out, at = [], 0
+        for run in BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += [self.cut(text[at : run.start()]), self.one(text[run.start() : end])]
+            at = end
+        return b"".join([*out, self.cut(text[at:])]) if at else self.cut(text)
+
+    def cut(self, text: str) -> bytes:
         out, at = [], 0
         while len(text) - at > PIECE and (cut := SAFE.search(text, at + PIECE)):
             out.append(self.ids(text[at : cut.start()]))
@@ -40,7 +59,7 @@ class SafeEncoder:
         return b"".join([*out, self.ids(text[at:])]) if at else self.ids(text)
 
 
-@lru_cache(2)
+@lru_cache(4)
 def encoding(rank_file: str, pattern: str = public_tokenizers.PATTERN):
     """The library's encoding for a file of base64 tokens and ranks, without special tokens."""
     import tiktoken
@@ -52,7 +71,7 @@ def encoding(rank_file: str, pattern: str = public_tokenizers.PATTERN):
 
 @lru_cache(2)
 def encoder(rank_file: str, pattern: str = public_tokenizers.PATTERN) -> SafeEncoder:
-    return SafeEncoder(encoding(rank_file, pattern).encode_ordinary)
+    return SafeEncoder(encoding(rank_file, pattern).encode_ordinary, encoding(rank_file, ONE).encode_ordinary)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

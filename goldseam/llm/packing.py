@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.bpe import SafeEncoder
+from goldseam.llm.bpe import ONE, SafeEncoder
 from goldseam.llm.common import load, stored, texts
 
 #: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues of sources without a target.
@@ -44,9 +44,9 @@ def tokenizer(vocab_file: str):
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    quick, single = (tiktoken.Encoding("packing", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, ONE))
     dtype = "<u2" if max(spec["model"]["vocab"].values()) < 1 << 16 else "<u4"
-    enc = SafeEncoder(quick.encode_ordinary, dtype)
+    enc = SafeEncoder(quick, single, dtype)
 
     def ids(text: str) -> bytes:
         if any(s in text for s in special):

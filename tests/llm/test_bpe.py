@@ -26,6 +26,34 @@ def test_long_texts_are_cut_at_safe_boundaries_only(text):
     assert np.frombuffer(bpe.encoder(RANKS).encode(text), "<u4").tolist() == lib.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \u3000", "\r\n"])
+@pytest.mark.parametrize("around", [("", ""), ("a.", "b"), ("", "'s x"), ("word ", "")])
+def test_runs_of_white_space_equal_the_library(blank, around):
+    import numpy as np
+
+    lib = bpe.encoding(RANKS)
+    text = around[0] + blank * 100_000 + around[1] + blank * 6000 + "end" + blank * 20_000
+    assert np.frombuffer(bpe.encoder(RANKS).encode(text), "<u4").tolist() == lib.encode_ordinary(text)
+
+
+def test_millions_of_blanks_in_a_text(spark, docs):
+    """More than the library's pattern can take in a row; tokenizers takes it, with the same vocabulary."""
+    from tokenizers import Tokenizer
+
+    from goldseam.llm.packing import tokenizer
+
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(vocab)
+    rows = [(1, " " * 4_000_000), (2, "a" + "\n" * 1_000_000 + "b"), (3, "x  y" + " " * 2_000_000 + "tail")]
+    want = {i: own.encode(t, add_special_tokens=False).ids for i, t in rows}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(rows), RANKS).collect()}
+    assert got == want
+    import numpy as np
+
+    ids, dtype = tokenizer(vocab)
+    assert {i: np.frombuffer(ids(t), dtype).tolist() for i, t in rows} == want
+
+
 def test_query_digests(spark, tmp_path):
     spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in bpe.op5_bpe(spark, str(tmp_path)).collect()}
