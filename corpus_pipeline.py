@@ -15,7 +15,7 @@ from goldseam.llm.minhash import near_duplicates
 from goldseam.llm.packing import pack
 from goldseam.llm.quality import labelled_sample, learn, statistics, verdict
 from goldseam.llm.suffixes import remove_repeats
-from goldseam.store import load, stored
+from goldseam.store import load, stored, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,9 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component (five-word shingles, similarity 0.8): that of smallest id."""
-    gone = near_duplicates(docs, 5, 0.8).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8): that of smallest id.
+
+    Rows are documents of their own, numbered here, whatever their ids: of rows that
+    repeat an id and are near copies one stays, others with different texts all do;
+    null ids come after all others, and ties go to the row that is read first.
+    """
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    found = near_duplicates(rows.select("row", "text"), 5, 0.8, id_col="row").select("row", "component_id")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component_id")
+    members = found.join(many, "component_id", "left_semi").join(rows.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    gone = members.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces; what the stages store in between is deleted."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with temporary(spark) as result:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name, last = STAGES[-1]
+        return result(last(spark, docs, sf_dir), name)
