@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldseam.config import EngineError
 from goldseam.functions import text as T
 from goldseam.store import stored
 
 #: Fixed values of the ranking function: term saturation, length weight, floor of negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms of all questions that are broadcast to the postings; a larger batch is joined by a shuffle.
+#: Terms of questions that one pass over the index answers, so that what is broadcast stays bounded.
 MOST_ASKED = 200_000
+#: Chunks of a block of postings.
+BLOCK = 4096
 #: Chunks of a block and queries of a group that one matrix product compares.
 CHUNKS, ASKED = 4096, 512
 #: Words in a row by which passages and texts meet.
@@ -25,28 +30,62 @@ SHARED = 3
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, chunk_id, tf, dl), terms(term, df, idf) and corpus(n, avgdl), written once."""
+    """blocks (ids, lengths, words, sizes, places, counts: the postings of up to BLOCK chunks side by side), terms(term, df, idf), corpus(n, avgdl) and chunks(chunk_id), written once."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     corpus: DataFrame
     chunks: DataFrame
 
 
 def build_index(chunks: DataFrame) -> Bm25Index:
-    """Index (chunk_id, text).  A term whose raw weight is negative gets EPSILON times the mean raw weight of all terms."""
+    """Index (chunk_id, text).  A term whose raw weight is negative gets EPSILON times the mean raw weight of all terms.
+
+    A chunk's terms are counted within its row, and a task packs the chunks that it
+    reads into blocks: nothing is shuffled before document frequencies.  No chunks,
+    or chunks without any term, raise EngineError: they have no mean length.
+    """
     words = chunks.select("chunk_id", F.sort_array(T.tokens(T.nfkc(F.col("text")))).alias("w"))
-    # a chunk is one row, so its terms are counted within it: nothing is shuffled before document frequencies
-    rows = words.select("chunk_id", F.size("w").alias("dl"), F.explode_outer(T.runs(F.col("w"))).alias("x"))
-    table = stored(rows.select("chunk_id", "dl", F.col("x.term").alias("term"), F.col("x.tf").alias("tf")), "postings")
-    postings = table.where("term is not null")
-    sizes = table.groupBy("chunk_id", "dl").agg(F.first("dl")).select("dl")
-    corpus = stored(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n"))
+    counted = words.select("chunk_id", F.greatest(F.size("w"), F.lit(0)).alias("dl"), F.coalesce(T.runs(F.col("w")), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("runs"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            runs = rows.column(2).combine_chunks()
+            each = runs.flatten()
+            words = each.field("term").dictionary_encode()
+            code = words.indices.to_numpy()
+            order = np.argsort(code, kind="stable")  # places stay in ascending order
+            place = np.repeat(np.arange(len(rows), dtype="<i4"), runs.value_lengths().to_numpy())[order]
+            cols = [rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.dictionary.to_pylist(), np.bincount(code, minlength=len(words.dictionary)).tolist()]
+            cols += [place.tobytes(), each.field("tf").to_numpy()[order].astype("<i4").tobytes()]
+            kinds = [pa.list_(rows.column(0).type), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], ["ids", "lengths", "words", "sizes", "places", "counts"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK):
+                part = batch.slice(lo, BLOCK)
+                if held and sum(map(len, held)) + len(part) > BLOCK:
+                    yield packed()
+                    held = []
+                held.append(part)
+        if held:
+            yield packed()
+
+    table = stored(counted.mapInArrow(run, f"ids array<{kind}>, lengths array<int>, words array<string>, sizes array<int>, places binary, counts binary"), "postings")
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+    corpus = stored(table.agg(F.sum(F.size("ids")).alias("n"), (F.sum(total) / F.sum(F.size("ids"))).alias("avgdl")), "corpus")
+    if not corpus.first()["avgdl"]:
+        raise EngineError("no chunk has a term to index")
+    pairs = table.select(F.explode(F.arrays_zip("words", "sizes")).alias("x")).select(F.col("x.words").alias("term"), F.col("x.sizes").alias("n"))
+    raw = pairs.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(corpus.select("n"))
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(floor).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, stored(terms, "terms"), corpus, chunks.select("chunk_id"))
+    return Bm25Index(table, stored(terms, "terms"), corpus, chunks.select("chunk_id"))
 
 
 def ranked(scored: DataFrame, k: int, by: str = "qid", digits: int = 6) -> DataFrame:
@@ -57,53 +96,161 @@ def ranked(scored: DataFrame, k: int, by: str = "qid", digits: int = 6) -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", digits))
 
 
+class Postings:
+    """A block's postings as (places, parts, largest part) by term; a part is what a term of weight 1 adds to a chunk's score."""
+
+    def __init__(self, row: dict, avgdl: float, asked: list[str]):
+        ids = row["ids"].as_py()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        #: ascending, so that ties go to smaller ids
+        self.ids = [ids[i] for i in order]
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        norm = K1 * (1 - B + B * row["lengths"].values.to_numpy() / avgdl)
+        ends = np.cumsum(row["sizes"].values.to_numpy())
+        places, counts = (np.frombuffer(row[c].as_py(), "<i4") for c in ("places", "counts"))
+        self.terms = {}
+        for term, at in zip(asked, pc.index_in(pa.array(asked, pa.string()), row["words"].values).to_pylist(), strict=True):
+            if at is not None:
+                lo, hi = ends[at - 1] if at else 0, ends[at]
+                place, tf = places[lo:hi], counts[lo:hi].astype(np.float64)
+                parts = tf * (K1 + 1) / (tf + norm[place])
+                sort = np.argsort(rank[place])
+                self.terms[term] = (rank[place][sort], parts[sort], float(parts.max()))
+
+    def best(self, words: list[tuple[str, float]], k: int, least: float, own) -> list[tuple[float, object]]:
+        """The (score, id) of the block's chunks that have a word, the k best of those that reach `least`; `own` is no candidate.
+
+        Lists are taken by descending bound (weight times largest part).  Once those
+        left can't lift a chunk to `least` alone, they are only probed for the chunks
+        seen so far, and chunks that can't reach it any more are dropped.
+        """
+        lists = sorted(((w * self.terms[t][2] if w > 0 else 0.0, w, *self.terms[t][:2]) for t, w in words if t in self.terms), key=lambda x: -x[0])
+        rest = np.cumsum([0.0, *(x[0] for x in lists[::-1])])[::-1]
+        if not lists or rest[0] < least:
+            return []
+        score, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        near = None
+        for (_, w, places, parts), left in zip(lists, rest, strict=False):
+            if near is None and left < least:
+                near = np.flatnonzero(seen)
+            if near is None:
+                score[places] += w * parts
+                seen[places] = True
+            else:
+                near = near[score[near] + left >= least]
+                at = np.minimum(np.searchsorted(places, near), len(places) - 1)
+                score[near] += w * parts[at] * (places[at] == near)
+        near = np.flatnonzero(seen) if near is None else near
+        value = np.round(score[near], 6)
+        if len(near) > k + 1:
+            keep = value >= np.partition(value, -k - 1)[-k - 1]
+            near, value = near[keep], value[keep]
+        order = np.argsort(-value, kind="stable")[: k + 1]
+        found = [(float(value[i]), self.ids[near[i]]) for i in order]
+        return [x for x in found if own is None or x[1] != own][:k]
+
+
 def bm25_search(index: Bm25Index, questions: DataFrame, k: int, backfill: bool = False, exclude_self: bool = False) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best chunks of each (qid, question); a term counts as often as the question has it.
 
+    Questions are answered in batches of about MOST_ASKED terms, which are broadcast.
+    A task scores its blocks one after the other, keeps the k best a question and
+    skips what its bounds prove to stay below them, so what is shuffled is at most k
+    rows for each question and task.
+
     backfill: a question with terms but fewer than k matches is filled up with the
     smallest other ids at score 0, as a scan over every chunk would give.
     """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark = questions.sparkSession
     terms = questions.select("qid", F.explode(T.tokens(T.nfkc(F.col("question")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = stored(terms.join(index.terms.select("term", "idf"), "term"), "asked")
-    if weighted.count() <= MOST_ASKED:
-        # each task then scores the postings where they lie, and shuffles one sum for a question and chunk
-        weighted = F.broadcast(weighted)
-    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.corpus))  # one row
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
-    if exclude_self:
-        scored = scored.where("qid <> chunk_id")
+    asked = stored(terms.join(index.terms.select("term", "idf"), "term", "left"), "asked")
+    avgdl = index.corpus.first()["avgdl"]
+    first = index.chunks.orderBy("chunk_id").limit(2 * k)  # a question with fewer than k matches needs no more
+    wanted = [r["chunk_id"] for r in first.collect()] if backfill else []
+    batches = max(1, -(-asked.where("idf is not null").count() // MOST_ASKED))
+    parts = []
+    for b in range(batches):
+        some = asked.where(F.col("idf").isNotNull() & (F.pmod(F.xxhash64("qid"), F.lit(batches)) == b)).collect()  # about MOST_ASKED rows
+        words: dict = {}
+        for r in some:
+            words.setdefault(r["qid"], []).append((r["term"], r["qtf"] * r["idf"]))
+        parts.append(_scored(index, words, k, avgdl, wanted, exclude_self, questions.schema["qid"].dataType.simpleString()))
+    scored = reduce(DataFrame.unionByName, parts)
     if not backfill:
         return ranked(scored, k)
-    asked = terms.select("qid").distinct()
-    first = index.chunks.orderBy("chunk_id").limit(2 * k)  # a question with fewer than k matches needs no more
-    zeros = asked.crossJoin(first).join(scored, ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    scored = stored(scored.dropDuplicates(["qid", "chunk_id"]), "scored")
+    zeros = asked.select("qid").distinct().crossJoin(first).join(scored, ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(scored.unionByName(zeros), k)
 
 
-def blocks(table: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """(ids, vectors binary) of a table (id_col, vector): up to `rows` rows of a partition side by side, as doubles; null vectors go."""
+def _scored(index: Bm25Index, words: dict, k: int, avgdl: float, wanted: list, exclude_self: bool, kind: str) -> DataFrame:
+    """(qid, chunk_id, score): each task's k best chunks of every question, and those of `wanted` that match it."""
+    asked = sorted({t for some in words.values() for t, _ in some})
+    shared = index.blocks.sparkSession.sparkContext.broadcast((words, asked, set(wanted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, asked, wanted = shared.value
+        best: dict = {}
+        also: list[tuple] = []
+        for batch in batches:
+            ids_type = batch.column(0).type.value_type
+            for i in range(len(batch)):
+                held = Postings({n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}, avgdl, asked)
+                mine = [(p, x) for p, x in enumerate(held.ids) if x in wanted]
+                for qid, some in words.items():
+                    have = best.get(qid, [])
+                    least = have[-1][0] - 1e-6 if len(have) == k else -np.inf  # scores are compared by six digits
+                    own = qid if exclude_self else None
+                    if found := held.best(some, k, least, own):
+                        best[qid] = sorted(have + found, key=lambda x: (-x[0], x[1]))[:k]
+                    for p, x in mine:
+                        lists = [(w, *held.terms[t][:2]) for t, w in some if t in held.terms]
+                        hits = [w * parts[a] for w, places, parts in lists if (a := np.searchsorted(places, p)) < len(places) and places[a] == p]
+                        if hits and x != own:
+                            also.append((qid, x, round(float(sum(hits)), 6)))
+        rows = [(q, x, s) for q, some in best.items() for s, x in some] + also
+        if rows:
+            qids, ids, scores = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(qids, qid_type), pa.array(ids, ids_type), pa.array(scores, pa.float64())], ["qid", "chunk_id", "score"])
+
+    qid_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    ids = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    return index.blocks.mapInArrow(run, f"qid {kind}, chunk_id {ids}, score double")
+
+
+def blocks(table: DataFrame, id_col: str, rows: int, by: str | None = None) -> DataFrame:
+    """(ids, vectors binary) of a table (id_col, vector): up to `rows` rows of a partition side by side, as doubles; null vectors go.
+
+    With `by`, a column of whole numbers, a block holds rows that follow each other
+    with one value of it, which is a third column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
+        ids, vectors, at = [], [], None
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([np.array(vectors, np.float64).tobytes()], pa.binary())], ["ids", "vectors"])
+            cols = [pa.array([ids], pa.list_(kind)), pa.array([np.array(vectors, np.float64).tobytes()], pa.binary()), pa.array([at], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols if by else cols[:2], ["ids", "vectors", "by"][: 3 if by else 2])
 
         for batch in batches:
             kind = batch.column(0).type
-            for i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == rows:
+            for i, v, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and (len(ids) == rows or b != at):
                     yield packed()
                     ids, vectors = [], []
+                at = b
+                ids.append(i)
+                vectors.append(v)
         if ids:
             yield packed()
 
     kind = table.schema[id_col].dataType.simpleString()
-    return table.where("vector is not null").select(id_col, "vector").mapInArrow(run, f"ids array<{kind}>, vectors binary")
+    group = F.col(by).cast("long") if by else F.lit(None).cast("long")
+    out = table.where("vector is not null").select(id_col, "vector", group).mapInArrow(run, f"ids array<{kind}>, vectors binary" + ", by long" * bool(by))
+    return out.withColumnRenamed("by", by) if by else out
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
@@ -113,16 +260,23 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bo
     them is one matrix product, of which the k best a query leave the task.  Spark
     broadcasts the groups' table if it is small, and pairs partitions beyond that.
     """
-    if k <= 0:
-        raise ValueError("k must be positive")
     left = blocks(chunks, "chunk_id", CHUNKS).toDF("ids", "vectors")
     right = stored(blocks(queries, "qid", ASKED), "asked").toDF("qids", "asked")
+    return best_of_blocks(left.crossJoin(right), k, exclude_self)
+
+
+def best_of_blocks(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, chunk_id, score, rank) of pairs of blocks (ids, vectors, qids, asked): a matrix product for each pair, of which the k best a query leave the task."""
+    if k <= 0:
+        raise ValueError("k must be positive")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, vectors, qids, asked in zip(*(batch.column(c) for c in ("ids", "vectors", "qids", "asked")), strict=True):
                 chunk_ids, query_ids = np.array(ids.as_py()), np.array(qids.as_py())
                 c, q = (np.frombuffer(v.as_py()).reshape(len(n), -1) for v, n in ((vectors, chunk_ids), (asked, query_ids)))
+                if c.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors of {c.shape[1]} and of {q.shape[1]} numbers")
                 order = np.argsort(chunk_ids, kind="stable")  # so that ties go to smaller ids
                 chunk_ids, scores = chunk_ids[order], np.round(q @ c[order].T, 6)
                 if exclude_self:
@@ -137,8 +291,8 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: bo
                 kinds = (batch.schema.field("qids").type.value_type, batch.schema.field("ids").type.value_type, pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), t) for x, t in zip(found, kinds, strict=True)], ["qid", "chunk_id", "score"])
 
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (chunks, "chunk_id"))]
-    return ranked(left.crossJoin(right).mapInArrow(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
+    kinds = [pairs.schema[c].dataType.elementType.simpleString() for c in ("qids", "ids")]
+    return ranked(pairs.select("ids", "vectors", "qids", "asked").mapInArrow(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:

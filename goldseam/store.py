@@ -47,13 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and return the table."""
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as a table in the shared folder, a folder for each value of the columns `by`, and return the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/goldseam/{label}-{uuid.uuid4().hex}"
     if (tables := _open.get()) is not None:
         tables.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
