@@ -101,8 +101,8 @@ def starts_at_heading(text: Column, index: Column) -> Column:
     return (index == 0) | F.coalesce(first.rlike("^#{1,6}\\s"), F.lit(False))
 
 
-def longest_overlap(pairs: DataFrame) -> DataFrame:
-    """(qid, length) of (qid, question, passage): the longest run of words that both share.
+def overlaps(pairs: DataFrame) -> DataFrame:
+    """(qid, length, phrase) of (qid, question, passage): the longest run of words that both share, the first of the question's if there are several.
 
     Equal words meet by a join; runs are islands on the diagonals of their positions.
     """
@@ -111,8 +111,15 @@ def longest_overlap(pairs: DataFrame) -> DataFrame:
     p = pairs.select("qid", F.posexplode(words("passage")).alias("pi", "w"))
     met = q.join(p, ["qid", "w"]).select("qid", "qi", (F.col("pi") - F.col("qi")).alias("d"))
     order = Window.partitionBy("qid", "d").orderBy("qi")
-    runs = met.withColumn("island", F.col("qi") - F.row_number().over(order)).groupBy("qid", "d", "island").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.select("qid").join(runs.groupBy("qid").agg(F.max("n").alias("n")), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("length"))
+    runs = met.withColumn("island", F.col("qi") - F.row_number().over(order)).groupBy("qid", "d", "island").agg(F.count(F.lit(1)).alias("n"), F.min("qi").alias("at"))
+    best = runs.groupBy("qid").agg(F.max(F.struct("n", (-F.col("at")).alias("before"))).alias("best"))
+    phrase = F.array_join(F.slice(words("question"), (1 - F.col("best.before")).cast("int"), F.col("best.n").cast("int")), " ")
+    return pairs.select("qid", "question").join(best, "qid", "left").select("qid", F.coalesce("best.n", F.lit(0)).alias("length"), F.coalesce(phrase, F.lit("")).alias("phrase"))
+
+
+def longest_overlap(pairs: DataFrame) -> DataFrame:
+    """(qid, length): overlaps() without the words."""
+    return overlaps(pairs).select("qid", "length")
 
 
 def rule_verdict(fired: dict[str, Column], drops: tuple[str, ...], fixes: tuple[str, ...]) -> tuple[Column, Column]:
