@@ -1,10 +1,12 @@
-"""Retrieval lanes by name, run over a whole batch of questions."""
+"""Retrieval lanes by name, run over whole batches of questions, with what failed and what each stage took."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from contextvars import ContextVar
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +14,37 @@ from pyspark.sql import functions as F
 from goldseam.config import EngineError
 from goldseam.store import stored
 
+#: Batches of a lane that may fail before what is left of the failing ones counts as failed without another try.
+PATIENCE = 64
+#: Dollars for a million tokens of prompts and of replies.
+RATES = (0.075, 0.30)
+
+LOG = "lane_id string, qid {0}, error string, ms double, prompt_tokens long, completion_tokens long"
+_stages: ContextVar[list | None] = ContextVar("stages", default=None)
+
 
 class LaneUnavailable(EngineError):
-    """A lane can't be prepared; that isn't a score of 0."""
+    """Lanes that can't be prepared; that isn't a score of 0."""
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What a lane may give instead of plain rows: rows (qid, chunk_id, score, rank), and usage (qid, error, prompt_tokens, completion_tokens) of the questions that a model was asked for.
+
+    A question with an error is a miss, whatever rows it has.
+    """
+
+    rows: DataFrame
+    usage: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Lane:
-    """retrieve(questions, k) gives (qid, chunk_id, score, rank) for all questions at once; warm() prepares what isn't timed."""
+    """retrieve(questions, k) gives (qid, chunk_id, score, rank), or an Answer, for all questions at once; warm() prepares what isn't timed."""
 
     id: str
     label: str
-    retrieve: Callable[[DataFrame, int], DataFrame]
+    retrieve: Callable[[DataFrame, int], DataFrame | Answer]
     warm: Callable[[], object] = lambda: None
 
 
@@ -37,45 +58,136 @@ class Registry(dict):
         return lane
 
     def chosen(self, names: list[str] | None = None) -> list[Lane]:
-        unknown = [n for n in names or () if n not in self]
+        """The lanes named, each once, in the registry's order whatever the caller's; all without names."""
+        unknown = sorted(set(names or ()) - set(self))
         if unknown:
             raise ValueError(f"no lanes {unknown}; there are {list(self)}")
-        return [self[n] for n in (self if names is None else names)]
+        return [lane for name, lane in self.items() if names is None or name in names]
 
 
 def preflight(lanes: list[Lane]) -> None:
-    """Prepare every lane before any is run; LaneUnavailable for the first that can't be."""
+    """Prepare all lanes, then raise LaneUnavailable with every one that can't be, so that one attempt shows all that is missing."""
+    missing = {}
     for lane in lanes:
         try:
             lane.warm()
         except Exception as e:
-            raise LaneUnavailable(f"lane {lane.id}: {type(e).__name__}: {e}") from e
+            missing[lane.id] = f"{type(e).__name__}: {e}"
+    if missing:
+        raise LaneUnavailable("not ready: " + "; ".join(f"{name} ({why})" for name, why in missing.items()))
+
+
+def stage(name: str, rows: DataFrame) -> DataFrame:
+    """A stage of a lane: written and timed while run() runs the lane, else passed on as it is."""
+    times = _stages.get()
+    if times is None:
+        return rows
+    began = time.perf_counter()
+    out = stored(rows, name)
+    n = out.count()
+    times.append((name, time.perf_counter() - began, n))
+    return out
+
+
+@dataclass
+class _Run:
+    rows: list[DataFrame] = field(default_factory=list)
+    log: list[DataFrame] = field(default_factory=list)
+    stages: dict[str, list] = field(default_factory=dict)
+    failed: int = 0
+
+
+def _answered(lane: Lane, asked: DataFrame, k: int, run: _Run, depth: int = 0) -> None:
+    """Answer a batch; one that fails is halved by a hash until the questions that fail stand alone."""
+    n = asked.count()
+    if not n:
+        return
+    times: list = []
+    token = _stages.set(times)
+    began = time.perf_counter()
+    try:
+        answer = lane.retrieve(asked, k)
+        answer = answer if isinstance(answer, Answer) else Answer(answer)
+        rows = stored(answer.rows.select("qid", "chunk_id", "score", "rank"), f"lane-{lane.id}")
+        usage = None if answer.usage is None else stored(answer.usage.select("qid", "error", "prompt_tokens", "completion_tokens"), "usage")
+        error = None
+    except Exception as e:  # a lane's fault must lose neither other lanes nor other questions
+        error = f"{type(e).__name__}: {e}"
+    finally:
+        _stages.reset(token)
+    if error is None:
+        ms = (time.perf_counter() - began) * 1000 / n
+        for name, seconds, out in times:
+            total = run.stages.setdefault(name, [0.0, 0])
+            total[0] += seconds
+            total[1] += out
+        log = asked.select("qid") if usage is None else asked.select("qid").join(usage, "qid", "left")
+        whole = log if usage is not None else log.selectExpr("qid", "cast(null as string) as error", "0L as prompt_tokens", "0L as completion_tokens")
+        whole = whole.select("qid", "error", F.when(F.col("error").isNull(), F.lit(ms)).alias("ms"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("prompt_tokens", "completion_tokens")])
+        run.log.append(whole)
+        run.rows.append(rows if usage is None else rows.join(usage.where("error is not null"), "qid", "left_anti"))
+        return
+    run.failed += 1
+    if n == 1 or run.failed > PATIENCE or depth > 60:
+        run.log.append(asked.select("qid", F.lit(error).alias("error"), F.lit(None).cast("double").alias("ms"), F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens")))
+        return
+    side = F.pmod(F.xxhash64("qid", F.lit(depth)), F.lit(2))
+    for half in (0, 1):
+        _answered(lane, stored(asked.where(side == half), "half"), k, run, depth + 1)
 
 
 def run(lanes: list[Lane], questions: DataFrame, k: int) -> tuple[DataFrame, dict[str, dict]]:
     """((lane_id, qid, chunk_id, score, rank), facts by lane) of prepared lanes.
 
-    Each lane answers the batch in one job; facts hold its seconds, the seconds a
-    question, and the error of a lane that failed.  A failed lane has no rows, so
-    outcomes() counts all of its questions as misses, and one lane's failure
-    loses no other's results.  Questions without text are misses likewise: no
-    lane sees them.
+    A lane answers the whole batch at once.  A batch that raises is halved, so a
+    question that a lane can't answer is one failed question and the others keep
+    their results; after PATIENCE failed batches what still fails isn't tried again.
+    A failed question has no rows, so outcomes() counts it as a miss.  Questions
+    without text are misses likewise: no lane sees them.
+
+    facts hold the label, log (LOG: an error, or a question's share of its batch's
+    time, and tokens), failures (their number), stages (name, seconds, rows), the
+    seconds in all and a question, and error: that of a lane no question of which
+    was answered.
     """
     spark = questions.sparkSession
     asked = stored(questions.where(F.trim(F.coalesce("question", F.lit(""))) != ""), "asked")
     n, facts = asked.count(), {}
-    parts = [spark.createDataFrame([], "lane_id string").join(asked.select("qid"), F.lit(False)).selectExpr("lane_id", "qid", "qid as chunk_id", "0.0D as score", "0 as rank")]
+    kind = asked.schema["qid"].dataType.simpleString()
+    parts = []
     for lane in lanes:
         began = time.perf_counter()
-        try:
-            found = stored(lane.retrieve(asked, k).select("qid", "chunk_id", "score", "rank"), f"lane-{lane.id}")
-            parts.append(found.select(F.lit(lane.id).alias("lane_id"), "qid", "chunk_id", "score", "rank"))
-            error = None
-        except Exception as e:  # one lane's fault must not lose the others
-            error = f"{type(e).__name__}: {e}"
+        own = _Run()
+        _answered(lane, asked, k, own)
         took = time.perf_counter() - began
-        facts[lane.id] = {"label": lane.label, "seconds": took, "seconds_per_question": took / n if n else 0.0, "error": error}
-    out = parts[1] if len(parts) > 1 else parts[0]
-    for part in parts[2:]:
-        out = out.unionByName(part)
-    return out, facts
+        parts += [r.select(F.lit(lane.id).alias("lane_id"), "qid", "chunk_id", "score", "rank") for r in own.rows]
+        logged = [x.select(F.lit(lane.id).alias("lane_id"), "qid", "error", "ms", "prompt_tokens", "completion_tokens") for x in own.log]
+        log = stored(reduce(DataFrame.unionByName, logged), "log") if logged else spark.createDataFrame([], LOG.format(kind))
+        failures = log.where("error is not null").count()
+        error = log.where("error is not null").first()["error"] if failures and failures == n else None
+        stages = [(name, seconds, out) for name, (seconds, out) in own.stages.items()]
+        facts[lane.id] = {"label": lane.label, "seconds": took, "seconds_per_question": took / n if n else 0.0, "error": error, "failures": failures, "stages": stages, "log": log}
+    if not parts:
+        return spark.createDataFrame([], f"lane_id string, qid {kind}, chunk_id {kind}, score double, rank int"), facts
+    return reduce(DataFrame.unionByName, parts), facts
+
+
+def metrics(log: DataFrame, outcomes: DataFrame, rates: tuple[float, float] = RATES) -> DataFrame:
+    """(lane_id, questions, failed, recall, mrr, mean_ms, p95_ms, cost_usd) of a log and the outcomes (lane_id, qid, hit, rr) of the same lanes.
+
+    Recall and MRR are over all questions, a failed one being a miss; times and cost
+    are over answered ones only, and null where there are none, as nothing was
+    measured.
+    """
+    good = F.col("error").isNull() & F.col("ms").isNotNull()
+    cost = (F.col("prompt_tokens") * rates[0] + F.col("completion_tokens") * rates[1]) / 1e6
+    joined = outcomes.join(log, ["lane_id", "qid"], "left")
+    return joined.groupBy("lane_id").agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.round(F.avg(F.col("hit").cast("int")), 4).alias("recall"),
+        F.round(F.avg("rr"), 4).alias("mrr"),
+        F.round(F.avg(F.when(good, F.col("ms"))), 1).alias("mean_ms"),
+        F.round(F.percentile(F.when(good, F.col("ms")), F.lit(0.95)), 1).alias("p95_ms"),
+        F.round(F.avg(F.when(good, cost)), 10).alias("cost_usd"),
+    )

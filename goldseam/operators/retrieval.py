@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldseam.config import EngineError
@@ -24,6 +25,8 @@ MOST_ASKED = 200_000
 BLOCK = 4096
 #: Chunks of a block and queries of a group that one matrix product compares.
 CHUNKS, ASKED = 4096, 512
+#: Fixed value: words of a passage that a pair model reads.
+MODEL_WORDS = 512
 #: Words in a row by which passages and texts meet.
 SHARED = 3
 
@@ -333,6 +336,31 @@ def lexical_score(question: str, passage: str):
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(F.col(passage)))) / F.size(q)).otherwise(F.lit(0.0))
 
 
+def truncated(text: Column, words: int) -> Column:
+    """The first so many words of a text, as they stand in it."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit("(\\s*\\S+)"), 1), 1, words), "")
+
+
+def pair_model(make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], words: int = MODEL_WORDS) -> Callable:
+    """A scorer for rerank() from make(), which a task calls once for the model: a function from (question, text) pairs to scores, in batches; texts are cut to so many words."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for questions, texts in batches:
+            pairs = list(zip(questions.fillna(""), texts.fillna(""), strict=True))
+            yield pd.Series(model(pairs) if pairs else [], dtype="float64")
+
+    return lambda question, passage: run(F.col(question), truncated(F.col(passage), words))
+
+
+def weighted_score(question: str, passage: str, long: int = 6):
+    """lexical_score in which words of at least `long` letters count twice: the stand-in for a second, tuned checkpoint."""
+    q, p = F.array_distinct(T.tokens(F.col(question))), T.tokens(F.col(passage))
+    count = lambda w: F.size(w) + F.size(F.filter(w, lambda x: F.length(x) >= long))
+    return F.when(F.size(q) > 0, count(F.array_intersect(q, p)) / count(q)).otherwise(F.lit(0.0))
+
+
 def rerank(found: DataFrame, questions: DataFrame, texts: DataFrame, depth: int, k: int, scorer: Callable = lexical_score) -> DataFrame:
     """The first `depth` of each list, scored anew as (question, text) pairs, cut to k; a missing text counts as empty."""
     pairs = found.where(F.col("rank") <= depth).join(questions.select("qid", "question"), "qid").join(texts.select("chunk_id", "text"), "chunk_id", "left")

@@ -88,23 +88,6 @@ for _name, _id in (("lane_bm25", "bm25"), ("lane_dense", "dense"), ("lane_hybrid
     _lane(_name, _id)
 
 
-@query(rf"""with {HYBRID}, mk as (select qid, list(x order by i) as v from (select b.qid, i, avg(h.vector[i]::double) as x from bm b join hy h using (chunk_id), range(1, 65) t(i) where b.rank <= 3 group by all) group by qid),
- d2 as (select *, row_number() over (partition by qid order by score desc, chunk_id) as rank from (select m.qid, h.chunk_id, round(list_inner_product(h.vector::double[], m.v), 6) as score from mk m join hy h on m.qid <> h.chunk_id)),
- fu as (select qid, chunk_id, row_number() over (partition by qid order by score desc, chunk_id) as rank from (select qid, chunk_id, round(sum(1.0e0 / (60 + rank)), 9) as score from (select qid, chunk_id, rank from bm where rank <= 50 union all select qid, chunk_id, rank from d2 where rank <= 50) group by all))
- select qid, chunk_id, score, rank::int as rank from (select *, row_number() over (partition by qid order by score desc, chunk_id) as rank from (
-  select f.qid, f.chunk_id, round(len(list_intersect(list_distinct(qt.w), ct.w)) / len(list_distinct(qt.w)), 6) as score
-  from fu f join (select qid, regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+') as w from qs) qt using (qid) join tok ct using (chunk_id) where f.rank <= 20)) where rank <= 10""")
-def lane_hyde(spark, d):
-    """The dense arm searches with a made-up passage's vector (by default the mean of the three best lexical hits'); the other arm and the reranker keep the question."""
-    c, q, _ = hybrid(spark, d)
-    lexical = arms(spark, d).where("list_id = 'bm25'")
-    parts = lexical.where("rank <= 3").join(c.select("chunk_id", F.posexplode("vector").alias("i", "x")), "chunk_id").groupBy("qid", "i").agg(F.avg("x").alias("x"))
-    made = parts.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
-    dense = R.dense_search(c, made, S.retrieve_depth).withColumn("list_id", F.lit("hyde"))
-    both = lexical.select("list_id", "qid", "chunk_id", "rank").unionByName(dense.select("list_id", "qid", "chunk_id", "rank"))
-    return R.rerank(R.rrf(both, S.rrf_k), q, c, S.rerank_depth, K)
-
-
 ABLATION = rf"""with {GOLD}, texts as (select 'with_prefix' as lane_id, item_id as id, '{N.QUERY_PREFIX}' || text as text from benchmark where item_id in (select qid from gold)
   union all select 'without_prefix', item_id, text from benchmark where item_id in (select qid from gold) union all select 'chunk', doc_id, coalesce(text, '') from documents),
  slots as (select lane_id, id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))), 1, 8))::bigint % {2 * N.DIMS} as s from texts),
