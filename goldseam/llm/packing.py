@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 from itertools import groupby
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from goldseam.llm.bpe import ONE, SafeEncoder
 from goldseam.llm.common import load, stored, texts
 
-#: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues of sources without a target.
+#: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues of sources without a target, if there are more of them.
 WINDOW, SPAN, QUANTUM, QUEUES = 1024, 1024, 128, 256
 
 
@@ -67,8 +68,6 @@ class Mixture:
     def __init__(self, q: dict[str, int], weight: dict[str, float]):
         self.q, self.weight, self.total = q, {k: Fraction(weight[k]) for k in q}, sum(q.values())
         lasts = {k: n / self.weight[k] for k, n in q.items()}
-        #: The queue that lasts longest takes what rounding leaves.
-        self.big = max(sorted(q), key=lambda k: (lasts[k], q[k])) if q else ""
         #: (tokens packed, time) where a queue runs dry; between them the tokens grow evenly in time
         self.turns, at, w, alive = [(Fraction(0), Fraction(0))], Fraction(0), Fraction(0), sum(self.weight.values())
         for t in sorted(set(lasts.values())):
@@ -77,19 +76,37 @@ class Mixture:
             at = t
             self.turns.append((w, at))
 
-    def exact(self, name: str, w: int) -> Fraction:
-        """The tokens of a queue among the first w, as a fraction."""
+    def time(self, w: int) -> Fraction:
+        """When w tokens are packed, if tokens could be split."""
         i = max(1, min(bisect_left(self.turns, (Fraction(w), Fraction(0))), len(self.turns) - 1))
         (w0, t0), (w1, t1) = self.turns[i - 1], self.turns[i]
-        return min(Fraction(self.q[name]), self.weight[name] * (t0 + (w - w0) * (t1 - t0) / (w1 - w0)))
+        return t0 + (w - w0) * (t1 - t0) / (w1 - w0)
 
-    def bound(self, name: str, w: int) -> int:
-        """exact, rounded down; the queue that lasts longest takes the rest of w."""
-        if name == self.big:
-            return w - sum(self.bound(k, w) for k in self.q if k != name)
-        if len(self.turns) == 2:  # all run dry together: plain shares of whole numbers
-            return self.q[name] * w // self.total
-        return int(self.exact(name, w))
+    def exact(self, name: str, w: int) -> Fraction:
+        """The tokens of a queue among the first w, as a fraction."""
+        return min(Fraction(self.q[name]), self.weight[name] * self.time(w))
+
+    def bounds(self, w: int) -> dict[str, int]:
+        """The whole tokens of each queue among the first w.
+
+        Token n of a queue falls due when the queue has earned n, at n / weight; all
+        tokens stand in the order in which they fall due, those due together in the
+        order of the queues' names, and the first w of them count.  So no queue
+        ever gives back a token as w grows, whatever its weight, and each is within
+        a few tokens of exact.
+        """
+        t = self.time(w)
+        out = {k: min(n, int(self.weight[k] * t)) for k, n in self.q.items()}
+        due = [((out[k] + 1) / self.weight[k], k) for k, n in self.q.items() if out[k] < n]
+        heapify(due)
+        for _ in range(w - sum(out.values())):  # fewer than there are queues
+            _, k = due[0]
+            out[k] += 1
+            if out[k] < self.q[k]:
+                heapreplace(due, ((out[k] + 1) / self.weight[k], k))
+            else:
+                heappop(due)
+        return out
 
 
 def rounds(queues: dict[str, int], share: dict[str, float], debt: dict[str, float], window: int, quantum: int) -> Iterator[list[tuple[str, int]]]:
@@ -165,8 +182,8 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     queue = F.coalesce(F.col(queue_col).cast("string"), F.lit(""))
     shared = docs.select(queue.alias("queue")).distinct().limit(QUEUES + 1).count() > QUEUES
     named = [k for k in targets or {}]
-    if len(named) > QUEUES or any(x <= 0 for x in (targets or {}).values()):
-        raise ValueError(f"targets must be positive, and {QUEUES} at most")
+    if any(x <= 0 for x in (targets or {}).values()):
+        raise ValueError("targets must be positive")
     shares = "#" * (1 + max(map(len, named), default=0))  # longer than any name, so no shared queue is named like a source
     group = F.when(F.col("queue").isin(named), F.col("queue")).otherwise(F.concat(F.lit(shares), F.pmod(F.xxhash64("queue"), F.lit(QUEUES)).cast("string"))) if shared else F.col("queue")
     source = texts(docs.withColumn("__queue", queue), id_col, text_col, "__queue")
@@ -198,15 +215,14 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
     if rest and spare <= 0:
         raise ValueError("targets leave nothing for sources that they don't name")
     mix = Mixture(q, {k: Fraction(targets[k]) if k in named else Fraction(n, rest) * spare for k, n in q.items()})
-    # then rounding never outweighs the share of a partition that the longest queue has
-    span = max(span, -(-2 * len(q) * sum(mix.weight.values()) // (mix.weight[mix.big] * window))) if q else span
     unit = window * span
     parts = max(1, total // unit)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, dtype = tokenizer(vocab_file)
         size = np.dtype(dtype).itemsize
-        edge = lru_cache(1 << 16)(lambda k, j: q[k] if j >= parts else mix.bound(k, j * unit))
+        at_start = lru_cache(1 << 12)(lambda j: q if j >= parts else mix.bounds(j * unit))
+        edge = lambda k, j: at_start(j)[k]
         for batch in batches:
             out: list[tuple] = []
             for k, of, i, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("queue", "of", "id", "n", "ids", "at")), strict=True):
@@ -237,7 +253,8 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
             at[k] = [0, 0]  # the slice and the place in it
         lengths = {k: sum(len(x[3]) for x in v) // 4 for k, v in flow.items()}
         share = {k: float(mix.weight[k]) for k in flow}
-        debt = {k: float(mix.exact(k, j * unit) - mix.bound(k, j * unit)) for k in flow}
+        given = mix.bounds(j * unit)
+        debt = {k: float(mix.exact(k, j * unit) - given[k]) for k in flow}
         out: list[tuple] = []
         seq = j * span
         for took in rounds(lengths, share, debt, window, quantum):

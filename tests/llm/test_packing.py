@@ -128,3 +128,33 @@ def test_mixture_with_more_sources_than_queues(spark, docs, monkeypatch):
             have, want = have + of_source[k], want + share * n
             worst = max(worst, abs(have - want))
     assert worst <= 2 * longest
+
+
+def test_whole_tokens_of_many_queues():
+    """A thousand queues, one that lasts longest at a tiny weight: no queue gives a token back, all add up, and all are close to their shares."""
+    from goldseam.llm.packing import Mixture
+
+    r = random.Random(2)
+    q = {f"s{i:04}": r.randint(1, 5000) for i in range(1000)} | {"long": 400_000}
+    weight = {k: r.random() for k in q} | {"long": 1e-9}
+    mix, last = Mixture(q, weight), dict.fromkeys(q, 0)
+    for w in range(0, sum(q.values()) + 1, 99_991):
+        now = mix.bounds(w)
+        assert sum(now.values()) == w and all(last[k] <= now[k] <= q[k] for k in q)
+        assert all(abs(now[k] - mix.exact(k, w)) <= 2 for k in q if k != "long") or w > sum(q.values()) - 400_000
+        last = now
+    assert mix.bounds(sum(q.values())) == q
+
+
+def test_a_tiny_target_doesn_t_enlarge_partitions(spark):
+    """The task of a partition holds span sequences, however small the target of the source that lasts longest."""
+    rows = [(i, "a b c d e f g " * 6, "long" if i % 2 else f"s{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, VOCAB, window=64, span=4, quantum=16, targets={"long": 1e-9}).collect()
+    used = {}
+    for p in got:
+        used[p["sequence_id"]] = used.get(p["sequence_id"], 0) + p["length"]
+    assert sum(n == 64 for n in used.values()) >= len(used) - 6
+    first = [p["doc_id"] for p in got if p["sequence_id"] < 8]
+    assert first and all(i % 2 == 0 for i in first)  # the tiny target waits until the others have run dry
+    assert sum(p["length"] for p in got) == sum(used.values())
