@@ -24,14 +24,14 @@ FEW = 0.02
 class Index:
     """Postings of a block: for each component the vectors in the order of its quantised value."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         level = vectors // STEP  # rounds down: a component lies in [STEP * level, STEP * level + STEP - 1]
         self.order = np.argsort(level, axis=0, kind="stable").T.copy()
         self.levels = np.take_along_axis(level.T, self.order, axis=1)
 
     def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best vectors but `own`, ties to smaller ids: exact.
+        """(ids, scores) of the k best vectors but that of row `own`, ties to smaller ids: exact.
 
         Segments of postings are read by descending impact (query component times
         quantised value), in rounds; accumulators hold what was read.  After each
@@ -67,12 +67,12 @@ class Index:
             if n > 4 * k:
                 best = np.argpartition(-acc, k)[: k + 1]
                 exact = self.vectors[best] @ q
-                exact = np.sort(exact[self.ids[best] != own])[::-1]
+                exact = np.sort(exact[self.rows[best] != own])[::-1]
                 if len(exact) >= k:
                     possible = np.flatnonzero(upper >= exact[k - 1])
                     if len(possible) <= max(FEW * n, 4 * k):
                         break
-        possible = possible[self.ids[possible] != own]
+        possible = possible[self.rows[possible] != own]
         scores = self.vectors[possible] @ q
         order = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][order], scores[order]
@@ -85,7 +85,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     a null or a component that isn't finite take no part, nor do rows without an id;
     an empty vector has the score 0 with all; of vectors of different lengths, the
     shorter counts as padded with zeros.  Ties go to smaller ids; a query's own row
-    is no candidate, and rows that repeat an id count as one of them, the smallest.
+    is no candidate; rows that repeat an id are candidates, and queries, each by itself.
     Fewer candidates than k give fewer rows, an empty table gives none.  Extra
     columns are ignored.
 
@@ -99,23 +99,23 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     prepare(spark)
     v = F.col(vector_col)
     whole = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    table = whole.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    table = whole.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row"))
     with temporary(spark) as result:
         return result(_ranked(stored(table, "vectors"), every, k).withColumnRenamed("vec_id", id_col), "top-k")
 
 
 def _ranked(table: DataFrame, every: int, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of a table (id, v) of whole numbers."""
+    """(query_id, rank, vec_id, score) of a table (id, v, row) of whole numbers."""
     size = table.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     dims, blocks = size[1] or 0, max(1, -(-size[0] // BLOCK))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    rows = table.select(own.alias("block"), F.lit(False).alias("query"), "id", "v")
-    asked = table.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v")
+    own = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int")
+    rows = table.select(own.alias("block"), F.lit(False).alias("query"), "row", "id", "v")
+    asked = table.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "row", "id", "v")
     dealt = rows.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "query")  # a task for each block
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the block's vectors, until its index is made
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of the block's vectors, until its index is made
 
         def matrix(vectors: pa.ListArray) -> np.ndarray:
             m = np.zeros((len(vectors), dims), np.int64)
@@ -123,14 +123,15 @@ def _ranked(table: DataFrame, every: int, k: int) -> DataFrame:
             m[np.arange(dims) < lengths[:, None]] = vectors.flatten().to_numpy()
             return m
 
-        def answers(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            found = [(i, *index.search(q, k, i)) for i, q in zip(ids.tolist(), m, strict=True)]
-            cols = (np.repeat(ids, [len(x[1]) for x in found]), *(np.concatenate([x[c] for x in found]) for c in (1, 2)))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+        def answers(rows: np.ndarray, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            found = [index.search(q, k, row) for row, q in zip(rows.tolist(), m, strict=True)]
+            lengths = [len(x[1]) for x in found]
+            cols = (np.repeat(rows, lengths), np.repeat(ids, lengths), *(np.concatenate([x[c] for x in found]) for c in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "query_id", "vec_id", "score"])
 
         for batch in batches:
             block, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            ids, m = batch.column(2).to_numpy(), matrix(batch.column(3))
+            own, ids, m = batch.column(2).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(4))
             # a batch may hold the end of one block and the start of the next
             cuts = np.flatnonzero(np.diff(block * 2 + query)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
@@ -139,15 +140,15 @@ def _ranked(table: DataFrame, every: int, k: int) -> DataFrame:
                 if block[lo] != at:
                     at, index, held = block[lo], None, []
                 if not query[lo]:
-                    held.append((ids[lo:hi], m[lo:hi]))
+                    held.append((own[lo:hi], ids[lo:hi], m[lo:hi]))
                     continue
                 if index is None:
-                    none = (np.empty(0, np.int64), np.empty((0, dims), np.int64))
+                    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, dims), np.int64))
                     index, held = Index(*(np.concatenate(x) for x in zip(none, *held, strict=True))), []
-                yield answers(ids[lo:hi], m[lo:hi])
+                yield answers(own[lo:hi], ids[lo:hi], m[lo:hi])
 
-    pairs = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = dealt.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
@@ -162,13 +163,13 @@ QUERIES = {"op4_topk": op4_topk}
 ORACLE_SQL = {
     "op4_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+  select q.row, q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.row <> c.row
 ), r as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s
+  select *, row_number() over (partition by row order by score desc, vec_id)::int as rank from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """

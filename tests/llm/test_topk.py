@@ -7,16 +7,16 @@ from goldseam.llm import topk
 
 
 def brute(rows, every, k):
-    ok = {}
+    ok = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         w = [math.floor(256 * float(np.float32(x))) for x in v]
-        ok[i] = min(ok.get(i, w), w)
+        ok.append((i, w))
     out = []
-    for q in ok:
+    for at, (q, own) in enumerate(ok):
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=False)), i) for i, v in ok.items() if i != q)
+            s = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for n, (i, v) in enumerate(ok) if n != at)
             out += [(q, r, i, -x) for r, (x, i) in enumerate(s[:k], 1)]
     return sorted(out)
 
@@ -28,7 +28,7 @@ def test_against_brute_force(spark, monkeypatch, block, spread):
     m = r.normal(size=(400, 16)) * np.exp(-spread * r.random((400, 1)))
     m[50:80] = m[50]
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(m)]
-    rows += [(400, None), (410, [1.0, None]), (420, [float("nan")]), (430, [float("inf"), 1.0]), (440, []), (450, [2.0]), (None, [1.0]), (10, rows[10][1])]
+    rows += [(400, None), (410, [1.0, None]), (420, [float("nan")]), (430, [float("inf"), 1.0]), (440, []), (450, [2.0]), (None, [1.0]), (10, rows[10][1]), (10, [0.5] * 16), (3, [3.0] * 16), (3, [3.0] * 16)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, id int")
     got = sorted(tuple(x) for x in topk.top_k(df, every=10, k=5).collect())
     assert got == brute(rows, 10, 5)
@@ -41,7 +41,7 @@ def test_stops_early_on_proof():
     v[:, 0] = r.integers(0, 40, 2000)
     v[:20, 0] = 250
     v[:, 1] = r.integers(-8, 8, 2000)
-    index = topk.Index(np.arange(2000), v)
+    index = topk.Index(np.arange(2000), np.arange(2000), v)
     q = np.array([256, 1, 0, 0, 0, 0, 0, 0])
     ids, scores = index.search(q, 5, 7)
     want = sorted((-(int(x @ q)), i) for i, x in enumerate(v) if i != 7)[:5]
