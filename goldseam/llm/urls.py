@@ -49,6 +49,7 @@ class Trie:
             for s in segments:
                 node = node.setdefault(("p", s), {})
             node.setdefault("tails", {})[tail] = (verdict, host + path)
+            node.setdefault("lengths", set()).add(len(tail))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The verdict and text of the longest rule that fits; of equally long ones that of the longest host."""
@@ -62,8 +63,12 @@ class Trie:
             for s in segments:
                 if at is None:
                     break
-                for tail, rule in at.get("tails", {}).items():
-                    if s.startswith(tail) and (best is None or len(rule[1]) >= len(best[1])):
+                if tails := at.get("tails"):
+                    # tails of one node differ in nothing else, so the longest is the longest rule: one lookup for each length there is
+                    if "order" not in at:
+                        at["order"] = sorted(at["lengths"], reverse=True)
+                    rule = next((tails[s[:n]] for n in at["order"] if n <= len(s) and s[:n] in tails), None)
+                    if rule and (best is None or len(rule[1]) >= len(best[1])):
                         best = rule
                 at = at.get(("p", s))
         return best

@@ -41,3 +41,18 @@ def test_long_lists_are_judged_trie_by_trie(spark, monkeypatch, most):
     monkeypatch.setattr(urls, "MOST_RULES", most)
     assert sorted(tuple(x) for x in urls.filter_urls(df, rules).collect()) == want
     assert [(i, *brute(u, rules)) for i, u in rows] == want
+
+
+def test_many_rules_of_one_folder():
+    """Told by a lookup for each length of their ends, not one by one."""
+    import time
+
+    from goldseam.llm.urls import Trie
+
+    trie = Trie([("block", "ex.com", f"/a/x{i}") for i in range(100_000)] + [("allow", "ex.com", "/a/x77y")])
+    assert trie.find("www.ex.com", "/a/x77yz") == ("allow", "ex.com/a/x77y") and trie.find("ex.com", "/a/x123456") == ("block", "ex.com/a/x12345")
+    assert trie.find("ex.com", "/a/y") is None and trie.find("ex.com", "/a") is None
+    began = time.process_time()
+    for i in range(2000):
+        trie.find("ex.com", f"/a/x{i}/page")
+    assert (time.process_time() - began) / 2000 < 100e-6
