@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.config import EngineError
+from goldseam.operators.ranks import numbered
+from goldseam.store import stored
 
 #: Fixed value: recall at 10 above this is audited for leaks before it is reported.
 TRIPWIRE = 0.95
+#: Values that a task of the bootstrap holds.
+VALUES = 1_000_000
 
 
 def outcomes(questions: DataFrame, found: DataFrame, gold: DataFrame, k: int, lanes: DataFrame | None = None) -> DataFrame:
@@ -63,17 +67,38 @@ def bootstrap(pairs: DataFrame, value: str, resamples: int, seed: int, alpha: fl
 
     Draw i of resample b takes the question whose place is the MD5 of (seed, b, i)
     modulo n, so the draws are the same on every engine and in any order.
+
+    Values lie in blocks of at most VALUES, in the order of their questions; a task
+    holds a block, draws for its resamples and adds up what falls into the block.
+    So a row for each resample and block is all that is made, however many
+    questions there are.
     """
-    numbered = pairs.select("qid", F.col(value).alias("v"), (F.row_number().over(Window.orderBy("qid")) - 1).alias("place"))
-    n = numbered.count()
+    placed = stored(numbered(pairs.select("qid", F.col(value).alias("v")), "qid"), "values")
+    n = placed.count()
     if not n:
         raise EngineError("no pairs to resample")
     spark = pairs.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long")
-    means = draws.select("b", F.pmod(number, F.lit(n)).cast("int").alias("place")).join(numbered, "place").groupBy("b").agg(F.avg("v").alias("m"))
+    size = F.lit(VALUES)
+    block = placed.groupBy(F.floor(F.col("place") / size).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("v"))
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", i)), 1, 8), 16, 10).cast("long")
+
+    def added(total, i):
+        at = F.pmod(number(i), F.lit(n)) - F.col("block") * size
+        return total + F.coalesce(F.when((at >= 0) & (at < size), F.get("v", at.cast("int"))), F.lit(0.0))
+
+    tasks = spark.sparkContext.defaultParallelism * 2
+    drawn = spark.range(0, resamples, 1, tasks).withColumnRenamed("id", "b").crossJoin(stored(block, "blocks"))
+    sums = drawn.select("b", F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.lit(0.0), added).alias("s"))
+    means = sums.groupBy("b").agg((F.sum("s") / n).alias("m"))
     ci = means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"))
-    return numbered.agg(F.avg("v").alias("mean")).crossJoin(ci)
+    return placed.agg(F.avg("v").alias("mean")).crossJoin(ci)
+
+
+def decide(interval: DataFrame, fired: DataFrame) -> DataFrame:
+    """One row (verdict, mean, low, high) of a bootstrap() row and tripwire() rows: the interval decides alone, and nothing is said while a tripwire has fired."""
+    leak = fired.agg(F.coalesce(F.bool_or("fired"), F.lit(False)).alias("leak"))
+    said = F.when(F.col("leak"), "withheld").when(F.col("low") > 0, "improvement").when(F.col("high") < 0, "regression").otherwise("no detectable difference")
+    return interval.crossJoin(leak).select(said.alias("verdict"), "mean", "low", "high")
 
 
 def detectable_wins(out: DataFrame) -> DataFrame:

@@ -163,12 +163,25 @@ def allocate(total: int, sizes: dict[str, int]) -> dict[str, int]:
     return out
 
 
+def quotas(rows: DataFrame, stratum: str, total: int) -> DataFrame:
+    """(stratum, quota): allocate() as a fold over the classes' sizes, a row for each class."""
+    sizes = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct("n", F.col(stratum).alias("k")))).alias("s"))
+    kind = dict(rows.dtypes)[stratum]
+
+    def step(acc, x):
+        share = F.least(x["n"], F.ceil(acc["left"] / acc["classes"]))
+        return F.struct((acc["left"] - share).alias("left"), (acc["classes"] - 1).alias("classes"), F.array_append(acc["out"], F.struct(x["k"].alias("k"), share.alias("quota"))).alias("out"))
+
+    start = F.struct(F.lit(total).cast("long").alias("left"), F.size("s").cast("long").alias("classes"), F.array().cast(f"array<struct<k:{kind},quota:bigint>>").alias("out"))
+    return listed.select(F.explode(F.aggregate("s", start, step)["out"]).alias("x")).select(F.col("x.k").alias(stratum), F.col("x.quota").alias("quota"))
+
+
 def stratified_sample(rows: DataFrame, key: str, stratum: str, total: int, seed: int) -> DataFrame:
     """A seeded sample with allocate()'s quota of each class."""
-    quotas = allocate(total, {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect()})  # a row a class
     order = Window.partitionBy(stratum).orderBy(T.seeded(seed, F.col(key)))
-    quota = F.coalesce(*[F.when(F.col(stratum) == k, v) for k, v in quotas.items()], F.lit(0))
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
+    placed = rows.withColumn("place", F.row_number().over(order))
+    return placed.join(F.broadcast(quotas(rows, stratum, total)), stratum).where(F.col("place") <= F.col("quota")).drop("quota").select(*rows.columns, "place")
 
 
 def sample_chunks(chunks: DataFrame, n: int, seed: int) -> DataFrame:

@@ -27,6 +27,8 @@ BLOCK = 4096
 CHUNKS, ASKED = 4096, 512
 #: Fixed value: words of a passage that a pair model reads.
 MODEL_WORDS = 512
+#: Short passages that one automaton holds.
+PATTERNS = 100_000
 #: Words in a row by which passages and texts meet.
 SHARED = 3
 
@@ -303,8 +305,9 @@ def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
 
     A passage of SHARED + 2 words or more has that many whole words inside, which
     stand in a row in every text that holds it: hashes of such runs meet by a join,
-    and what meets is verified.  Shorter passages have no such key; they are few or
-    none in practice, and are compared with every chunk.
+    and what meets is verified.  Shorter passages are sought by automata of at most
+    PATTERNS of them, which are broadcast and read every text once.  An empty passage
+    is in no text.
     """
     words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
     asked = passages.select("qid", "question", words(F.col("question")).alias("w"))
@@ -314,9 +317,33 @@ def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     held = held.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - SHARED), lambda i: run(F.col("w"), i)))).alias("key"))
     met = held.join(keyed.select("qid", "key"), "key").select("qid", "chunk_id").distinct()
     near = met.join(passages, "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
-    short = asked.where(F.size("w") < SHARED + 2).select("qid", "question").join(chunks.select("chunk_id", "text"))
-    both = near.select("qid", "chunk_id", "text", "question").unionByName(short.select("qid", "chunk_id", "text", "question"))
-    return both.where(F.expr("contains(text, question)")).select("qid", "chunk_id")
+    long = near.where(F.expr("contains(text, question)")).select("qid", "chunk_id")
+    short = stored(asked.where((F.size("w") < SHARED + 2) & (F.length("question") > 0)).select("qid", "question"), "short")
+    batches = -(-short.count() // PATTERNS)
+    parts = [_sought(chunks, short.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == b).collect(), short.schema["qid"].dataType.simpleString()) for b in range(batches)]
+    return reduce(DataFrame.unionByName, parts, long)
+
+
+def _sought(chunks: DataFrame, patterns: list, kind: str) -> DataFrame:
+    """(qid, chunk_id) of the chunks that hold one of the patterns (qid, question), by one automaton."""
+    shared = chunks.sparkSession.sparkContext.broadcast([(r["qid"], r["question"]) for r in patterns])
+
+    @F.pandas_udf(f"array<{kind}>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        owners: dict[str, list] = {}
+        for qid, text in shared.value:
+            owners.setdefault(text, []).append(qid)
+        automaton = ahocorasick.Automaton()
+        for text in owners:
+            automaton.add_word(text, text)
+        if owners:
+            automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted(q for x in {x for _, x in automaton.iter(t)} for q in owners[x]) if t and owners else [] for t in texts])
+
+    return chunks.select("chunk_id", F.explode(held("text")).alias("qid")).select("qid", "chunk_id")
 
 
 def rrf(arms: DataFrame, k: int = 60, depth: int | None = None) -> DataFrame:

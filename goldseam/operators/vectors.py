@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.operators import retrieval as R
@@ -68,8 +68,9 @@ def nearest(table: DataFrame, id_col: str, centers: np.ndarray, probes: int) ->
             if not len(batch):
                 continue
             v = np.array(batch.column(names.index("vector")).to_pylist(), np.float64).reshape(len(batch), -1)
-            if v.shape[1] != c.shape[1]:
+            if c.shape[1] and v.shape[1] != c.shape[1]:
                 raise ValueError(f"vectors of {v.shape[1]} numbers for an index of {c.shape[1]}")
+            v = v if c.shape[1] else v[:, :0]  # the index of an empty table
             lists = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :probes]
             rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), lists.shape[1])))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel().astype(np.int64))], [*names, "list"])
@@ -78,11 +79,12 @@ def nearest(table: DataFrame, id_col: str, centers: np.ndarray, probes: int) ->
     return table.where("vector is not null").mapInArrow(run, f"{fields}, list long")
 
 
-def build(chunks: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 42) -> VectorIndex:
+def build(chunks: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 42, path: str | None = None) -> VectorIndex:
     """Index every vector of (chunk_id, vector, ...): each lies in the list of its nearest center.
 
     Without a number of lists there is one for every thousand vectors, MOST_LISTS at
     most.  The centers come from what is there, so build the index after loading.
+    With a path it is written there for load(), else to the shared folder.
     """
     if lists is not None and (isinstance(lists, bool) or not isinstance(lists, int) or lists <= 0):
         raise ValueError("lists must be a positive whole number")
@@ -91,7 +93,23 @@ def build(chunks: DataFrame, lists: int | None = None, sample: int = SAMPLE, see
     placed = stored(nearest(held, "chunk_id", centers, 1), "placed")
     files = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("files"))
     dealt = placed.join(F.broadcast(files), "list").withColumn("file", F.pmod(F.xxhash64("chunk_id"), "files"))  # a row for each list
-    return VectorIndex(stored(dealt.repartition("list", "file").select(*placed.columns), "lists", ("list",)), centers)
+    out = dealt.repartition("list", "file").select(*placed.columns)
+    if path is None:
+        return VectorIndex(stored(out, "lists", ("list",)), centers)
+    spark = chunks.sparkSession
+    out.write.option("compression", "zstd").partitionBy("list").parquet(f"{path}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "list int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields]
+    spark.createDataFrame([(", ".join(fields),)], "schema string").coalesce(1).write.json(f"{path}/schema")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> VectorIndex:
+    """The index that build() wrote to a path."""
+    schema = spark.read.json(f"{path}/schema").first()["schema"]
+    centers = [r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("list").collect()]  # MOST_LISTS at most
+    return VectorIndex(spark.read.schema(schema).parquet(f"{path}/vectors"), np.array(centers, np.float64).reshape(len(centers), -1))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 1, corpus: str | None = None, exclude_self: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "goldset", "indexes", "screening", "lanes")
+MODULES = ("retrieval", "goldset", "indexes", "screening", "lanes", "reports")
 
 
 def _all(name: str) -> dict:

@@ -2,7 +2,7 @@ import pytest
 
 from goldseam.config import EngineError
 from goldseam.sources import jsonl
-from goldseam.streaming.append_log import resume
+from goldseam.streaming.append_log import read_log, resume
 
 
 def test_split_and_folder(spark, tmp_path):
@@ -22,4 +22,4 @@ def test_resume_skips_what_is_done(spark, tmp_path):
     run = lambda rows: (jsonl.write_jsonl(spark.createDataFrame(rows, "qid string, v int"), source, append=True), resume(spark, source, "qid string, v int", lambda d: d, sink, ck).awaitTermination())
     run([("a", 1), ("b", 2)])
     run([("b", 9), ("c", 3)])
-    assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    assert sorted(tuple(r) for r in read_log(spark, sink, "qid string, v int").collect()) == [("a", 1), ("b", 2), ("c", 3)]
