@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import load, stored, texts
+from goldseam.llm.common import load, stored, temporary, texts
 
 #: Bytes of text and different words that share one dictionary.
 BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 600_000
@@ -211,7 +211,8 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, fold: int = 1, id_co
 
 def op6_lattice(spark, sf_dir: str) -> DataFrame:
     """The scores of every document under the 32,000-piece vocabulary."""
-    return score(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    with temporary(spark) as result:
+        return result(score(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")), "lattice")
 
 
 QUERIES = {"op6_lattice": op6_lattice}

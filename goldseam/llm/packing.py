@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldseam.llm.bpe import ONE, SafeEncoder
-from goldseam.llm.common import load, stored, texts
+from goldseam.llm.common import load, stored, temporary, texts
 
 #: Tokens of a sequence, sequences of a partition, tokens that a queue saves up before it is served, and queues of sources without a target, if there are more of them.
 WINDOW, SPAN, QUANTUM, QUEUES = 1024, 1024, 128, 256
@@ -299,8 +299,9 @@ def pack(docs: DataFrame, vocab_file: str, window: int = WINDOW, end_id: int = 0
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed, a row for each piece."""
-    pieces = pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    with temporary(spark) as result:
+        pieces = pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+        return result(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "packed")
 
 
 QUERIES = {"op8_packing": op8_packing}

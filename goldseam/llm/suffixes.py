@@ -377,8 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:
     """What every document loses to repeated strings."""
-    out = remove_repeats(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    with temporary(spark) as result:
+        out = remove_repeats(load(spark, sf_dir, "documents"))
+        return result(out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "removed")
 
 
 QUERIES = {"op2_suffixes": op2_suffixes}
