@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import load, prepare, shared_dir
+from goldseam.llm.common import load, prepare, shared_dir, stored
+from goldseam.store import dropped
 
 #: Bytes that one archive file holds before it is compressed; a larger record has a file of its own.
 FILE_BYTES = 16 << 20
@@ -65,15 +66,41 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
     return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def agrees(payload: bytes, kind: str, digest: str) -> bool:
+    """Whether a stated digest, in hexadecimal or base32, is that of a payload; one of a kind that can't be told here isn't held against it."""
+    try:
+        raw = hashlib.new(kind.lower() or "sha1", payload).digest()
+    except ValueError:
+        return True
+    return not digest or digest.lower() in (raw.hex(), base64.b32encode(raw).decode().lower(), base64.b32encode(raw).decode().rstrip("=").lower(), base64.b64encode(raw).decode().lower())
+
+
+class Headers(dict):
+    """Header fields, whose names have no case."""
+
+    def __init__(self, fields: Iterator[tuple[str, str]]):
+        super().__init__((name.lower(), value) for name, value in fields)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: str) -> bool:
+        return super().__contains__(name.lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
+def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
     """(headers, block) of every record, by the lengths that the headers give."""
     at = 0
     while at < len(data):
         head = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head].decode().split("\r\n")
+        # a line that starts with a blank goes on from the one before
+        first, *lines = re.sub(r"\r\n[ \t]+", " ", data[at:head].decode()).split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines)
+        headers = Headers((name.strip(), value.strip()) for name, _, value in (line.partition(":") for line in lines))
         start = head + 4
         stop = start + int(headers["Content-Length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
@@ -136,7 +163,8 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """(page_id, record_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record under path.
 
     payload is null for a revisit.  Each response's bytes are checked against its
-    digest, if the record gives one; a mismatch raises.  Records of other types
+    digest, of whatever kind hashlib knows, if the record gives one; a mismatch
+    raises.  payload_digest is SHA-1, null for a revisit that states another kind.  Records of other types
     are passed over.  Archives of other writers are read too: what they don't say
     in extension headers comes from the payload or the stored HTTP headers, and
     page_id and refers_to are null.
@@ -151,18 +179,21 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for h, block in parse(gzip.decompress(content.as_py())):
-                    if h["WARC-Type"] not in ("response", "revisit"):
+                    kind = h["WARC-Type"].lower()
+                    if kind not in ("response", "revisit"):
                         continue
-                    revisit = h["WARC-Type"] == "revisit"
+                    revisit = kind == "revisit"
                     http, _, body = block.partition(b"\r\n\r\n")
                     payload = None if revisit else body
                     stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
                     size = len(body) if payload is not None else int(stated[1]) if stated else None
-                    digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or (None if revisit else digest_of(payload))
-                    if payload is not None and digest_of(payload) != digest:
+                    named, _, digest = h.get("WARC-Payload-Digest", "").rpartition(":")
+                    if payload is not None and not agrees(payload, named, digest):
                         raise ValueError(f"record {h['WARC-Record-ID']} doesn't hold the payload of its headers")
+                    if named.lower() not in ("", "sha1") or len(digest) != 32:
+                        digest = None if revisit else digest_of(payload)  # of another kind, or none
                     number = lambda k, h=h: int(h[k]) if k in h else None
-                    rows.append((number("X-Page"), h["WARC-Record-ID"], h.get("WARC-Target-URI"), h["WARC-Type"], size, digest, number("X-Refers-To-Page"), *[payload] * with_payload))
+                    rows.append((number("X-Page"), h["WARC-Record-ID"], h.get("WARC-Target-URI"), kind, size, digest and digest.upper(), number("X-Refers-To-Page"), *[payload] * with_payload))
                 for at in range(0, len(rows), 512):
                     part = list(zip(*rows[at : at + 512], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names)
@@ -172,11 +203,14 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back."""
+    """Every page written to archives and read back; the archives are deleted once the result is stored."""
     path = f"{shared_dir(spark)}/goldseam/warc-{uuid.uuid4().hex}"
     write_archives(load(spark, sf_dir, "pages"), path)
-    back = read_archives(spark, path, with_payload=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    try:
+        back = read_archives(spark, path, with_payload=False)
+        return stored(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    finally:
+        dropped(spark, [path])
 
 
 QUERIES = {"op7_warc": op7_warc}

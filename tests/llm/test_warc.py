@@ -79,3 +79,27 @@ def test_empty_table(spark, tmp_path):
 def test_broken_archives_raise():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
+
+
+def test_digests_and_headers_of_other_writers(spark, tmp_path):
+    """Digests of other kinds and forms, names in any case, no blank after the colon, and lines that go on."""
+    import hashlib
+
+    body = b"hello"
+    http = b"HTTP/1.1 200 OK\r\ncontent-length:5\r\n\r\n"
+    sha1 = hashlib.sha1(body)
+    digests = {"a": f"sha256:{hashlib.sha256(body).hexdigest()}", "b": f"MD5:{hashlib.md5(body).hexdigest().upper()}", "c": f"sha1:{sha1.hexdigest()}", "d": f"sha1:{warc.digest_of(body).lower()}", "e": "blake9:xyz"}
+
+    def made(name, kind, digest, block):
+        return f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-RECORD-ID:<{name}>\r\nwarc-target-uri: http://o/\r\n  {name}\r\nWarc-Payload-Digest:{digest}\r\ncontent-length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    folder = tmp_path / "others"
+    folder.mkdir()
+    records = [made(n, "response", d, http + body) for n, d in digests.items()] + [made("r", "revisit", digests["a"], http), made("s", "Revisit", digests["d"], http)]
+    (folder / "part-0.gz").write_bytes(gzip.compress(b"".join(records)))
+    got = {r["record_id"]: r for r in warc.read_archives(spark, str(folder)).collect()}
+    assert {got[f"<{n}>"]["payload_digest"] for n in digests} == {warc.digest_of(body)} and got["<a>"]["url"] == "http://o/ a"
+    assert got["<r>"]["payload_digest"] is None and got["<s>"]["payload_digest"] == warc.digest_of(body) and got["<r>"]["payload_bytes"] == 5
+    (folder / "part-0.gz").write_bytes(gzip.compress(made("x", "response", f"sha256:{hashlib.sha256(b'other').hexdigest()}", http + body)))
+    with pytest.raises(Exception, match="doesn't hold the payload"):
+        warc.read_archives(spark, str(folder)).collect()
