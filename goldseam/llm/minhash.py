@@ -22,6 +22,8 @@ PERMUTATIONS, BITS = 1536, 2
 SLACK = 4.0
 #: Members of a bucket whose signatures are compared in one block, and members that one leader's task confirms.
 BLOCK, MEMBERS = 2048, 2000
+#: Pairs whose signatures lie side by side in memory at a time.
+PAIRS = 16_384
 #: Members and bytes of sets of a bucket that are compared exactly in one block.
 EXACT, EXACT_BYTES = 1024, 8 << 20
 #: Words that one worker's cache of hashes holds before it starts anew.
@@ -229,7 +231,9 @@ def likeliest(members: DataFrame, least: int) -> DataFrame:
                 for at in range(0, len(x_all), 128):
                     x = x_all[at : at + 128]
                     p, q = np.nonzero(comps[x][:, None] != comps[y])
-                    m = PERMUTATIONS - _differing(sk[x[p]], sk[y[q]]).astype(np.int64)
+                    # a few thousand pairs at a time: each pair's signatures are gathered side by side
+                    each = [_differing(sk[x[p[lo : lo + PAIRS]]], sk[y[q[lo : lo + PAIRS]]]) for lo in range(0, len(p), PAIRS)]
+                    m = PERMUTATIONS - np.concatenate([np.empty(0, np.uint64), *each]).astype(np.int64)
                     p, q, m = (v[m >= least] for v in (p, q, m))
                     order = np.lexsort((ids[y[q]], -m, p))
                     first = order[np.unique(p[order], return_index=True)[1]]
