@@ -24,8 +24,8 @@ def slug(path: Column) -> Column:
 
 
 def chunk_id(slug: Column, index: Column) -> Column:
-    """slug_ch_index, the index padded to three digits but never cut."""
-    number = index.cast("string")
+    """slug_ch_index, the index padded to three digits but never cut; a negative one raises."""
+    number = F.when(index < 0, F.raise_error(F.lit("a chunk's index must not be negative"))).otherwise(index.cast("string"))
     return F.concat(slug, F.lit("_ch_"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
 
 

@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldseam.config import SlugCollision
 from goldseam.functions import text as T
 
 
+def model_spans(vocab_file: str) -> Callable[[Column], Column]:
+    """The characters (start, end) of a text's tokens by a vocabulary file of the tokenizers library, which a worker loads once; tokens of no character are dropped."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(vocab_file)
+        model.encode_special_tokens = True  # their strings in a text are ordinary text
+        for texts in batches:
+            # a text at a time: the offsets of a batch of long ones would fill the worker
+            yield pd.Series([[{"start": a, "end": b} for a, b in model.encode(t or "", add_special_tokens=False).offsets if b > a] for t in texts])
+
+    return spans
+
+
+def chunk_by_spans(docs: DataFrame, size: int, overlap: int, spans: Callable[[Column], Column], check: bool = True) -> DataFrame:
+    """chunk_documents() whose windows hold `size` tokens of a model: a chunk goes from the first character of its first token to the last of its last."""
+    named = _named(docs, check)
+    parts = named.withColumn("spans", spans(F.col("text")))
+    windows = parts.select("*", F.posexplode(T.window_starts(F.size("spans"), size, overlap)).alias("chunk_index", "first"))
+    part = F.slice("spans", F.col("first") + 1, size)
+    cut = windows.select("source_doc", "slug", "text", "chunk_index", F.array_min(F.transform(part, lambda x: x["start"])).alias("start_char"), F.array_max(F.transform(part, lambda x: x["end"])).alias("end_char"))
+    body = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    return cut.select(T.chunk_id(F.col("slug"), F.col("chunk_index")).alias("chunk_id"), "source_doc", "chunk_index", body.alias("text"), "start_char", "end_char")
+
+
+def _named(docs: DataFrame, check: bool) -> DataFrame:
+    named = docs.select("source_doc", "text", T.slug(F.col("source_doc")).alias("slug"))
+    if check and named.select("slug", "source_doc").distinct().groupBy("slug").count().where("count > 1 or slug = ''").limit(1).count():
+        raise SlugCollision("sources with an empty or a common slug")
+    return named
+
+
 def chunk_documents(docs: DataFrame, size: int, overlap: int, check: bool = True) -> DataFrame:
     """(chunk_id, source_doc, chunk_index, text, start_char, end_char) from (source_doc, text), whole words at a time.
 
     Texts are slices of the original.  Two sources with one slug raise SlugCollision.
     """
-    named = docs.select("source_doc", "text", T.slug(F.col("source_doc")).alias("slug"))
-    if check and named.select("slug", "source_doc").distinct().groupBy("slug").count().where("count > 1 or slug = ''").limit(1).count():
-        raise SlugCollision("sources with an empty or a common slug")
+    named = _named(docs, check)
     parts = named.withColumn("words", F.regexp_extract_all("text", F.lit("(\\s*\\S+)"), 1))
     windows = parts.select("*", F.posexplode(T.window_starts(F.size("words"), size, overlap)).alias("chunk_index", "first"))
     lead = F.length(F.array_join(F.slice("words", 1, F.col("first")), ""))
@@ -40,6 +75,10 @@ def ingest_report(chunks: DataFrame) -> DataFrame:
     return base.crossJoin(median)
 
 
+#: Fixed value: vectors for which an index has a list.
+LIST_ROWS = 1000
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The table after new rows replace those of equal key and the others are added; of new rows that repeat a key, one is taken."""
     new = new.dropDuplicates([key])
@@ -50,7 +89,7 @@ def index_lists(rows: int) -> int:
     """Lists of an inverted-file index for so many vectors: one for every thousand (a fixed value), one at least."""
     if rows < 0:
         raise ValueError("rows must not be negative")
-    return max(1, rows // 1000)
+    return max(1, rows // LIST_ROWS)
 
 
 def prune(table: DataFrame, keep: DataFrame, corpus: str, key: str = "chunk_id") -> DataFrame:
@@ -60,14 +99,16 @@ def prune(table: DataFrame, keep: DataFrame, corpus: str, key: str = "chunk_id")
 
 
 #: Why a source file is left out, in order: fixed values.
-SKIP_REASONS = ("reference", "boilerplate", "fixture", "too_small")
+SKIP_REASONS = ("reference", "boilerplate", "fixture", "subdirectory", "too_small")
 
 
-def skip_reason(path, n_bytes, least: int = 500):
-    """The first reason to leave a file out, or null."""
+def skip_reason(path, n_bytes, least: int = 500, folders: tuple[str, ...] | None = None):
+    """The first reason to leave a file out, or null; with `folders`, files below any other top folder go, but pages at the top stay."""
+    top = F.regexp_extract(path, "^([^/]*)/", 1)
     return (
         F.when(path.rlike("(^|/)(api|reference)(/|$)"), "reference")
         .when(F.lower(path).rlike("(^|/)(license|changelog|contributing|code_of_conduct)[^/]*$"), "boilerplate")
         .when(path.rlike("(^|/)(tests?|fixtures)(/|$)"), "fixture")
+        .when(path.contains("/") & ~top.isin(*folders) if folders is not None else F.lit(False), "subdirectory")
         .when(n_bytes < least, "too_small")
     )

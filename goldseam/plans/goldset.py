@@ -105,6 +105,15 @@ def source_filter(spark, d):
     return load(spark, d, "pages").groupBy(F.coalesce(r, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""with p as (select regexp_replace(url, '^[^:]*://[^/]*/?', '') as path, strlen(html) as n from pages) select case when regexp_matches(path, '(^|/)(api|reference)(/|$)') then 'reference' when regexp_matches(lower(path), '(^|/)(license|changelog|contributing|code_of_conduct)[^/]*$') then 'boilerplate'
+ when regexp_matches(path, '(^|/)(tests?|fixtures)(/|$)') then 'fixture' when contains(path, '/') and split_part(path, '/', 1) not in ('en', 'fr') then 'subdirectory' when n < 500 then 'too_small' else 'kept' end as reason, count(*) as n from p group by 1""")
+def source_selection(spark, d):
+    """Pages at the top of a site and in two of its folders."""
+    path = F.regexp_replace("url", "^[^:]*://[^/]*/?", "")
+    r = I.skip_reason(path, F.octet_length("html"), folders=("en", "fr"))
+    return load(spark, d, "pages").groupBy(F.coalesce(r, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select source, count(*) as files, sum(strlen(text))::bigint as bytes, sum(('0x' || substr(sha256(doc_id || ':' || text), 1, 8))::bigint)::bigint as digest from documents group by source")
 def corpus_manifest(spark, d):
     """Files, bytes and a digest of each source that doesn't depend on the order of its files."""
@@ -286,8 +295,7 @@ ALLOC = """sz as (select lang, count(*) as c, row_number() over (order by count(
 
 @query(f"with {ALLOC} select lang, q as quota from al")
 def allocate(spark, d):
-    sizes = {r["lang"]: r["count"] for r in docs(spark, d).groupBy("lang").count().collect()}  # a row a class
-    return spark.createDataFrame(sorted(G.allocate(50, sizes).items()), "lang string, quota long")
+    return G.quotas(docs(spark, d), "lang", 50)
 
 
 @query(f"with {ALLOC} select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by {seeded('doc_id')}) as p from documents) join al using (lang) where p <= q")
@@ -517,28 +525,43 @@ def split_sentences(spark, d):
     return load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.split_sentences(F.col("text")).alias("sentences"))
 
 
-@query("select conv_id, turn, case when toxic = 1 then true when toxic = 0 then false end as fired from conversations left join labels on doc_id = conv_id")
+#: Replies that hold a turn's own text: said after the answer, or before it, on a line of its own.
+SAID = "case length(text) % 4 when 0 then 'Yes, as ' || text when 1 then text || chr(10) || '  no - it does not' when 2 then 'NOTHING: ' || text else text end"
+
+
+def said(c):
+    """SAID as a column."""
+    n = F.length(c) % 4
+    return F.when(n == 0, F.concat(F.lit("Yes, as "), c)).when(n == 1, F.concat(c, F.lit("\n  no - it does not"))).when(n == 2, F.concat(F.lit("NOTHING: "), c)).otherwise(c)
+
+
+@query(rf"select conv_id, turn, case upper(regexp_extract({SAID}, '(?im)^\s*(yes|no)([^\p{{L}}\p{{N}}_]|$)', 1)) when 'YES' then true when 'NO' then false end as fired from conversations")
 def parse_judgement(spark, d):
-    j = load(spark, d, "conversations").join(labels(spark, d), F.col("doc_id") == F.col("conv_id"), "left")
-    reply = F.when(F.col("toxic") == 1, "Thinking.\n yes, because").when(F.col("toxic") == 0, "NO.").otherwise("maybe yes")
-    return j.select("conv_id", "turn", T.judgement(reply).alias("fired"))
+    """Answers sought in whole replies, most of which is the conversation's text."""
+    return load(spark, d, "conversations").select("conv_id", "turn", T.judgement(said(F.col("text"))).alias("fired"))
 
 
-@query("select conv_id, turn, case when turn = 0 then null when turn <= 5 then turn::int end as choice from conversations")
+@query(r"""with r as (select conv_id, turn, case length(text) % 3 when 0 then 'none, as ' || text when 1 then text || ' (passage ' || length(text) % 10 || ')' else length(text) % 8 || '. ' || text end as reply from conversations),
+ n as (select *, regexp_extract(reply, '\b([1-9])\b', 1) as digit from r) select conv_id, turn, case when digit <> '' and digit::int <= 5 and not contains(upper(reply[1:12]), 'NONE') then digit::int end as choice from n""")
 def parse_label_choice(spark, d):
-    reply = F.when(F.col("turn") == 0, "none of 3").otherwise(F.concat(F.lit("Passage "), F.col("turn").cast("string"), F.lit(" answers it")))
+    """Numbers of passages before or after the conversation's text, and refusals."""
+    n, c = F.length("text"), F.col("text")
+    digit = lambda k: (n % k).cast("string")
+    reply = F.when(n % 3 == 0, F.concat(F.lit("none, as "), c)).when(n % 3 == 1, F.concat(c, F.lit(" (passage "), digit(10), F.lit(")"))).otherwise(F.concat(digit(8), F.lit(". "), c))
     return load(spark, d, "conversations").select("conv_id", "turn", T.label_choice(reply, 5).alias("choice"))
 
 
-@query("select conv_id, turn, case when turn % 4 = 0 then 'no JSON object' when turn % 4 = 1 then 'another number of verdicts than sentences' end as error, case when turn % 4 >= 2 then turn % 4 - 1 end::int as supported, case when turn % 4 >= 2 then 2 end::int as verdicts from conversations where role = 'assistant'")
+@query(r"""with s as (select conv_id, turn, string_split(text, chr(10)) as l from conversations where role = 'assistant'),
+ r as (select *, case when conv_id % 5 = 0 then 'no JSON object' when conv_id % 5 = 1 then 'another number of verdicts than sentences' end as error from s)
+ select conv_id, turn, error, case when error is null then len(list_filter(l, lambda x: length(x) % 2 = 0)) end::int as supported, case when error is null then len(l) end::int as verdicts, case when error is null then md5(array_to_string(list_transform(l, lambda x: trim(x)), '|')) end as reasons from r""")
 def parse_verdicts(spark, d):
-    """A judge's replies: without JSON, with too few verdicts, and well formed within other text."""
-    one = lambda ok: f'{{"supported": {ok}, "reason": " as said "}}'
-    body = lambda *rows: 'Sure: ```{"verdicts": [' + ", ".join(rows) + "]}``` done"
-    kind = F.col("turn") % 4
-    reply = F.when(kind == 0, "I cannot say").when(kind == 1, body(one("true"))).when(kind == 2, body(one("true"), one("false"))).otherwise(body(one("true"), one("true")))
-    rows = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.verdicts(reply, F.array(F.lit("One."), F.lit("Two."))).alias("v"))
-    return rows.select("conv_id", "turn", F.col("v.error").alias("error"), F.size(F.filter("v.verdicts", lambda x: x["supported"])).alias("supported"), F.size("v.verdicts").alias("verdicts"))
+    """A judge's replies about the lines of an answer, quoted as reasons: without JSON, with a verdict too few, and well formed within other text."""
+    lines = F.split("text", "\n")
+    rows = lambda l: F.to_json(F.struct(F.transform(l, lambda x: F.struct((F.length(x) % 2 == 0).alias("supported"), x.alias("reason"))).alias("verdicts")))  # noqa: E731, E741
+    reply = F.when(F.col("conv_id") % 5 == 0, F.lit("I cannot say")).when(F.col("conv_id") % 5 == 1, rows(F.slice(lines, 1, F.size(lines) - 1))).otherwise(F.concat(F.lit("Sure: ```"), rows(lines), F.lit("``` done")))
+    read = load(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.verdicts(reply, lines).alias("v"))
+    reasons = F.md5(F.array_join(F.transform("v.verdicts", lambda x: x["reason"]), "|"))
+    return read.select("conv_id", "turn", F.col("v.error").alias("error"), F.size(F.filter("v.verdicts", lambda x: x["supported"])).alias("supported"), F.size("v.verdicts").alias("verdicts"), reasons.alias("reasons"))
 
 
 @query("select conv_id, md5(string_agg('[' || i || '] ' || text, chr(10) || chr(10) order by i)) as context from (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations) group by conv_id")
@@ -550,5 +573,5 @@ def format_context(spark, d):
 
 @query("select source, count(*) as n, greatest(1, count(*) // 1000)::int as lists from documents group by source")
 def index_lists(spark, d):
-    sizes = {r["source"]: r["count"] for r in docs(spark, d).groupBy("source").count().collect()}  # a row a source
-    return spark.createDataFrame([(k, n, I.index_lists(n)) for k, n in sorted(sizes.items(), key=str)], "source string, n long, lists int")
+    sizes = docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("source", "n", F.greatest(F.lit(1), F.floor(F.col("n") / I.LIST_ROWS)).cast("int").alias("lists"))

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from goldseam.config import Settings
 from goldseam.functions import text as T
 from goldseam.operators import evaluation, retrieval
+from goldseam.operators.ranks import numbered
 from goldseam.store import load, spread, stored
 
 S = Settings()
 K = 10
+#: Gold documents of a question at most, where a label is all that is known.
+GOLDS = 20
 _memo: dict = {}
 
 
@@ -44,12 +47,18 @@ def gold(spark, d) -> DataFrame:
 
 
 def hybrid(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, questions, gold): documents with a vector; every fiftieth asks with its first words; gold has its label."""
+    """(chunks, questions, gold): documents with a vector; every fiftieth asks with its first words; gold are the next GOLDS documents of its label."""
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
     c = chunks(spark, d).join(e, "chunk_id")
     q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ").alias("question"), "vector", "label")
-    g = q.select("qid", "label").join(c.select("chunk_id", "label"), "label").where("qid <> chunk_id").select("qid", "chunk_id")
-    return c, q, g
+
+
+    def make() -> DataFrame:
+        placed = stored(numbered(c.select("chunk_id", "label"), "label", "chunk_id"), "placed")
+        after = placed.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "label", F.explode(F.expr(f"sequence(place + 1, place + {GOLDS})")).alias("place"))
+        return after.join(placed, ["label", "place"]).select("qid", "chunk_id")
+
+    return c, q, once(spark, d, "hybrid-gold", make)
 
 
 def arms(spark, d) -> DataFrame:
@@ -120,7 +129,8 @@ lanes as (
   select list_id as lane_id, qid, chunk_id, rank, score from arms where rank <= 10 union all
   select 'hybrid_rrf', qid, chunk_id, rank, score from fused where rank <= 10 union all
   select 'hybrid_rerank', qid, chunk_id, rank, score from again where rank <= 10),
-gold as (select qid, h.chunk_id from qs join hy h on qs.label = h.label and qid <> h.chunk_id),
+placed as (select chunk_id, label, row_number() over (order by label, chunk_id) as place from hy),
+gold as (select a.chunk_id as qid, b.chunk_id from placed a join placed b on a.label = b.label and b.place between a.place + 1 and a.place + 20 where a.chunk_id % 50 = 0),
 every as (select lane_id, qid from (select distinct lane_id from lanes), qs),
 outc as (select e.lane_id, e.qid, f.first is not null as hit, coalesce(1.0e0 / f.first, 0) as rr from every e left join (
   select lane_id, qid, min(rank) as first from lanes join gold using (qid, chunk_id) group by all) f using (lane_id, qid))

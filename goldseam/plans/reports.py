@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from goldseam.config import Settings
 from goldseam.operators import evaluation as E
+from goldseam.operators import ingest as I
 from goldseam.operators import summaries as U
 from goldseam.operators.ranks import ordered_digest
 from goldseam.plans import goldset as G
@@ -129,6 +130,15 @@ def corpus_digest(spark, d):
     return ordered_digest(pages, "path", F.col("html"))
 
 
+@query()
+def chunk_token_spans(spark, d):
+    """Chunks of 128 tokens of a model's vocabulary, slices of the texts; no SQL, as that has no tokenizer (tested against the library)."""
+    import public_tokenizers
+
+    docs = load(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("source_doc"), "text")
+    return I.chunk_by_spans(docs, 128, 16, I.model_spans(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query(G.CUT + """ select chunk_id, chunk_index, md5(text) as digest, start_char, (start_char + length(text))::int as end_char from cut where replace(replace(source_doc, 'doc_', ''), '.txt', '')::bigint % 5 <> 0""")
 def chunk_store(spark, d):
     """Two ingests into one store, the second without every fifth document: its newest version."""

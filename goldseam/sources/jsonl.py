@@ -13,11 +13,13 @@ SUFFIXES = ("txt", "md", "mdx")
 GOLD_SCHEMA = "qid string, question string, gold_chunk_ids array<string>, source_doc string, query_type string, status string"
 
 
-def read_split(spark: SparkSession, path: str, schema: str = GOLD_SCHEMA) -> DataFrame:
-    """Gold rows in qid order; rows without a gold chunk raise EngineError."""
+def read_split(spark: SparkSession, path: str, schema: str = GOLD_SCHEMA, statuses: tuple[str, ...] | None = None) -> DataFrame:
+    """Gold rows in qid order, with `statuses` only those of them; rows without a gold chunk raise EngineError, which names some."""
     rows = spark.read.schema(schema).json(path)
-    if rows.where("gold_chunk_ids is null or size(gold_chunk_ids) = 0").limit(1).count():
-        raise EngineError("rows without gold chunks")
+    if statuses is not None:
+        rows = rows.where(F.col("status").isin(*statuses))
+    if bad := rows.where("gold_chunk_ids is null or size(gold_chunk_ids) = 0").select("qid").limit(5).collect():
+        raise EngineError(f"rows without gold chunks: {', '.join(str(r['qid']) for r in bad)}")
     return rows.orderBy("qid")
 
 
@@ -25,12 +27,21 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").json(path)
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_doc, text) of every text or markdown file below a folder, by path relative to it."""
+def discover(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """(source_doc, text) of every text or markdown file below a folder, in the order of their paths relative to it.
+
+    A folder that isn't there raises EngineError.  Files of other types are passed
+    over; with `strict` they raise EngineError, which names some.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise EngineError(f"there is no folder {folder}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    known = files.where(F.lower("path").rlike(f"\\.({'|'.join(SUFFIXES)})$"))
     inner = F.substring_index("path", folder.rstrip("/") + "/", -1)
-    return known.select(inner.alias("source_doc"), F.decode("content", "UTF-8").alias("text"))
+    readable = F.lower("path").rlike(f"\\.({'|'.join(SUFFIXES)})$")
+    if strict and (other := files.where(~readable).select(inner.alias("p")).limit(5).collect()):
+        raise EngineError(f"no documents: {', '.join(r['p'] for r in other)}")
+    return files.where(readable).select(inner.alias("source_doc"), F.decode("content", "UTF-8").alias("text")).orderBy("source_doc")
 
 
 def read_hand_map(spark: SparkSession, path: str, schema: str = "also array<string>, why string") -> DataFrame:

@@ -18,10 +18,45 @@ def one(spark, value, make):
     return spark.createDataFrame([(value,)], "x string").select(make(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("n, size, overlap, want", [(10, 5, 2, [0, 3, 6]), (5, 5, 2, [0]), (3, 5, 2, [0]), (6, 5, 2, [0, 3]), (10, 5, 0, [0, 5]), (0, 5, 2, []), (1, 5, 2, [0])])
-def test_windows(spark, n, size, overlap, want):
-    got = spark.createDataFrame([(n,)], "n int").select(T.window_starts(F.col("n"), size, overlap).alias("w")).first()["w"]
-    assert got == want
+def plain_windows(n, size, overlap):
+    """Starts until a window reaches the end."""
+    starts, at = [], 0
+    while n and (not starts or starts[-1] + size < n):
+        starts.append(at)
+        at += size - overlap
+    return starts
+
+
+def test_windows(spark):
+    rows = [(n, size, overlap) for n in (0, 1, 12, 13, 40, 41) for size, overlap in ((1, 0), (12, 0), (13, 4), (7, 6))]
+    for size, overlap in {r[1:] for r in rows}:
+        got = spark.createDataFrame([(r[0],) for r in rows if r[1:] == (size, overlap)], "n int").select("n", T.window_starts(F.col("n"), size, overlap).alias("w"))
+        assert all(r["w"] == plain_windows(r["n"], size, overlap) for r in got.collect())
+
+
+def test_a_chunk_has_no_negative_number(spark):
+    with pytest.raises(Exception, match="must not be negative"):
+        one(spark, "x", lambda x: T.chunk_id(x, F.lit(-1)))
+
+
+def test_chunks_by_the_tokens_of_a_model(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    texts = {"a.md": "Überall  gibt's naïve Wörter,\nund 日本語 too. " * 5, "b.md": "", "c.md": "one", "d.md": None, "e.md": "<|endoftext|> is text"}
+    df = spark.createDataFrame(list(texts.items()), "source_doc string, text string")
+    got = {r["chunk_id"]: r for r in I.chunk_by_spans(df, 10, 3, I.model_spans(vocab)).collect()}
+    model = Tokenizer.from_file(vocab)
+    model.encode_special_tokens = True
+    want = 0
+    for name, text in texts.items():
+        spans = [x for x in model.encode(text or "", add_special_tokens=False).offsets if x[1] > x[0]]
+        for i, first in enumerate(plain_windows(len(spans), 10, 3)):
+            part, r = spans[first : first + 10], got[f"{name[0]}_ch_{i:03}"]
+            assert (r["start_char"], r["end_char"]) == (min(x[0] for x in part), max(x[1] for x in part)) and r["text"] == text[r["start_char"] : r["end_char"]]
+            want += 1
+    assert len(got) == want
 
 
 def test_text_functions(spark):
@@ -71,25 +106,31 @@ def test_rrf_pays_an_id_once_a_list(spark):
     assert got == {"x": round(1 / 61, 9), "y": round(1 / 63 + 1 / 61, 9)}
 
 
-def test_metrics_of_known_lists(spark):
-    gold = {1: 3, 2: 8, 3: 99, 4: 1}
-    q = spark.createDataFrame([(i,) for i in gold], "qid int")
-    found = spark.createDataFrame([("l", i, c, c) for i in gold for c in range(1, 11)], "lane_id string, qid int, chunk_id int, rank int")
-    g = spark.createDataFrame(list(gold.items()), "qid int, chunk_id int")
-    ten, five = (E.outcomes(q, found, g, k).agg(F.avg(F.col("hit").cast("int")), F.avg("rr")).first() for k in (10, 5))
-    assert ten[0] == 0.75 and five[0] == 0.5 and math.isclose(ten[1], 35 / 96) and math.isclose(five[1], 1 / 3)
+def test_metrics_equal_a_plain_loop(spark):
+    ranks = {q: (q * 5) % 14 + 1 for q in range(1, 12)}  # where each question's only gold chunk stands
+    found = spark.createDataFrame([("l", q, c, c) for q in ranks for c in range(1, 13)], "lane_id string, qid int, chunk_id int, rank int")
+    gold = spark.createDataFrame(list(ranks.items()), "qid int, chunk_id int")
+    for k in (1, 4, 12):
+        got = E.outcomes(gold, found, gold, k).agg(F.avg(F.col("hit").cast("int")), F.avg("rr")).first()
+        hits = [r for r in ranks.values() if r <= min(k, 12)]
+        assert math.isclose(got[0], len(hits) / 11) and math.isclose(got[1], sum(1 / r for r in hits) / 11)
 
 
-@pytest.mark.parametrize("a, b, p", [(6, 0, 0.03125), (3, 0, 0.25), (0, 0, 1.0), (3, 2, 1.0)])
-def test_mcnemar(spark, a, b, p):
+@pytest.mark.parametrize("a, b", [(9, 2), (4, 4), (0, 0), (1, 0), (0, 13)])
+def test_mcnemar(spark, a, b):
     rows = [(i, True, False) for i in range(a)] + [(100 + i, False, True) for i in range(b)] + [(999, True, True)]
     got = E.mcnemar(spark.createDataFrame(rows, "qid int, hit_a boolean, hit_b boolean")).first()
-    assert (got["a_only"], got["b_only"]) == (a, b) and math.isclose(got["p_value"], p)
+    tail = sum(math.comb(a + b, i) for i in range(max(a, b), a + b + 1)) / 2 ** (a + b)
+    assert (got["a_only"], got["b_only"]) == (a, b) and math.isclose(got["p_value"], min(1.0, 2 * tail))
 
 
 def test_kappa_and_pairing(spark):
-    df = spark.createDataFrame([(True, True), (True, True), (True, False), (False, False)], "a boolean, b boolean")
-    assert E.kappa(df, "a", "b").first()["kappa"] == 0.5
+    pairs = [(i % 3 > 0, i % 4 > 0) for i in range(17)]
+    df = spark.createDataFrame(pairs, "a boolean, b boolean")
+    same = sum(x == y for x, y in pairs) / 17
+    a, b = (sum(p[i] for p in pairs) / 17 for i in (0, 1))
+    chance = a * b + (1 - a) * (1 - b)
+    assert math.isclose(E.kappa(df, "a", "b").first()["kappa"], (same - chance) / (1 - chance))
     assert E.kappa(df.select(F.lit(True).alias("a"), "b"), "a", "b").first()["kappa"] == 0.0
     out = spark.createDataFrame([("x", 1, True, 1.0), ("y", 2, True, 1.0)], "lane_id string, qid int, hit boolean, rr double")
     with pytest.raises(EngineError):

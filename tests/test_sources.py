@@ -17,6 +17,21 @@ def test_split_and_folder(spark, tmp_path):
     assert [tuple(r) for r in jsonl.discover(spark, str(tmp_path / "c")).collect()] == [("d/x.MD", "é")]
 
 
+def test_what_readers_refuse(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"qid": "b", "gold_chunk_ids": ["x"], "status": "kept"}\n{"qid": "a", "gold_chunk_ids": [], "status": "draft"}\n')
+    assert [r["qid"] for r in jsonl.read_split(spark, str(tmp_path / "s.json"), statuses=("kept",)).collect()] == ["b"]
+    with pytest.raises(EngineError, match="a"):
+        jsonl.read_split(spark, str(tmp_path / "s.json"))
+    with pytest.raises(EngineError, match="no folder"):
+        jsonl.discover(spark, str(tmp_path / "missing"))
+    (tmp_path / "f").mkdir()
+    for name in ("b.md", "a.txt", "c.csv"):
+        (tmp_path / "f" / name).write_text(name)
+    assert [r["source_doc"] for r in jsonl.discover(spark, str(tmp_path / "f")).collect()] == ["a.txt", "b.md"]
+    with pytest.raises(EngineError, match="c.csv"):
+        jsonl.discover(spark, str(tmp_path / "f"), strict=True)
+
+
 def test_resume_skips_what_is_done(spark, tmp_path):
     source, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     run = lambda rows: (jsonl.write_jsonl(spark.createDataFrame(rows, "qid string, v int"), source, append=True), resume(spark, source, "qid string, v int", lambda d: d, sink, ck).awaitTermination())
