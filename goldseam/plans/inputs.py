@@ -19,10 +19,12 @@ _memo: dict = {}
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, make):
-    """What several queries of one session share, made once for the tables as they are: a changed file makes it anew."""
+    """What several queries of one session share, made once for the tables as they are: a table of another time, and another number or size of files, make it anew."""
     path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    key = (spark.sparkContext.applicationId, sf_dir, name, max((f.getModificationTime() for f in files), default=0))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = sorted((f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(path))  # a few tables
+    size = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(tables), size.getLength(), size.getFileCount())
     if key not in _memo:
         _memo[key] = make()
     return _memo[key]

@@ -29,7 +29,8 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs are left as they lie; only small ones are shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    # the names of the files stay in the JVM, which has listed them to plan the scan
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
