@@ -31,5 +31,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             nxt = stored(step.join(jump, "l", "left").select("u", "old", F.coalesce("ll", "l").alias("l")), "labels")
             if nxt.where("l <> old").limit(1).count() == 0:
                 return keep(nxt.select(F.col("u").alias("node"), F.col("l").alias("component")), "components")
-            dropped(spark, sorted({f.rsplit("/", 1)[0] for t in (labels, step) for f in t._jdf.inputFiles()}))
+            dropped(spark, [t._jdf.inputFiles()[0].rsplit("/", 1)[0] for t in (labels, step)])
             labels = nxt.select("u", "l")
