@@ -71,7 +71,8 @@ def encoding(rank_file: str, pattern: str = public_tokenizers.PATTERN):
 
 @lru_cache(2)
 def encoder(rank_file: str, pattern: str = public_tokenizers.PATTERN) -> SafeEncoder:
-    return SafeEncoder(encoding(rank_file, pattern).encode_ordinary, encoding(rank_file, ONE).encode_ordinary)
+    # the second encoding is made for the first long run of white space, which most workers never meet
+    return SafeEncoder(encoding(rank_file, pattern).encode_ordinary, lambda text: encoding(rank_file, ONE).encode_ordinary(text))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

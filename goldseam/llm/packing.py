@@ -37,7 +37,8 @@ def tokenizer(vocab_file: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(vocab_file)
+    # what few texts need is made for the first of them, so that workers stay small
+    own = lru_cache(1)(lambda: Tokenizer.from_file(vocab_file))
     with open(vocab_file, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -45,13 +46,13 @@ def tokenizer(vocab_file: str):
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    quick, single = (tiktoken.Encoding("packing", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (public_tokenizers.PATTERN, ONE))
+    encoding = lru_cache(2)(lambda pattern: tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
     dtype = "<u2" if max(spec["model"]["vocab"].values()) < 1 << 16 else "<u4"
-    enc = SafeEncoder(quick, single, dtype)
+    enc = SafeEncoder(encoding(public_tokenizers.PATTERN).encode_ordinary, lambda text: encoding(ONE).encode_ordinary(text), dtype)
 
     def ids(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.array(own.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+            return np.array(own().encode(text, add_special_tokens=False).ids, dtype).tobytes()
         return enc.encode(text)
 
     return ids, dtype
