@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from goldseam.store import load, shared_dir, stored, temporary  # noqa: F401  (re-exported)
+from goldseam.store import BATCH_BYTES, BATCH_ROWS, load, prepare, shared_dir, stored, temporary  # noqa: F401  (re-exported)
 
 #: The six ASCII characters that end a word.
 WHITE = " \t\n\x0b\x0c\r"
 
-#: Rows and bytes that one Arrow batch may hold, so that long texts don't fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-
-
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the wanted columns, the text as bytes (null: none), so that extra columns never matter."""
     from pyspark.sql import functions as F

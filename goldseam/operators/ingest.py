@@ -10,33 +10,46 @@ from pyspark.sql import functions as F
 
 from goldseam.config import SlugCollision
 from goldseam.functions import text as T
+from goldseam.store import prepare
 
 
-def model_spans(vocab_file: str) -> Callable[[Column], Column]:
-    """The characters (start, end) of a text's tokens by a vocabulary file of the tokenizers library, which a worker loads once; tokens of no character are dropped."""
+def model_spans(vocab_file: str) -> Callable[[Column, int, int], Column]:
+    """The characters (start, end) of a text's windows of tokens by a vocabulary file of the tokenizers library, which a worker loads once; tokens of no character are dropped.
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
+    Only windows leave the worker, and a batch holds few texts: neither keeps the
+    tokens of more than one text.
+    """
+
+    def windows(text: Column, size: int, overlap: int) -> Column:
+        @F.pandas_udf("array<struct<start:int,end:int>>")
+        def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(vocab_file)
+            model.encode_special_tokens = True  # their strings in a text are ordinary text
+
+            def cut(t: str) -> list[dict]:
+                tokens = [x for x in model.encode(t, add_special_tokens=False).offsets if x[1] > x[0]]
+                stride = size - overlap
+                parts = (tokens[i : i + size] for i in range(0, max(len(tokens) - size + stride, 1), stride)) if tokens else ()
+                return [{"start": min(a for a, _ in p), "end": max(b for _, b in p)} for p in parts]
+
+            for texts in batches:
+                # a text at a time: the offsets of a batch of long ones would fill the worker
+                yield pd.Series([cut(t or "") for t in texts], dtype=object)
 
-        model = Tokenizer.from_file(vocab_file)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
-        for texts in batches:
-            # a text at a time: the offsets of a batch of long ones would fill the worker
-            yield pd.Series([[{"start": a, "end": b} for a, b in model.encode(t or "", add_special_tokens=False).offsets if b > a] for t in texts])
+        return spans(text)
 
-    return spans
+    return windows
 
 
-def chunk_by_spans(docs: DataFrame, size: int, overlap: int, spans: Callable[[Column], Column], check: bool = True) -> DataFrame:
+def chunk_by_spans(docs: DataFrame, size: int, overlap: int, spans: Callable[[Column, int, int], Column], check: bool = True) -> DataFrame:
     """chunk_documents() whose windows hold `size` tokens of a model: a chunk goes from the first character of its first token to the last of its last."""
+    prepare(docs.sparkSession)
     named = _named(docs, check)
-    parts = named.withColumn("spans", spans(F.col("text")))
-    windows = parts.select("*", F.posexplode(T.window_starts(F.size("spans"), size, overlap)).alias("chunk_index", "first"))
-    part = F.slice("spans", F.col("first") + 1, size)
-    cut = windows.select("source_doc", "slug", "text", "chunk_index", F.array_min(F.transform(part, lambda x: x["start"])).alias("start_char"), F.array_max(F.transform(part, lambda x: x["end"])).alias("end_char"))
-    body = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    return cut.select(T.chunk_id(F.col("slug"), F.col("chunk_index")).alias("chunk_id"), "source_doc", "chunk_index", body.alias("text"), "start_char", "end_char")
+    cut = named.select("*", F.posexplode(spans(F.col("text"), size, overlap)).alias("chunk_index", "at"))
+    body = F.substring("text", F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))
+    return cut.select(T.chunk_id(F.col("slug"), F.col("chunk_index")).alias("chunk_id"), "source_doc", "chunk_index", body.alias("text"), F.col("at.start").alias("start_char"), F.col("at.end").alias("end_char"))
 
 
 def _named(docs: DataFrame, check: bool) -> DataFrame:

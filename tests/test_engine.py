@@ -59,6 +59,18 @@ def test_chunks_by_the_tokens_of_a_model(spark):
     assert len(got) == want
 
 
+def test_only_windows_of_tokens_leave_a_worker(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocab, text = public_tokenizers.path("byte_bpe_50k.json"), "some words of a text " * 500
+    n = len(Tokenizer.from_file(vocab).encode(text, add_special_tokens=False).offsets)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    I.chunk_by_spans(spark.createDataFrame([("a.md", text)], "source_doc string, text string"), 100, 0, I.model_spans(vocab))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
+    assert one(spark, text, lambda x: F.size(I.model_spans(vocab)(x, 100, 0))) == -(-n // 100)
+
+
 def test_text_functions(spark):
     assert one(spark, "\r\n a\r\rb\n\n\n\nc \t\n", T.normalise_text) == "a\n\nb\n\nc"
     assert one(spark, "Dir\\Guide Notes.md", T.slug) == "dir_guide_notes"
