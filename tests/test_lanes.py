@@ -41,6 +41,15 @@ def test_one_bad_question_is_one_miss(spark):
     assert (m["questions"], m["failed"], m["recall"], m["cost_usd"]) == (12, 1, round(11 / 12, 4), 0.0) and m["mean_ms"] > 0 and m["p95_ms"] > 0
 
 
+def test_many_failures_lose_no_other_question(spark, monkeypatch):
+    """A lane that has answered is never given up, however many batches fail."""
+    monkeypatch.setattr(L, "PATIENCE", 15)
+    bad = range(0, 30, 3)
+    found, facts = L.run([L.Lane("p", "P", picky(bad, []))], asked(spark, 30), 3)
+    assert sorted(r["qid"] for r in found.collect()) == [i for i in range(30) if i % 3]
+    assert sorted(r["qid"] for r in facts["p"]["log"].where("error is not null").collect()) == list(bad)
+
+
 def test_a_lane_that_always_fails_is_given_up(spark, monkeypatch):
     monkeypatch.setattr(L, "PATIENCE", 3)
     calls: list = []
