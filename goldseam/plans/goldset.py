@@ -11,7 +11,7 @@ from goldseam.operators import goldset as G
 from goldseam.operators import guards as L
 from goldseam.operators import ingest as I
 from goldseam.operators.retrieval import rrf
-from goldseam.plans.inputs import HYBRID, S, arms, gold, hybrid, once, questions
+from goldseam.plans.inputs import HYBRID, S, arms, gold, hybrid, hybrid_gold, labelled, once, positives, questions
 from goldseam.plans.retrieval import GOLD
 from goldseam.store import load, spread
 
@@ -380,8 +380,8 @@ MINED = f"mined as (select qid, chunk_id, rank from (select l.qid, l.chunk_id, l
 
 
 def mined(spark, d):
-    _, _, g = hybrid(spark, d)
-    return G.mine_negatives(rrf(arms(spark, d), S.rrf_k), g, S.rerank_depth, 4, S.seed)
+    found = rrf(arms(spark, d), S.rrf_k)
+    return G.mine_negatives(found, hybrid_gold(spark, d, found), S.rerank_depth, 4, S.seed)
 
 
 @query(f"with {HYBRID}, {MINED} select qid, chunk_id, rank::int as rank from mined")
@@ -394,16 +394,19 @@ def mine_negatives(spark, d):
  union all select qid, chunk_id, 0.0e0, rank::int from mined where qid in (select qid from gold)) select qid, chunk_id, md5(text) as text, label, fused_rank from tp join documents on doc_id = chunk_id""")
 def training_pairs(spark, d):
     """A positive and the mined negatives of every question."""
-    c, _, g = hybrid(spark, d)
-    out = G.training_pairs(rrf(arms(spark, d), S.rrf_k), g, c, S.rerank_depth, 4, S.seed)
+    found = rrf(arms(spark, d), S.rrf_k)
+    gold_of = hybrid_gold(spark, d, found).unionByName(positives(spark, d))
+    out = G.training_pairs(found, gold_of, hybrid(spark, d)[0], S.rerank_depth, 4, S.seed)
     return out.withColumn("text", F.md5("text"))
 
 
 @query(f"with {HYBRID}, {MINED} select m.chunk_id, list(distinct g.qid order by g.qid) as gold_of from mined m join gold g using (chunk_id) group by 1")
 def mining_collisions(spark, d):
     """Negatives that are gold of another question: counted and reported, not dropped."""
-    _, _, g = hybrid(spark, d)
-    return mined(spark, d).select("chunk_id").distinct().join(g, "chunk_id").groupBy("chunk_id").agg(F.sort_array(F.collect_set("qid")).alias("gold_of"))
+    of = labelled(spark, d).where("label is not null").distinct()
+    asked = of.where("chunk_id % 50 = 0").groupBy("label").agg(F.sort_array(F.collect_set("chunk_id")).alias("qids"))
+    chunks = mined(spark, d).select("chunk_id").distinct().join(of, "chunk_id").join(asked, "label")
+    return chunks.select("chunk_id", F.filter("qids", lambda q: q != F.col("chunk_id")).alias("gold_of")).where("size(gold_of) > 0")
 
 
 @query(f"with {HYBRID}, {MINED} select count(*) as negatives, count(distinct chunk_id) as distinct_negatives, median(rank)::double as median_rank from mined")
@@ -413,8 +416,8 @@ def mining_report(spark, d):
 
 @query(f"with {HYBRID}, s as (select f.qid, max(f.score) filter (g.qid is not null) as p, max(f.score) filter (g.qid is null) as n from fused f left join gold g using (qid, chunk_id) group by 1) select count(*) as questions, round(avg((p > n)::int), 4) as share from s where p is not null and n is not null")
 def positive_ranked_first(spark, d):
-    _, _, g = hybrid(spark, d)
-    s = rrf(arms(spark, d), S.rrf_k).join(g.withColumn("gold", F.lit(True)), ["qid", "chunk_id"], "left")
+    found = rrf(arms(spark, d), S.rrf_k)
+    s = found.join(hybrid_gold(spark, d, found).withColumn("gold", F.lit(True)), ["qid", "chunk_id"], "left")
     m = s.groupBy("qid").agg(F.max(F.when(F.col("gold"), F.col("score"))).alias("p"), F.max(F.when(F.col("gold").isNull(), F.col("score"))).alias("n")).where("p is not null and n is not null")
     return m.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((F.col("p") > F.col("n")).cast("int")), 4).alias("share"))
 
