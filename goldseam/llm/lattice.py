@@ -54,8 +54,35 @@ def reaches(weights: dict[bytes, float]) -> dict[bytes, int]:
     return out
 
 
-def likelihood(word: bytes, weights: dict[bytes, float], reach: dict[bytes, int]) -> float:
-    """The log probability of a word: forward recursion in log space over all ways to cut it into pieces.
+def chances(weights: dict[bytes, float]) -> tuple[dict[bytes, float], int]:
+    """The pieces' probabilities, and the bytes of which no product of them can underflow."""
+    least = min(weights.values(), default=-1.0)
+    return {p: exp(w) for p, w in weights.items()}, int(-650 / min(least, -1.0))
+
+
+def likelihood(word: bytes, weights: dict[bytes, float], reach: dict[bytes, int], plain: tuple[dict[bytes, float], int] | None = None) -> float:
+    """The log probability of a word: forward recursion over all ways to cut it into pieces.
+
+    With `plain`, the chances() of the weights, words that are short enough sum up
+    probabilities as they are; longer ones are taken in log space.
+    """
+    if plain is None or len(SPACE) + len(word) > plain[1]:
+        return _ringed(word, weights, reach)
+    get, long = plain[0].get, reach.get
+    s = SPACE + word
+    n = len(s)
+    paths = [0.0] * (n + 1)
+    paths[0] = 1.0
+    for i in range(n):
+        if forward := paths[i]:
+            for j in range(i + 1, min(n, i + long(s[i : i + 2], 1)) + 1):
+                if p := get(s[i:j]):
+                    paths[j] += forward * p
+    return log(paths[n]) if paths[n] else -np.inf
+
+
+def _ringed(word: bytes, weights: dict[bytes, float], reach: dict[bytes, int]) -> float:
+    """The log probability of a word: in log space.
 
     Scores are pushed forward into a ring as long as the longest piece, so that
     memory doesn't grow with the word.
@@ -182,10 +209,10 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, fold: int = 1, id_co
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        reach = reaches(w)
+        reach, plain = reaches(w), chances(w)
         for batch in batches:
             listed, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [likelihood(x, w, reach) / log(10) for x in listed]
+            out = [likelihood(x, w, reach, plain) / log(10) for x in listed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x > 0 for x in c]), pa.array([base(x) for x in c]), pa.array(out, pa.float64())], ["word", "known", "base", "lattice"])
 
     scored = stored(counts.mapInArrow(judge, "word binary, known boolean, base double, lattice double"), "scores")

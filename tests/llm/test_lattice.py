@@ -87,3 +87,12 @@ def test_likelier_texts_score_higher(spark, docs):
 
 def test_empty_table(spark, docs):
     assert lattice.score(docs([]), MODEL).count() == 0
+
+
+def test_short_words_sum_up_plain_probabilities():
+    """Words that can't underflow are scored without logarithms, the others as before."""
+    logs = {b"a": -3.0, b"b": -20.0, b"ab": -2.0, lattice.SPACE: -1.0}
+    reach, plain = lattice.reaches(logs), lattice.chances(logs)
+    assert plain[1] == 32
+    for word in (b"a", b"abab", b"z", b"", b"ab" * 14, b"b" * 29, b"b" * 30, b"b" * 5000):
+        assert isclose(lattice.likelihood(word, logs, reach, plain), lattice.likelihood(word, logs, reach))
