@@ -71,7 +71,8 @@ def nearest(table: DataFrame, id_col: str, centers: np.ndarray, probes: int) ->
             if c.shape[1] and v.shape[1] != c.shape[1]:
                 raise ValueError(f"vectors of {v.shape[1]} numbers for an index of {c.shape[1]}")
             v = v if c.shape[1] else v[:, :0]  # the index of an empty table
-            lists = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :probes]
+            near = v @ c.T
+            lists = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
             rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), lists.shape[1])))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel().astype(np.int64))], [*names, "list"])
 
@@ -129,7 +130,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 1, corp
         held = held.where(F.col("corpus_id") == corpus)
     left = R.blocks(held, "chunk_id", R.CHUNKS, "list").toDF("ids", "vectors", "list")
     right = R.blocks(asked.repartition("list").sortWithinPartitions("list"), "qid", R.ASKED, "list").toDF("qids", "asked", "list")
-    return R.best_of_blocks(left.join(right, "list"), k, exclude_self)
+    # many probes write the same vectors again and again, so that files look small enough to be sent through the driver
+    return R.best_of_blocks(left.join(right.hint("merge"), "list"), k, exclude_self)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -115,3 +115,11 @@ def test_degenerate_tables(spark, table):
     index = V.build(same, 4)
     got = V.search(index, same.where("chunk_id = 2").withColumnRenamed("chunk_id", "qid"), 9, probes=4)
     assert [r["chunk_id"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4, 9]
+
+
+def test_batches_are_bounded_and_lists_meet_without_the_driver(spark, table):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = V.build(table, 8)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
+    plan = V.search(index, table.where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "qid"), 3, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
