@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldseam.functions import text as T
+from goldseam.operators import embedding as N
 from goldseam.operators import retrieval as R
 
 
@@ -43,3 +44,16 @@ def test_postings_are_the_plain_counts(spark, monkeypatch, block):
         for i, n in zip(r["ids"], r["lengths"], strict=True):
             assert n == len((texts[i] or "").replace("... !", "").split())
     assert got == {i: dict(Counter(t.split())) for i, t in texts.items() if t and "!" not in t}
+
+
+@pytest.mark.parametrize("patterns, head", [(100_000, 64), (100_000, 2), (3, 64), (1, 1)])
+def test_passages_are_found_without_moving_texts(spark, monkeypatch, patterns, head):
+    monkeypatch.setattr(R, "PATTERNS", patterns)
+    monkeypatch.setattr(R, "HEAD", head)
+    rng = random.Random(head)
+    texts = [(i, " ".join(rng.choice(["a", "ab", "abc", "b"]) for _ in range(40))) for i in range(30)] + [(98, None), (99, "")]
+    asked = [(i, texts[i % 30][1][i : i + rng.randrange(1, 30)]) for i in range(40)] + [(50, ""), (51, "never there at all in a text"), (52, None), (53, texts[4][1])]
+    found = R.containing(spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(asked, "qid long, question string"))
+    want = sorted((q, c) for q, x in asked for c, t in texts if x and t and x in t)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 40
+    assert patterns < 1000 or "Exchange" not in plan(found)
