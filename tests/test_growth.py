@@ -57,3 +57,20 @@ def test_passages_are_found_without_moving_texts(spark, monkeypatch, patterns, h
     want = sorted((q, c) for q, x in asked for c, t in texts if x and t and x in t)
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 40
     assert patterns < 1000 or "Exchange" not in plan(found)
+
+
+def test_default_vectors_are_made_in_batches(spark):
+    made = N.embed_chunks(spark.createDataFrame([(i, "a b") for i in range(3)], "chunk_id long, text string"))
+    assert "ArrowEvalPython" in plan(made) and "md5" not in plan(made)
+    assert len({tuple(r["vector"]) for r in made.collect()}) == 1
+
+
+def test_only_texts_that_were_found_are_moved(spark, tmp_path):
+    texts = [(i, f"word{i} common " + f"filler{i} " * 50) for i in range(400)]
+    spark.createDataFrame(texts, "chunk_id long, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame([(q, q + i, i + 1) for q in range(3) for i in range(9)] + [(0, 999, 2)], "qid long, chunk_id long, rank int").write.parquet(f"{tmp_path}/found")
+    asked = spark.createDataFrame([(q, f"common word{q} other") for q in range(3)], "qid long, question string")
+    again = R.rerank(spark.read.parquet(f"{tmp_path}/found"), asked, spark.read.parquet(f"{tmp_path}/texts"), 5, 2)
+    assert "LeftSemi, BuildRight" in plan(again)
+    got = sorted(tuple(r) for r in again.select("qid", "chunk_id", "score", "rank").collect())
+    assert got == [(q, q + i, s, i + 1) for q in range(3) for i, s in enumerate((0.666667, 0.333333))]
