@@ -3,6 +3,7 @@
 import random
 import unicodedata
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from goldseam.functions import text as T
 from goldseam.operators import embedding as N
+from goldseam.operators import evaluation as E
 from goldseam.operators import retrieval as R
 
 
@@ -74,3 +76,11 @@ def test_only_texts_that_were_found_are_moved(spark, tmp_path):
     assert "LeftSemi, BuildRight" in plan(again)
     got = sorted(tuple(r) for r in again.select("qid", "chunk_id", "score", "rank").collect())
     assert got == [(q, q + i, s, i + 1) for q in range(3) for i, s in enumerate((0.666667, 0.333333))]
+
+
+def test_resamples_are_drawn_in_batches(spark):
+    rows = [(q, (q * 7 % 5 - 2) / 3) for q in range(23)]
+    got = E.bootstrap(spark.createDataFrame(rows, "qid long, v double"), "v", 150, 9)
+    assert "MapInArrow" in plan(got) and "aggregate(sequence" not in plan(got)
+    means = [sum(rows[int(md5(f"9:{b}:{i}".encode()).hexdigest()[:8], 16) % 23][1] for i in range(23)) / 23 for b in range(150)]
+    assert tuple(got.first()) == pytest.approx((sum(v for _, v in rows) / 23, *np.quantile(means, [0.025, 0.975])))
