@@ -17,8 +17,8 @@ BLOCK = 16_384
 STEP = 8
 #: Shares of the largest impact down to which each round reads postings.
 ROUNDS = (0.5, 0.25, 0.1, 0.0, -float("inf"))
-#: The share of a block's vectors below which rescoring is cheaper than reading on.
-FEW = 0.02
+#: Postings that are read in the time in which a vector is rescored.
+PER = 4
 
 
 class Index:
@@ -37,9 +37,9 @@ class Index:
         quantised value), in rounds; accumulators hold what was read.  After each
         round a vector's score is at most its accumulator, and the round's limit for
         each component that hasn't been read, and the quantisation error.  The k
-        best accumulators, rescored, give a score that k vectors reach; reading
-        stops when the bound proves that all but few vectors stay below it, and
-        those few are rescored from their components.
+        best accumulators, rescored, give a score that k vectors reach; the bound
+        proves which vectors stay below it.  Reading stops when the others are
+        rescored from their components sooner than the postings left are read.
         """
         n, dims = self.vectors.shape
         acc, seen = np.zeros(n, np.int64), np.zeros(n, np.int32)
@@ -70,10 +70,10 @@ class Index:
                 exact = np.sort(exact[self.rows[best] != own])[::-1]
                 if len(exact) >= k:
                     possible = np.flatnonzero(upper >= exact[k - 1])
-                    if len(possible) <= max(FEW * n, 4 * k):
+                    if PER * len(possible) <= max(int((hi - lo)[q != 0].sum()), 4 * k * PER):
                         break
         possible = possible[self.rows[possible] != own]
-        scores = self.vectors[possible] @ q
+        scores = self.vectors[possible] @ q if 2 * len(possible) < n else (self.vectors @ q)[possible]
         order = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][order], scores[order]
 

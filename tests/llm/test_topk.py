@@ -46,3 +46,30 @@ def test_stops_early_on_proof():
     ids, scores = index.search(q, 5, 7)
     want = sorted((-(int(x @ q)), i) for i, x in enumerate(v) if i != 7)[:5]
     assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+
+
+def test_postings_are_read_only_while_that_is_cheaper():
+    class Counted:
+        def __init__(self, order):
+            self.order, self.read = order, 0
+
+        def __getitem__(self, at):
+            part = self.order[at]
+            self.read += len(part)
+            return part
+
+    m = np.random.default_rng(3).normal(0, 32, (4000, 64)).round().astype(np.int64)  # noise: bounds prove little
+    peaked = m.copy()
+    peaked[np.arange(4000), np.arange(4000) % 64] = 2000
+    for vectors in (m, peaked):
+        rows = np.arange(len(vectors))
+        index = topk.Index(rows, rows * 3, vectors)
+        index.order = Counted(index.order)
+        for own in range(0, 4000, 800):
+            index.order.read = 0
+            ids, scores = index.search(vectors[own], 5, own)
+            s = vectors @ vectors[own]
+            s[own] = -(10**12)
+            best = np.lexsort((rows, -s))[:5]
+            assert ids.tolist() == (best * 3).tolist() and scores.tolist() == s[best].tolist()
+            assert index.order.read < 64 * 4000 // 4
