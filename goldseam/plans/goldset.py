@@ -11,7 +11,7 @@ from goldseam.operators import goldset as G
 from goldseam.operators import guards as L
 from goldseam.operators import ingest as I
 from goldseam.operators.retrieval import rrf
-from goldseam.plans.inputs import HYBRID, S, arms, gold, hybrid, hybrid_gold, labelled, once, positives, questions
+from goldseam.plans.inputs import HYBRID, S, arms, gold, hybrid_gold, hybrid_texts, labelled, once, positives, questions
 from goldseam.plans.retrieval import GOLD
 from goldseam.store import load, spread
 
@@ -396,7 +396,7 @@ def training_pairs(spark, d):
     """A positive and the mined negatives of every question."""
     found = rrf(arms(spark, d), S.rrf_k)
     gold_of = hybrid_gold(spark, d, found).unionByName(positives(spark, d))
-    out = G.training_pairs(found, gold_of, hybrid(spark, d)[0], S.rerank_depth, 4, S.seed)
+    out = G.training_pairs(found, gold_of, hybrid_texts(spark, d), S.rerank_depth, 4, S.seed)
     return out.withColumn("text", F.md5("text"))
 
 

@@ -13,6 +13,7 @@ from goldseam.functions import text as T
 from goldseam.operators import embedding as N
 from goldseam.operators import evaluation as E
 from goldseam.operators import retrieval as R
+from goldseam.plans import inputs as P
 
 
 def plan(df):
@@ -84,3 +85,38 @@ def test_resamples_are_drawn_in_batches(spark):
     assert "MapInArrow" in plan(got) and "aggregate(sequence" not in plan(got)
     means = [sum(rows[int(md5(f"9:{b}:{i}".encode()).hexdigest()[:8], 16) % 23][1] for i in range(23)) / 23 for b in range(150)]
     assert tuple(got.first()) == pytest.approx((sum(v for _, v in rows) / 23, *np.quantile(means, [0.025, 0.975])))
+
+
+def test_ids_go_to_the_texts_of_documents_with_a_vector(spark, tmp_path, monkeypatch):
+    docs = [(i, f"text {i} " + "filler " * 40, "en", "s") for i in range(0, 300, 3)] + [(301, None, "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [0.5, 1.0], 1) for i in [*range(0, 400, 2), 301]], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    indexed = []
+    monkeypatch.setattr(R, "build_index", lambda c: indexed.append(c) or 1 / 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1_000_000, 10):
+            monkeypatch.setattr(P, "IDS", most, raising=False)
+            with pytest.raises(ZeroDivisionError):
+                P.arms(spark, str(tmp_path))
+        assert "Exchange hashpartitioning" not in plan(indexed[0])
+        want = sorted((i, t) for i, t, *_ in docs if i % 2 == 0 or i == 301)
+        assert len(want) == 51 and all(sorted(map(tuple, c.select("chunk_id", "text").collect())) == want for c in indexed)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_that_keep_rows_of_every_question_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "TASKS", 3, raising=False)
+    monkeypatch.setattr(R, "ranked", lambda scored, k: scored)
+    spark.createDataFrame([(i, f"word{i % 7} more", [1.0, i / 40]) for i in range(40)], "chunk_id long, text string, vector array<double>").repartition(20).write.parquet(f"{tmp_path}/chunks")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # each file is read by a task
+    try:
+        chunks = spark.read.parquet(f"{tmp_path}/chunks")
+        asked = spark.createDataFrame([(1, "word1 word2", [0.0, 1.0])], "qid long, question string, vector array<double>")
+        found = [R.bm25_search(R.build_index(chunks), asked, 2), R.dense_search(chunks, asked, 2)]
+        assert chunks.rdd.getNumPartitions() > 8
+        assert all(f.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism for f in found)
+        assert {r["chunk_id"] for r in found[1].collect()} >= {38, 39}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
