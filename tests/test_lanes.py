@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from goldseam.operators import evaluation as E
 from goldseam.operators import lanes as L
 from goldseam.operators import retrieval as R
+from goldseam.plans import inputs as P
+from goldseam.plans import lanes as PL
 
 
 def asked(spark, n):
@@ -96,3 +98,37 @@ def test_pairs_go_to_a_model_in_batches_and_truncated(spark, tmp_path):
     got = R.rerank(found, questions, texts, 4, 3, R.pair_model(make, words=4)).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == [(2, 4.0), (1, 2.0), (3, 0.0)]  # the fifth is beyond the depth, the fourth without a text ties with the third
     assert spark.createDataFrame([("  a\n b c ",)], "t string").select(R.truncated(F.col("t"), 2)).first()[0] == "  a\n b"
+
+
+def test_an_error_that_is_not_expected_is_no_miss(spark):
+    for caught in ((), KeyError):
+        with pytest.raises(ValueError, match="can't"):
+            L.run([L.Lane("p", "P", picky([3], []))], asked(spark, 12), 3, caught=caught)
+    assert L.run([L.Lane("p", "P", picky([3], []))], asked(spark, 4), 3, caught=ValueError)[1]["p"]["failures"] == 1
+
+
+def made(spark, folder, n=60):
+    """Tables of the plans: every document has a vector."""
+    texts = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 15)), "en", f"src{i % 3}") for i in range(n)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(i, texts[i + 1][1][:20]) for i in range(10)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_a_lane_of_the_plan_that_raises_ends_the_query(spark, tmp_path, monkeypatch):
+    d = made(spark, tmp_path / "t")
+    registry = L.Registry()
+    registry.add(L.Lane("hybrid_rerank_tuned", "T", lambda rows, k: 1 / 0))
+    monkeypatch.setattr(PL, "registry", lambda spark, d: registry)
+    for name in ("lane_rerank_tuned", "lane_metrics"):
+        with pytest.raises(ZeroDivisionError):
+            PL.QUERIES[name](spark, d)
+
+
+def test_queries_of_other_plans_leave_the_lanes_their_vectors(spark, tmp_path):
+    d = made(spark, tmp_path / "t")
+    P.hybrid_texts(spark, d)
+    facts = PL.ran(spark, d)[1]
+    assert len(facts) == 6 and all(f["failures"] == 0 and f["error"] is None for f in facts.values())
+    assert PL.QUERIES["lane_rerank_tuned"](spark, d).select("qid").distinct().count() == 10
