@@ -20,6 +20,8 @@ SAMPLE, MOST_LISTS = 65_536, 16_384
 FILE_ROWS = 262_144
 #: Rounds of fitting.
 ROUNDS = 10
+#: Lists up to which MLlib seeds the centers: it compares all candidates, twice as many as lists, on the driver, which grows with their square.
+SEEDED = 128
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,8 @@ def fitted(vectors: DataFrame, lists: int, sample: int = SAMPLE, seed: int = 42)
     """Centers of at most `lists` clusters by cosine, fitted on about `sample` of the vectors (chunk_id, vector), those of least hash.
 
     Fewer different vectors than lists give fewer centers; none but zeros, or one
-    list, give a single center.
+    list, give a single center.  Up to SEEDED lists are seeded by k-means||, more by
+    vectors of the sample.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -49,14 +52,60 @@ def fitted(vectors: DataFrame, lists: int, sample: int = SAMPLE, seed: int = 42)
         return np.zeros((1, shape["dims"] or 0))
     share = 1 << 30
     least = min(share, -(-share * sample // shape["n"]))
-    some = stored(vectors.where(long & (F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(share)) < least)).select("vector"), "sample")
+    some = stored(vectors.where(long & (F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(share)) < least)).select("chunk_id", "vector"), "sample")
     if some.isEmpty():
         return np.zeros((1, shape["dims"]))
+    if lists > SEEDED:
+        return _rounds(some, lists, seed)
     model = KMeans(k=lists, seed=seed, maxIter=ROUNDS, distanceMeasure="cosine", featuresCol="at").fit(some.select(array_to_vector("vector").alias("at")))
     centers = np.array(model.clusterCenters())
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
 
 
+def _rounds(some: DataFrame, lists: int, seed: int) -> np.ndarray:
+    """Centers by Lloyd's rounds from `lists` different vectors of the sample (chunk_id, vector), those of least hash.
+
+    Tasks sum up the unit vectors next to each center as matrix products; the driver
+    gets a row for each list that a task has met, fewer than the sample has.
+    """
+    first = some.groupBy("vector").agg(F.min(F.xxhash64("chunk_id", F.lit(seed + 1))).alias("at")).orderBy("at", "vector").limit(lists)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    centers = unit(np.array([r["vector"] for r in first.collect()], np.float64))
+    dealt = stored(some.repartition(some.sparkSession.sparkContext.defaultParallelism), "dealt")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, sums, met = shared.value, None, set()
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = unit(_matrix(batch.column(0)))
+            sums = np.zeros(c.shape) if sums is None else sums
+            lists = (v @ c.T).argmax(axis=1)
+            np.add.at(sums, lists, v)
+            met.update(lists.tolist())
+        at = sorted(met)
+        for lo in range(0, len(at), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 1024], pa.int64()), pa.array([sums[i].tobytes() for i in at[lo : lo + 1024]], pa.binary())], ["list", "sum"])
+
+    for _ in range(ROUNDS):
+        shared = some.sparkSession.sparkContext.broadcast(centers)
+        sums = np.zeros(centers.shape)
+        for r in sorted(dealt.select("vector").mapInArrow(summed, "list long, sum binary").collect(), key=lambda r: (r["list"], r["sum"])):
+            sums[r["list"]] += np.frombuffer(r["sum"])
+        moved = np.linalg.norm(sums, axis=1, keepdims=True) > 0  # a center without vectors stays
+        centers = np.where(moved, unit(sums), centers)
+        shared.unpersist()
+    return centers
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """The vectors of a column, a row each; of different lengths, ValueError."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1 if len(sizes) and sizes[0] else 0)
+
+
 def nearest(table: DataFrame, id_col: str, centers: np.ndarray, probes: int) -> DataFrame:
     """The table with a row for each of the `probes` lists whose centers have the largest inner product with its vector; null vectors go."""
     shared = table.sparkSession.sparkContext.broadcast(centers)  # MOST_LISTS rows at most
@@ -67,7 +116,7 @@ def nearest(table: DataFrame, id_col: str, centers: np.ndarray, probes: int) ->
         for batch in batches:
             if not len(batch):
                 continue
-            v = np.array(batch.column(names.index("vector")).to_pylist(), np.float64).reshape(len(batch), -1)
+            v = _matrix(batch.column(names.index("vector")))
             if c.shape[1] and v.shape[1] != c.shape[1]:
                 raise ValueError(f"vectors of {v.shape[1]} numbers for an index of {c.shape[1]}")
             v = v if c.shape[1] else v[:, :0]  # the index of an empty table

@@ -44,8 +44,8 @@ class ChunkStore:
         return 1
 
     def _write(self, path: str, chunks: DataFrame, dims: int, lists: int | None) -> None:
-        """Chunks, then their index, which clusters what is there, then the facts about them."""
-        chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+        """Chunks beside those that lie there already, then their index, which clusters what is there, then the facts about them."""
+        chunks.write.mode("append").option("compression", "zstd").parquet(f"{path}/chunks")
         held = self.spark.read.schema(SCHEMA).parquet(f"{path}/chunks")
         V.build(held.select("chunk_id", "corpus_id", "vector"), lists, path=f"{path}/index")
         self.spark.createDataFrame([(dims,)], "dims int").coalesce(1).write.json(f"{path}/meta")
@@ -72,13 +72,18 @@ class ChunkStore:
         before = self.chunks(base)
         new = N.embed_chunks(cut, embedder).select(F.lit(corpus).alias("corpus_id"), "chunk_id", "source_doc", "chunk_index", "text", F.col("start_char").cast("int"), F.col("end_char").cast("int"), "vector")
         name, path = versions.staged(self.root)
-        new.write.option("compression", "zstd").parquet(f"{path}/new")  # cut and embedded once
-        new = self.spark.read.schema(SCHEMA).parquet(f"{path}/new")
+        # sources have slugs of their own, so only one that comes twice has chunks of equal id
+        twice = docs.groupBy("source_doc").count().where("count > 1").limit(1).count()
+        at = f"{path}/new" if twice else f"{path}/chunks"
+        new.where("chunk_id is not null").write.option("compression", "zstd").parquet(at)  # cut and embedded once
+        new = self.spark.read.schema(SCHEMA).parquet(at)
         if taken := before.where(F.col("corpus_id") != corpus).join(new.select("chunk_id"), "chunk_id", "left_semi").first():
             raise EngineError(f"chunk {taken['chunk_id']} belongs to corpus {taken['corpus_id']}")
         dims = self.spark.read.json(f"{self._path(base)}/meta").first()["dims"]
         if other := new.where(F.size("vector") != dims).first():
             raise EngineError(f"chunk {other['chunk_id']} has a vector of {len(other['vector'])} numbers, not of {dims}")
-        self._write(path, I.prune(I.upsert(before, new), new, corpus), dims, lists)
+        # what upsert and prune leave: of this corpus the new chunks, which lie there, and all of the others, none of whose ids is new
+        others = before.where(F.col("corpus_id") != corpus)
+        self._write(path, others.unionByName(new.dropDuplicates(["chunk_id"])) if twice else others, dims, lists)
         versions.commit(self.spark, self.root, base + 1, name)
         return I.ingest_report(self.chunks(base + 1).where(F.col("corpus_id") == corpus))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from goldseam.config import EngineError
 from goldseam.operators import retrieval as R
@@ -123,3 +124,23 @@ def test_batches_are_bounded_and_lists_meet_without_the_driver(spark, table):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
     plan = V.search(index, table.where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "qid"), 3, 8)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_many_lists_are_fitted_without_comparing_candidates_on_the_driver(spark, monkeypatch):
+    """Beyond SEEDED lists MLlib, whose seeding is quadratic in them, isn't asked; lists stay whole and clusters together."""
+    import pyspark.ml.clustering as C
+
+    monkeypatch.setattr(V, "SEEDED", 4)
+    monkeypatch.setattr(C, "KMeans", lambda **k: 1 / 0)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 16))
+    rows = [(i, (centers[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(600)] + [(600, [0.0] * 16)]
+    table = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    index = V.build(table, 40)
+    assert index.lists == 40 and np.allclose(np.linalg.norm(index.centers, axis=1), 1)
+    assert sorted(r["chunk_id"] for r in index.vectors.select("chunk_id").collect()) == list(range(601))
+    again = V.fitted(table, 40)
+    assert np.array_equal(index.centers, again)
+    mixed = [r["n"] for r in index.vectors.where("chunk_id < 600").groupBy("list").agg(F.countDistinct(F.expr("chunk_id % 12")).alias("n")).collect()]
+    assert sum(n == 1 for n in mixed) >= len(mixed) - 2
+    assert V.build(table.where("chunk_id < 3"), 40).lists == 3  # fewer different vectors than lists

@@ -160,3 +160,23 @@ def test_reports(spark):
     assert failed.endswith('"failures":{"a":[{"qid":7,"error":"no"}]}}')
     with pytest.raises(EngineError):
         U.document(board.limit(0), {})
+
+
+def test_a_source_that_comes_twice_leaves_its_chunks_once(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.ensure(64)
+    store.ingest(docs(spark, y="another corpus"), "y", SMALL)
+    twice = docs(spark, a="one two three four five six", b="seven").unionByName(docs(spark, a="one two three four five six"))
+    store.ingest(twice, "x", SMALL)
+    assert [x[1] for x in held(store)] == ["a_ch_000", "a_ch_001", "b_ch_000", "y_ch_000"]
+
+
+def test_chunks_are_written_once_and_joined_with_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("goldseam.operators.ingest.upsert", lambda *a, **k: 1 / 0)
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.ensure(64)
+    store.ingest(docs(spark, a="one two three four five six"), "x", SMALL)
+    store.ingest(docs(spark, c="other"), "y", SMALL)
+    store.ingest(docs(spark, a="one 2"), "x", SMALL)
+    assert held(store) == [("x", "a_ch_000", "one 2"), ("y", "c_ch_000", "other")]
+    assert "new" not in versions.names(spark, store._path(None))
