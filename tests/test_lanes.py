@@ -132,3 +132,29 @@ def test_queries_of_other_plans_leave_the_lanes_their_vectors(spark, tmp_path):
     facts = PL.ran(spark, d)[1]
     assert len(facts) == 6 and all(f["failures"] == 0 and f["error"] is None for f in facts.values())
     assert PL.QUERIES["lane_rerank_tuned"](spark, d).select("qid").distinct().count() == 10
+
+
+@pytest.mark.parametrize("late", [(), (5, 17)])
+def test_what_a_lane_takes_is_answered_at_once(spark, monkeypatch, late):
+    """However many questions are refused, the others are one batch; a fault in the rows still costs only its own questions."""
+    bad, written = range(0, 24, 4), []
+    tried = L._tried
+
+    def counted(lane, rows, n, k, run):
+        error = tried(lane, rows, n, k, run)
+        written.append((n, error is None))
+        return error
+
+    def retrieve(rows, k):
+        if not rows.where(F.col("qid").isin(*bad)).isEmpty():
+            raise ValueError("refused")
+        return answer(rows).where(F.when(F.col("qid").isin(*late), F.raise_error(F.lit("late"))).otherwise(F.lit("")) == "")
+
+    monkeypatch.setattr(L, "_tried", counted)
+    found, facts = L.run([L.Lane("p", "P", retrieve)], asked(spark, 24), 3)
+    lost = sorted({*bad, *late})
+    assert sorted(r["qid"] for r in found.collect()) == [i for i in range(24) if i not in lost]
+    log = facts["p"]["log"].collect()
+    assert sorted(r["qid"] for r in log) == list(range(24)) and sorted(r["qid"] for r in log if r["error"]) == lost
+    if not late:
+        assert written == [(24, False), (18, True)]
